@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from assayline.config import RECIPES, Config
 from assayline.functions.columns import finite, half_even, or_null, seed_column
-from assayline.operators import metrics, population, pretreat, ranking, response, robustness, screening, selection, splits
+from assayline.operators import metrics, neighbours, population, pretreat, ranking, response, robustness, screening, selection, splits
 from assayline.operators.sql_forms import recipe_sql
-from assayline.plans import views
+from assayline.plans import study, views
 from assayline.plans.views import AXIS, CHANNELS, METRICS_SQL, PREDICTIONS_SQL, REFERENCE_SQL, SIGNALS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -420,4 +420,56 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.groupBy(F.when(F.col("toxic") == 1, "excluded").otherwise("included").alias("status"), "quality").agg(F.count("*").alias("n"))
 
 
+# --- studies -------------------------------------------------------------------------------------
+#: Each 25th of the samples is a target of its own, so that every row takes part in a small calibration.
+GROUPS = 25
+
+
+def _grouped_reference(spark, sf_dir) -> DataFrame:
+    ref = views.reference(spark, sf_dir).where("target = 'T1'")
+    return ref.withColumn("target", F.format_string("G%02d", F.col("sample_id") % GROUPS))
+
+
+def _study(algorithms: tuple[str, ...], **settings):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        config = Config(**{"algorithms": algorithms, "recipes": ("SNV",), "transforms": ("raw",), "ratios": (0.75,), "repeats": 1, "feature_count": 32, "level": "fast", "inner_repeats": 1, "require_full_factorial": False} | settings)
+        out = study.run_study(views.signals(spark, sf_dir).select("sample_id", "x"), _grouped_reference(spark, sf_dir), AXIS, config)
+        return out.select("target", "outer_split_id", "preprocess", "y_transform", "algorithm", *rounded(*METRICS), "n_calibration", "n_prediction", "n_features", "error")
+
+    return run
+
+
+for _a in CONFIG.algorithms:
+    QUERIES[f"kernel_{_a.lower().replace('-', '_')}"] = _study((_a,))
+QUERIES["study_small"] = _study(("PLS", "Ridge", "PCR", "BayesianRidge"), recipes=("RAW", "SNV", "MSC-SG", "DE1-SNV"), transforms=("raw", "log1p", "standard"), repeats=2)
+
+
+@query()
+def mccv_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signals = views.signals(spark, sf_dir).select("sample_id", "x")
+    return study.mccv_screen(signals, _grouped_reference(spark, sf_dir), Config(mccv_iterations=40))["Summary"]
+
+
+_WEIGHTED_KNN = f"""WITH {SIGNALS_SQL}, {REFERENCE_SQL},
+x AS (SELECT vec_id AS sample_id, vec_id % 25 AS g, vec_id % 4 = 0 AS pred, list_transform(embedding, lambda a: a::DOUBLE) AS e FROM embeddings),
+d AS (SELECT a.sample_id, b.sample_id AS other, list_distance(a.e, b.e) AS dist FROM x a JOIN x b USING (g) WHERE a.pred AND NOT b.pred),
+k AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY dist, other) AS rank FROM d)
+"""
+
+
+@query(_WEIGHTED_KNN + "SELECT k.sample_id, round(sum(value / greatest(dist, 1e-12)) / sum(1 / greatest(dist, 1e-12)), 6) + 0.0 AS predicted, count(*) AS neighbours FROM k JOIN ref ON ref.sample_id = other AND target = 'T1' WHERE rank <= 5 GROUP BY k.sample_id")
+def knn_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = views.signals(spark, sf_dir).withColumn("g", F.col("sample_id") % GROUPS)
+    ref = views.reference(spark, sf_dir).where("target = 'T1'").select("sample_id", "value")
+    cal = x.where("role = 'cal'").join(ref, "sample_id").select("g", F.col("sample_id").alias("other"), F.col("x").alias("x2"), "value")
+    return neighbours.weighted_knn(x.where("role = 'pred'").select("g", "sample_id", "x"), cal, ["g"], 5).select("sample_id", *rounded("predicted"), "neighbours")
+
+
+@query(_WEIGHTED_KNN + "SELECT sample_id, other, round(exp(-0.01 * dist * dist), 6) + 0.0 AS rbf FROM d")
+def pairwise_rbf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = views.signals(spark, sf_dir).withColumn("g", F.col("sample_id") % GROUPS)
+    cal = x.where("role = 'cal'").select("g", F.col("sample_id").alias("other"), F.col("x").alias("x2"))
+    return neighbours.distances(x.where("role = 'pred'").select("g", "sample_id", "x"), cal, ["g"]).select("sample_id", "other", (F.round(F.exp(-0.01 * F.col("dist") * F.col("dist")), 6) + F.lit(0.0)).alias("rbf"))
+
+
 __all__ = ["CONFIG", "ORACLE_SQL", "QUERIES", "half_even"]

@@ -1,0 +1 @@
+"""No streaming operators: a calibration study is a batch, and none are invented here."""
