@@ -175,4 +175,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     found = near_duplicates(docs.select("doc_id", "text").where("doc_id is not null"), **options)
     gone = found.groupBy("doc_id").agg(F.min(F.col("doc_id") == F.col("component_id")).alias("alone")).where("not alone").select("doc_id")
     kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
-    return kept.select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    return kept.select(*docs.columns).dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
