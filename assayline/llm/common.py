@@ -55,7 +55,7 @@ def _filesystem(spark: SparkSession, path: str):
 
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, every other character unchanged (Spark's lower() would fold more)."""
-    return F.translate(c, UPPER, LOWER)
+    return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:

@@ -9,12 +9,21 @@ from assayline.llm.common import ascii_lower, durable
 
 #: A word, after A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: One word with what stands around it, A-Z not lower-cased yet.
+_ONE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 
 
 def word_array(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)
 
 
+def word_count(text: Column) -> Column:
+    """size(word_array(text)) without making the words: each becomes one character, and a text without words none."""
+    t = F.coalesce(text, F.lit(""))
+    left = F.regexp_replace(t, F.lit(_ONE), F.lit("w"))
+    return F.when(t.rlike(_ONE), F.length(left)).otherwise(0).cast("bigint")
+
+
 def item_windows(items: DataFrame, window: int) -> DataFrame:
     """(item_id, n, words): the distinct windows of each item of items (item_id, text)."""
     w = items.where("item_id is not null").select("item_id", word_array(F.col("text")).alias("w")).where("size(w) > 0")
@@ -31,27 +40,35 @@ def _positions(docs: DataFrame, q: int) -> DataFrame:
 def hits(docs: DataFrame, windows: DataFrame, q: int, broadcast_rows: int) -> DataFrame:
     """(doc_id, th, item_id, start, n): where windows of at least q words occur in docs (doc_id, th, w).
 
-    Rarity: each shingle of q words that some window has is counted over all
-    documents. Prefix: a window that occurs must bring all its shingles, so
-    its rarest one (the prefix of a containment of 1) is necessary, and only
-    that is joined. Position and length: the window would start that many words
-    before the shingle, at or after the document's first word, and end at or
-    before its last. Verification: the words there equal the window's words.
+    Shingles: one pass over all documents finds, word for word, every place of
+    a shingle of q words that some window has. Rarity: those places are counted
+    by shingle. Prefix: a window that occurs must bring all its shingles, so its
+    rarest one (the prefix of a containment of 1) is necessary, and only that
+    is joined. Position and length: the window starts as many words before the
+    shingle as it stands in the window, at or after the document's first word.
+    Verification: all its shingles stand one word apart from there on, so the
+    document holds the window's words in order.
     """
-    shingles = F.expr(f"transform(sequence(0, n - {q}), i -> struct(xxhash64({', '.join(f'words[i + {k}]' for k in range(q))}) as s, i as o))")
-    windows = windows.withColumn("wid", F.xxhash64("words"))
-    each = windows.select("wid", "n", "words").distinct().select("wid", "n", "words", F.inline(shingles))
-    # a side is broadcast only if a count of it is within the bound; else both are shuffled
-    bounded = F.broadcast if each.count() <= broadcast_rows else lambda df: df
-    places = _positions(docs, q)
-    counts = places.join(bounded(each.select("s").distinct()), "s").groupBy("s").agg(F.count("*").alias("df"))
-    rarest = each.join(counts, "s").groupBy("wid", "n", "words").agg(F.min(F.struct("df", "s", "o")).alias("r"), F.count("*").alias("present"))
+    inner = f"transform(sequence(0, n - {q}), i -> struct(xxhash64({', '.join(f'words[i + {k}]' for k in range(q))}) as s, i as o, slice(words, i + 1, {q}) as ws))"
+    windows = windows.withColumn("wid", F.array_join("words", " "))
+    each = durable(windows.select("wid", "n", "words").distinct().select("wid", "n", F.inline(F.expr(inner))))
+    known = each.select("s", "ws").distinct()
+    # broadcast only if a count of it is within the bound; else both sides are shuffled
+    known = F.broadcast(known) if each.count() <= broadcast_rows else known
+    same = F.col("first") == F.get("ws", F.lit(0))
+    for k in range(1, q):
+        same = same & (F.get("w", F.col("p") + k) == F.get("ws", F.lit(k)))
+    places = durable(_positions(docs, q).join(known, "s").where(same).select("doc_id", "th", "p", "s"))
+
+    counts = places.groupBy("s").agg(F.count("*").alias("df"))
+    rarest = each.join(counts, "s").groupBy("wid", "n").agg(F.min(F.struct("df", "s", "o")).alias("r"), F.count("*").alias("present"))
     # a window with a shingle that no document has can't occur
-    prefix = durable(rarest.where(F.col("present") == F.col("n") - q + 1).select("wid", "n", "words", F.col("r.s").alias("s"), F.col("r.o").alias("o")))
-    bounded = F.broadcast if prefix.count() <= broadcast_rows else lambda df: df
-    start = F.col("p") - F.col("o")
-    found = places.join(bounded(prefix), "s").where((start >= 0) & (start + F.col("n") <= F.size("w")))
-    found = found.where(F.slice("w", start + 1, F.col("n")) == F.col("words")).select("doc_id", "th", "wid", F.col("n"), start.alias("start"))
+    prefix = rarest.where(F.col("present") == F.col("n") - q + 1).select("wid", "n", F.col("r.s").alias("s"), F.col("r.o").alias("o"))
+    candidates = places.join(prefix, "s").select("doc_id", "th", "wid", "n", (F.col("p") - F.col("o")).alias("start")).where("start >= 0").distinct()
+    due = candidates.join(each.select("wid", "s", "o"), "wid").select("doc_id", "th", "wid", "n", "start", "s", (F.col("start") + F.col("o")).alias("p"))
+    there = places.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("p").alias("pp"), F.col("s").alias("ss")).distinct()
+    met = due.join(there, due.doc_id.eqNullSafe(there.d) & (due.th == there.t) & (due.p == there.pp) & (due.s == there.ss))
+    found = met.groupBy("doc_id", "th", "wid", "n", "start").agg(F.count("*").alias("k")).where(F.col("k") == F.col("n") - q + 1)
     return found.join(windows.select("wid", "item_id"), "wid").select("doc_id", "th", "item_id", "start", "n")
 
 
@@ -71,7 +88,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
     windows = durable(item_windows(items, window))
     lengths = {r.n for r in windows.select(F.least("n", F.lit(q)).alias("n")).distinct().collect()}  # q values at most
     rows = [hits(split, windows.where(F.least("n", F.lit(q)) == k), k, broadcast_rows) for k in sorted(lengths)]
-    base = docs.select("doc_id", th.alias("th"), F.size(word_array(F.col("text"))).cast("bigint").alias("n_words"))
+    base = docs.select("doc_id", th.alias("th"), word_count(F.col("text")).alias("n_words"))
     if not rows:
         return _judged(base.withColumn("n_hit", F.lit(0).cast("bigint")).withColumn("items", F.array().cast("array<string>")), share)
     all_hits = rows[0]
