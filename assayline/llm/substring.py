@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayline.llm.common import durable
+
 #: Odd multipliers of the two rolling hashes.
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _BATCH_WORDS = 200_000
@@ -36,14 +38,19 @@ class _Powers:
 _POWERS = [_Powers(m) for m in _MULTIPLIERS]
 
 
-def _rolling(x: np.ndarray, width: int, which: int) -> np.ndarray:
-    """Hash of every `width` consecutive word hashes."""
-    power, inverse = _POWERS[which](len(x) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * power[: len(x)], dtype=np.uint64)))
-    h = (total[width:] - total[:-width]) * inverse[: len(x) - width + 1]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+class _Rolling:
+    """64-bit hashes of any sequences of consecutive word hashes x, from sums of powers modulo 2**64."""
+
+    def __init__(self, x: np.ndarray, which: int):
+        power, self.inverse = _POWERS[which](len(x) + 1)
+        self.total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * power[: len(x)], dtype=np.uint64)))
+
+    def __call__(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = (self.total[end] - self.total[first]) * self.inverse[first]
+        h ^= h >> np.uint64(31)
+        h += (end - first).astype(np.uint64)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(32))
 
 
 def _sliding(a: np.ndarray, width: int, best) -> np.ndarray:
@@ -76,7 +83,8 @@ class Passages:
             return
         digest = xxhash.xxh3_128_digest
         self.hashes = np.frombuffer(b"".join([digest(w) for ws in words for w in ws]), np.uint64).reshape(-1, 2)
-        seeds = _rolling(np.ascontiguousarray(self.hashes[:, 0]), seed, 0)
+        at = np.arange(n - seed + 1)
+        seeds = _Rolling(np.ascontiguousarray(self.hashes[:, 0]), 0)(at, at + seed)
         anchor = _sliding(seeds, window - seed + 1, np.minimum)
         end = (self.first + self.counts)[self.doc[: len(anchor)]]
         self.starts = np.flatnonzero(np.arange(len(anchor)) + window <= end)
@@ -95,14 +103,22 @@ class Passages:
         fresh[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
         return d[fresh], h[fresh]
 
-    def extended(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Every window around an occurrence of a shared anchor: (text number, first word, 128-bit hash)."""
-        at = self.starts[np.isin(self.anchor, shared)]
+    def spans(self, first: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        """128-bit hashes of the words from first to end, as two halves."""
+        return [_Rolling(np.ascontiguousarray(self.hashes[:, i]), i)(first, end) for i in (0, 1)]
+
+    def runs(self, shared: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The neighbouring windows around each occurrence of a shared anchor: (text number, first word, windows, anchor, hash halves of all their words)."""
+        keep = np.isin(self.anchor, shared)
+        at, anchor = self.starts[keep], self.anchor[keep]
+        none = np.empty(0, np.int64)
         if not len(at):
-            return at, at, np.empty(0, np.uint64), np.empty(0, np.uint64)
-        pair = [_rolling(np.ascontiguousarray(self.hashes[:, i]), self.window, i)[at] for i in (0, 1)]
-        d = self.doc[at]
-        return d, at - self.first[d], *pair
+            return (none,) * 6
+        new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (anchor[1:] != anchor[:-1]))))
+        size = np.diff(np.append(new, len(at)))
+        first = at[new]
+        d = self.doc[first]
+        return d, first - self.first[d], size, anchor[new], *self.spans(first, first + size - 1 + self.window)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -130,16 +146,25 @@ def _tag(text: bytes) -> int:
 
 
 def repeated_windows(base: DataFrame, window: int, seed: int) -> DataFrame:
-    """(doc_id, places array<bigint>): the windows of each document that also start in one of a smaller doc_id.
-
-    base: doc_id (not null), text (binary). Seeds: each document's anchors are
-    grouped by hash, with minima kept map-side, and only those of two or more
-    documents stay. Extension: around every occurrence of such a seed, all
-    windows that hold it are hashed to 128 bits and the smallest doc_id of each
-    is found. All volumes follow the text; no pairs of documents are made, so a
-    passage that a third of all documents share costs one row for each of its
-    occurrences.
+    """(doc_id, places array<struct<place, n, offsets>>): the windows of each document that also start in one of a smaller doc_id.
+
+    base: doc_id (not null), text (binary). n windows from a place on, or those
+    at the given offsets from it.
+
+    Seeds: each document's anchors are grouped by hash, with minima kept
+    map-side, and only those of two or more documents stay. Extension, both
+    ways: the neighbouring windows that share an occurrence of a seed are one
+    run, and the words under it one passage, hashed to 128 bits. Documents
+    whose passage a smaller doc_id has too lose all of the run. Of each
+    passage, its first document then stands for all: where a seed has several
+    passages, their first documents' windows are compared one by one.
+
+    So copies meet at the level of passages, about one row for a dozen words,
+    and single windows are only made once for each different passage. All
+    volumes follow the text; no pairs of documents are made, and a passage that
+    a third of all documents share costs a row for each of its occurrences.
     """
+    first_of = "struct<place:bigint,n:bigint,h1:bigint,h2:bigint>"
 
     def seeds(batches):
         for b, texts in _groups(batches):
@@ -149,27 +174,52 @@ def repeated_windows(base: DataFrame, window: int, seed: int) -> DataFrame:
     def extend(batches):
         for b, texts in _groups(batches):
             shared = b.column("seeds").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            d, at, h1, h2 = Passages(texts, window, seed).extended(np.unique(shared))
+            d, at, n, anchor, h1, h2 = Passages(texts, window, seed).runs(np.unique(shared))
             tags = np.array([_tag(t) for t in texts], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(d)), _longs(at + tags[d]), _longs(h1), _longs(h2)], ["doc_id", "place", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(d)), *map(_longs, (at + tags[d], n, anchor, h1, h2))], ["doc_id", "place", "n", "seed", "h1", "h2"])
 
-    seeded = base.select("doc_id", "text").mapInArrow(seeds, "doc_id bigint, seed bigint")
+    def compare(batches):
+        for b, texts in _groups(batches):
+            own = Passages(texts, window, seed)
+            tags = np.array([_tag(t) for t in texts], np.int64)
+            runs = b.column("runs")
+            d = np.repeat(np.arange(len(texts)), np.diff(runs.offsets.to_numpy()))
+            place, n, h1, h2 = (runs.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            ok = (place >> 32 << 32) == tags[d]
+            d, place, n, h1, h2 = d[ok], place[ok], n[ok], h1[ok], h2[ok]
+            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(own.first[d] + (place & 0xFFFFFFFF), n) + offset
+            w1, w2 = own.spans(at, at + window) if len(at) else (at, at)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(np.repeat(d, n))), *map(_longs, (np.repeat(h1, n), np.repeat(h2, n), offset, w1, w2))], ["doc_id", "h1", "h2", "offset", "w1", "w2"])
+
+    passage = ["h1", "h2"]
+    seeded = durable(base.select("doc_id", "text").mapInArrow(seeds, "doc_id bigint, seed bigint"))
     shared = seeded.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("seed")
     wanted = seeded.join(shared, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
-    found = base.join(wanted, "doc_id").mapInArrow(extend, "doc_id bigint, place bigint, h1 bigint, h2 bigint")
-    least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    return found.join(least, ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    runs = base.join(wanted, "doc_id").select("doc_id", "text", "seeds").mapInArrow(extend, "doc_id bigint, place bigint, n bigint, seed bigint, h1 bigint, h2 bigint")
+
+    firsts = runs.groupBy(*passage).agg(F.min(F.struct("doc_id", "place", "n")).alias("f"), F.first("seed").alias("seed"))
+    several = firsts.groupBy("seed").agg(F.count("*").alias("passages")).where("passages > 1").select("seed")
+    by_doc = firsts.join(several, "seed").groupBy(F.col("f.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("f.place", "f.n", *passage)).cast(f"array<{first_of}>").alias("runs"))
+    windows = base.join(by_doc, "doc_id").select("doc_id", "text", "runs").mapInArrow(compare, "doc_id bigint, h1 bigint, h2 bigint, offset bigint, w1 bigint, w2 bigint")
+    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
+    part = windows.join(least, ["w1", "w2"]).where("doc_id > lo").groupBy(*passage).agg(F.collect_set("offset").alias("offsets"))
 
+    judged = firsts.select(*passage, F.col("f.doc_id").alias("first")).join(part, passage, "left")
+    found = runs.join(judged, passage).where("doc_id > first or offsets is not null")
+    offsets = F.when(F.col("doc_id") == F.col("first"), F.col("offsets"))
+    return found.groupBy("doc_id").agg(F.collect_set(F.struct("place", "n", offsets.alias("offsets"))).alias("places"))
 
-def _kept(text: bytes, places: np.ndarray | None, window: int) -> tuple[int, list[bytes], list[tuple[int, int]]]:
+
+def _kept(text: bytes, places: list[dict] | None, window: int) -> tuple[int, list[bytes], list[tuple[int, int]]]:
     """Number of words, the words kept, and the maximal removed spans [first, end)."""
     words = text.split()
-    if places is None or not len(places):
-        return len(words), words, []
     tag = _tag(text)
-    at = np.sort(places[(places >> 32) << 32 == tag] & 0xFFFFFFFF)
-    if not len(at):
+    own = [p for p in places or [] if p["place"] >> 32 << 32 == tag]
+    if not own:
         return len(words), words, []
+    starts = [np.arange(p["n"]) if p["offsets"] is None else np.array(p["offsets"], np.int64) for p in own]
+    at = np.unique(np.concatenate([s + (p["place"] & 0xFFFFFFFF) for s, p in zip(starts, own, strict=True)]))
     new = np.flatnonzero(np.concatenate(([True], at[1:] > at[:-1] + window)))
     spans = list(zip(at[new].tolist(), (at[np.append(new[1:], len(at)) - 1] + window).tolist(), strict=True))
     kept, done = [], 0
@@ -196,7 +246,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, seed: int = 25, carry: lis
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.struct(*[F.col(c) for c in carry or []] or [F.lit(0).alias("none")]).alias("carried"))
     base = rows.where("doc_id is not null")
     places = repeated_windows(base, window, seed)
-    none = F.lit(None).cast("array<bigint>")
+    none = F.lit(None).cast("array<struct<place:bigint,n:bigint,offsets:array<bigint>>>")
     joined = base.join(places, "doc_id", "left").select("doc_id", "text", "carried", "places")
     joined = joined.unionByName(rows.where("doc_id is null").withColumn("places", none))
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, text string, spans array<struct<first:bigint,end:bigint>>, carried " + rows.schema["carried"].dataType.simpleString()
@@ -208,7 +258,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, seed: int = 25, carry: lis
                 out: list[tuple] = []
                 for i in range(part.num_rows):
                     text, p = part.column("text")[i].as_py(), part.column("places")[i]
-                    n, kept, spans = _kept(text or b"", p.values.to_numpy(zero_copy_only=False) if p.is_valid else None, window)
+                    n, kept, spans = _kept(text or b"", p.as_py(), window)
                     joined = b" ".join(kept)
                     left = (text if not spans else joined) if text is not None else None
                     out.append((n, n - len(kept), hashlib.sha256(joined).hexdigest(), left and left.decode("utf-8", "replace") if left != b"" else "", [{"first": x, "end": y} for x, y in spans]))
