@@ -20,6 +20,8 @@ from assayline.llm.common import durable
 _PLAIN = regex.compile(r"[\x21-\x7E¡-¬®-įı-ž]+")
 _END = b"\xff"  # never in UTF-8; stands for the end-of-word suffix
 _SUFFIX = "</w>"
+_STOPS = ".,;:!?"
+_ODD = frozenset("İŉſ")  # letters that normalisers treat on their own
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -50,7 +52,7 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
         self.specials = [t["content"] for t in spec["added_tokens"]]
-        self.remember, self.words, self.pieces = remember, {}, {}
+        self.words, self.pieces = _Memo(self._word, remember), _Memo(self._piece, remember)
         self._merge_table(model)
 
     def _merge_table(self, model: dict) -> None:
@@ -66,34 +68,41 @@ class WordTokenizer:
         order = [bytes([b]) for b in range(256)] + [bytes([b]) + _END for b in range(255)]
         order += [raw("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
         ranks = {b: r for r, b in enumerate(dict.fromkeys(order))}
-        self.id_of_rank = [ids.get(b, -1) for b in ranks]
+        self.rank_bytes = [np.array([max(ids.get(b, 0), 0)], "<u4").tobytes() for b in ranks]
         self.ranked = tiktoken.Encoding("ranked", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
 
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            found = [self.id_of_rank[r] for r in self.ranked._encode_single_piece(piece.encode() + _END)]
-            got = np.array(found, "<u4").tobytes()
-            if len(self.pieces) >= self.remember:
-                self.pieces.clear()
-            self.pieces[piece] = got
-        return got
+        return b"".join(map(self.rank_bytes.__getitem__, self.ranked._core_bpe.encode_single_piece(piece.encode() + _END)))
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(text) and not any(s in text for s in self.specials):
-            got = b"".join(map(self._piece, self.pattern.findall(text.lower())))
+        body = text[:-1] if text[-1] in _STOPS else text
+        if body.isalpha() and max(body) <= "ž" and not _ODD.intersection(body):  # letters and at most one stop: the split is plain
+            got = self.pieces[body.lower()] + (self.pieces[text[-1]] if body is not text else b"")
+        elif _PLAIN.fullmatch(text) and not any(s in text for s in self.specials):
+            got = b"".join([self.pieces[p] for p in self.pattern.findall(text.lower())])
         else:
             got = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.words) >= self.remember:
-            self.words.clear()
-        self.words[word] = got
         return got
 
     def ids(self, text: bytes) -> bytes:
         """The ids of a whole UTF-8 text as little-endian unsigned 32-bit bytes."""
-        known = self.words.get
-        return b"".join([known(w) or self._word(w) for w in text.split()])
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+class _Memo(dict):
+    """Values of a function, forgotten all at once when there are too many."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        got = self.make(key)
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = got
+        return got
 
 
 @lru_cache(maxsize=2)
