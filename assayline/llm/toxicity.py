@@ -1,13 +1,14 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by nearest labelled examples: exact weighted TF-IDF cosine over all terms of the examples."""
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,18 +29,28 @@ def terms(word: bytes) -> list[str]:
     return [w] + [f"{w[:n]}*" for n in PREFIXES if len(w) >= n]
 
 
+Vector = tuple[np.ndarray, np.ndarray]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 @dataclass
 class Index:
-    """Unit TF-IDF vectors of the examples in blocks, with each term's largest weight by block."""
+    """Unit TF-IDF vectors of the examples: frequent terms as a matrix, the others as postings.
+
+    idf: each term's weight, a share of its inverse document frequency.
+    """
 
     idf: np.ndarray
     ids: list
     toxic: np.ndarray
     weight: np.ndarray
-    blocks: list[dict[int, tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)
-    tops: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-    size: int = 64
     k: int = 16
+    common: float = 0.06
     platt: tuple[float, float] = (1.0, 0.0)
     nothing: float = 0.0
 
@@ -47,51 +58,67 @@ class Index:
         v = (1 + np.log(tf)) * self.idf[t]
         return v / np.sqrt((v * v).sum())
 
-    def add(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    def add(self, vectors: list[Vector]) -> None:
         """vectors: terms and weights of each example, in the order of ids."""
-        for at in range(0, len(vectors), self.size):
-            lists: dict[int, tuple[list[int], list[float]]] = {}
-            for i, (t, v) in enumerate(vectors[at : at + self.size]):
-                for a, b in zip(t.tolist(), v.tolist(), strict=True):
-                    own = lists.setdefault(a, ([], []))
-                    own[0].append(i)
-                    own[1].append(b)
-            self.blocks.append({t: (np.array(i), np.array(v)) for t, (i, v) in lists.items()})
-        tops: dict[int, tuple[list[int], list[float]]] = {}
-        for k, block in enumerate(self.blocks):
-            for t, (_, v) in block.items():
-                own = tops.setdefault(t, ([], []))
-                own[0].append(k)
-                own[1].append(float(v.max()))
-        self.tops = {t: (np.array(k), np.array(v)) for t, (k, v) in tops.items()}
+        self.size = len(vectors)
+        sizes = np.array([len(t) for t, _ in vectors], np.int64)
+        self.rows = np.append(0, np.cumsum(sizes))
+        self.t = np.concatenate([t for t, _ in vectors] or [[]]).astype(np.int32)
+        self.v = np.concatenate([v for _, v in vectors] or [[]]).astype(np.float64)
+        seen: dict[tuple[bytes, bytes], int] = {}
+        self.same = np.array([seen.setdefault((t.tobytes(), v.tobytes()), i) for i, (t, v) in enumerate(vectors)], np.int64)  # the first equal example
+        df = np.bincount(self.t, minlength=len(self.idf))
+        head = np.flatnonzero(df > self.common * self.size)
+        self.column = np.full(len(self.idf), -1, np.int32)
+        self.column[head] = np.arange(len(head))
+        self.matrix = np.zeros((len(head), self.size), np.float32)
+        owner, col = np.repeat(np.arange(self.size), sizes), self.column[self.t]
+        self.matrix[col[col >= 0], owner[col >= 0]] = self.v[col >= 0]
+        rest = np.flatnonzero(col < 0)
+        rest = rest[np.argsort(self.t[rest], kind="stable")]
+        self.post, self.post_v = owner[rest].astype(np.int32), self.v[rest].astype(np.float32)
+        self.starts = np.append(0, np.cumsum(np.where(self.column < 0, df, 0)))
 
     def nearest(self, t: np.ndarray, v: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
-        """The k examples of greatest cosine above zero, exactly; of equal ones those that come first.
+        """The k examples of greatest cosine above zero, exactly; of equal ones those that come first."""
+        return self.nearest_all([(t, v)], [skip])[0]
 
-        Blocks are opened in the order of their upper bounds, until no bound reaches the k-th best cosine.
+    def nearest_all(self, vectors: list[Vector], skips: list[int]) -> list[list[tuple[float, int]]]:
+        """`nearest` of each vector.
+
+        All cosines are taken in single precision; those not surely below the
+        k-th are taken again in double precision, and these decide.
         """
-        bound = np.zeros(len(self.blocks))
-        pairs = list(zip(t.tolist(), v.tolist(), strict=True))
-        for a, b in pairs:
-            if a in self.tops:
-                k, top = self.tops[a]
-                bound[k] += b * top
-        best: list[tuple[float, int]] = []
-        order = np.flatnonzero(bound > 0)
-        for k in order[np.argsort(-bound[order], kind="stable")].tolist():
-            if len(best) == self.k and bound[k] < best[0][0] - 1e-12:
-                break
-            got = np.zeros(self.size)
-            block = self.blocks[k]
-            for a, b in pairs:
-                if a in block:
-                    i, w = block[a]
-                    got[i] += b * w
-            for i in np.flatnonzero(got > 0).tolist():
-                at = k * self.size + i
-                if at != skip:
-                    (heapq.heappush if len(best) < self.k else heapq.heappushpop)(best, (round(float(got[i]), 12), -at))
-        return [(c, -i) for c, i in sorted(best, reverse=True)]
+        out: list[list[tuple[float, int]]] = []
+        full = np.zeros(len(self.idf))
+        for at in range(0, len(vectors), 64):
+            part = vectors[at : at + 64]
+            q = np.zeros((len(part), len(self.matrix)), np.float32)
+            for i, (t, v) in enumerate(part):
+                c = self.column[t]
+                q[i, c[c >= 0]] = v[c >= 0]
+            close = q @ self.matrix
+            for (t, v), got, skip in zip(part, close, skips[at : at + 64], strict=True):
+                few = self.column[t] < 0
+                start, size = self.starts[t[few]], self.starts[t[few] + 1] - self.starts[t[few]]
+                where = _ranges(start, size)
+                got += np.bincount(self.post[where], self.post_v[where] * np.repeat(v[few].astype(np.float32), size), self.size)
+                if skip >= 0:
+                    got[skip] = 0
+                least = np.partition(got, self.size - self.k)[self.size - self.k] - 1e-5 if self.size > self.k else 0.0
+                found = np.flatnonzero(got > max(float(least), 0.0))
+                if not len(found):
+                    out.append([])
+                    continue
+                first, which = np.unique(self.same[found], return_inverse=True)
+                size = self.rows[first + 1] - self.rows[first]
+                where = _ranges(self.rows[first], size)
+                full[t] = v
+                exact = np.round(np.add.reduceat(full[self.t[where]] * self.v[where], np.cumsum(size) - size), 12)[which]
+                full[t] = 0
+                order = np.lexsort((found, -exact))[: self.k]
+                out.append(list(zip(exact[order].tolist(), found[order].tolist(), strict=True)))
+        return out
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Log-odds of the distance-weighted votes, each for as many labelled rows as its example stands for."""
@@ -106,11 +133,11 @@ class Index:
         a, b = self.platt
         return float(1 / (1 + np.exp(-np.clip(a * self.vote(near) + b, -500, 500))))
 
-    def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]], blank: np.ndarray) -> None:
+    def calibrate(self, vectors: list[Vector], blank: np.ndarray) -> None:
         """Leave-one-out votes give the Platt curve; `blank` holds the weights of examples without terms, by class."""
         x, y, w = [], [], []
-        for i, (t, v) in enumerate(vectors):
-            if near := self.nearest(t, v, skip=i):
+        for i, near in enumerate(self.nearest_all(vectors, list(range(len(vectors))))):
+            if near:
                 x.append(self.vote(near))
                 y.append(self.toxic[i])
                 w.append(self.weight[i])
@@ -148,10 +175,10 @@ def sample_examples(labels: DataFrame, learn: Column, per_class: int) -> DataFra
     return durable(out)
 
 
-def choose_terms(texts: DataFrame, most: int, z_least: float, odds_least: float) -> list[str]:
-    """The terms of the examples (text, toxic) that go with a class: surely, by |z| of the log-odds ratio of
-    their document counts, and strongly, by the ratio itself, as words of a language in which one class is
-    merely more common do not."""
+def weigh_terms(texts: DataFrame, z_full: float, odds_full: float, floor: float) -> tuple[list[str], np.ndarray]:
+    """All terms of the examples (text, toxic), in order, and the weight of each: 1 for terms that go with a class
+    surely, by |z| of the log-odds ratio of their document counts, and strongly, by the ratio itself; less, but
+    never below `floor`, for others, such as words of a language in which one class is merely more common."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,96 +189,136 @@ def choose_terms(texts: DataFrame, most: int, z_least: float, odds_least: float)
                     own.setdefault(t, [0, 0])[y] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), *(pa.array([v[c] for v in own.values()], pa.int64()) for c in (0, 1))], ["term", "n0", "n1"])
 
-    counts = durable(texts.mapInArrow(count, "term string, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    size = counts.where("term = ''").first()
-    if size is None or not size.n0 or not size.n1:
-        return []
-    a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
-    c, d = F.lit(size.n1 + 0.5) - F.col("n1"), F.lit(size.n0 + 0.5) - F.col("n0")
-    odds = F.abs(F.log(a * d / (b * c)))
-    z = odds / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    return sorted(r.term for r in counts.where("term != ''").withColumn("z", z).where((F.col("z") >= z_least) & (odds >= float(np.log(odds_least)))).orderBy(F.desc("z"), "term").limit(most).collect())
+    counts = texts.mapInArrow(count, "term string, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow().sort_by("term")
+    if not counts.num_rows or not (counts["n0"][0].as_py() and counts["n1"][0].as_py()):  # '' comes first
+        return [], np.empty(0)
+    n0, n1 = (counts[n].to_numpy().astype(np.float64) for n in ("n0", "n1"))
+    a, b, c, d = n1[1:] + 0.5, n0[1:] + 0.5, n1[0] + 0.5 - n1[1:], n0[0] + 0.5 - n0[1:]
+    odds = np.abs(np.log(a * d / (b * c)))
+    z = odds / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    return counts["term"][1:].to_pylist(), floor + (1 - floor) * np.minimum(z / z_full, 1) * np.minimum(odds / np.log(odds_full), 1)
 
 
-def term_vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(doc_id, t array<int>, tf array<int>) for every row of docs, over the vocabulary's terms in its whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
+def reader(at: dict[str, int]) -> Callable[[bytes | None], Vector]:
+    """A function that gives a text's known terms, in order, and how often each occurs in the whole text."""
+    known: dict[bytes, tuple[int, ...]] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, known = shared.value, {}
+    def look(w: bytes) -> tuple[int, ...]:
+        if len(known) > 400_000:
+            known.clear()
+        got = known[w] = tuple(at[t] for t in terms(w) if t in at)
+        return got
+
+    def read(text: bytes | None) -> Vector:
+        tf: dict[int, int] = {}
+        for w, n in Counter(words(text)).items():
+            got = known.get(w)
+            for i in look(w) if got is None else got:
+                tf[i] = tf.get(i, 0) + n
+        t, n = np.fromiter(tf, np.int32, len(tf)), np.fromiter(tf.values(), np.int32, len(tf))
+        order = np.argsort(t)
+        return t[order], n[order]
+
+    return read
 
-        def look(w: bytes) -> tuple[int, ...]:
-            if len(known) > 400_000:
-                known.clear()
-            got = known[w] = tuple(at[t] for t in terms(w) if t in at)
-            return got
 
+def document_frequencies(docs: DataFrame, at: Broadcast, many: int, piece: int = 8192) -> tuple[np.ndarray, int]:
+    """In how many rows of docs each of the `many` terms occurs, and the number of rows. A task's counts leave it in pieces."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, own = reader(at.value), np.zeros(many + 1, np.int64)
         for b in batches:
-            ts, tfs = [], []
+            own[many] += b.num_rows
             for text in b.column("text"):
-                tf: dict[int, int] = {}
-                for w in words(text.as_py()):
-                    got = known.get(w)
-                    for i in look(w) if got is None else got:
-                        tf[i] = tf.get(i, 0) + 1
-                ts.append(sorted(tf))
-                tfs.append([tf[i] for i in ts[-1]])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.list_(pa.int32())) for x in (ts, tfs))], ["doc_id", "t", "tf"])
+                own[read(text.as_py())[0]] += 1
+        if own[many]:
+            cuts = range(0, many + 1, piece)
+            yield pa.RecordBatch.from_arrays([pa.array(list(cuts), pa.int32()), pa.array([own[c : c + piece].tobytes() for c in cuts], pa.binary())], ["piece", "counts"])
+
+    def total(t: pa.Table) -> pa.Table:
+        own = sum(np.frombuffer(c.as_py(), np.int64) for c in t.column("counts"))
+        return pa.table({"piece": t.column("piece")[:1].cast(pa.int32()), "counts": pa.array([own.tobytes()], pa.binary())})
+
+    got = docs.mapInArrow(count, "piece int, counts binary").groupBy("piece").applyInArrow(total, "piece int, counts binary").collect()
+    out = np.zeros(many + 1, np.int64)
+    for r in got:
+        own = np.frombuffer(r.counts, np.int64)
+        out[r.piece : r.piece + len(own)] = own
+    return out[:many], int(out[many])
+
 
-    schema = docs.select("doc_id", F.array(F.lit(0)).alias("t"), F.array(F.lit(0)).alias("tf")).schema
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+def example_vectors(docs: DataFrame, examples: DataFrame, at: Broadcast) -> list:
+    """(doc_id, toxic, weight, t, tf) of each example that docs hold; of several texts of an id, that with most terms."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = reader(at.value)
+        for b in batches:
+            got = [read(text.as_py()) for text in b.column("text")]
+            new = [pa.array([len(t) for t, _ in got], pa.int32()), *(pa.array([g[c].tobytes() for g in got], pa.binary()) for c in (0, 1))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "toxic", "weight")), *new], ["doc_id", "toxic", "weight", "n", "t", "tf"])
+
+    joined = docs.join(examples, "doc_id").select("doc_id", "toxic", "weight", "text")
+    schema = joined.select("doc_id", "toxic", "weight", F.lit(0).alias("n"), F.encode(F.lit(""), "utf-8").alias("t"), F.encode(F.lit(""), "utf-8").alias("tf")).schema
+    rows = joined.mapInArrow(run, schema).groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.first("weight").alias("weight"), F.max(F.struct("n", "t", "tf")).alias("v")).collect()
+    return [(r.doc_id, r.toxic, r.weight, np.frombuffer(r.v.t, np.int32), np.frombuffer(r.v.tf, np.int32)) for r in rows]
 
-def scores(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.3, k: int = 16, per_class: int = 4096, most_terms: int = 20_000, z_least: float = 4.0, odds_least: float = 8.0) -> DataFrame:
+
+def scores(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.3, k: int = 16, per_class: int = 4096, z_full: float = 4.0, odds_full: float = 8.0, floor: float = 0.05) -> DataFrame:
     """(doc_id, score, predicted, evidence) for every row of docs (doc_id, text).
 
     Examples: at most `per_class` rows of each class of labels (doc_id, toxic)
     where `learn` holds, a bounded sample; a doc_id with several labels counts
-    as toxic if any is 1. Terms: at most `most_terms` words and word beginnings
-    of the examples that go with a class (|z| >= z_least, odds ratio >= odds_least either way). Document frequencies
-    are counted over all docs. Each document's k nearest examples by exact
-    TF-IDF cosine vote by distance, each for the number of labelled rows it
-    stands for; leave-one-out votes of the examples calibrate the score.
+    as toxic if any is 1. Terms: all words and word beginnings of the examples;
+    terms that don't go with a class (|z| below z_full, odds ratio below
+    odds_full either way) weigh less, at least `floor`, but none is left out.
+    Words that no example has match nothing and are not counted. Document
+    frequencies are counted over all docs. Each document's k nearest examples
+    by exact TF-IDF cosine vote by distance, each for the number of labelled
+    rows it stands for; leave-one-out votes of the examples calibrate the score.
     evidence: [{example, cosine, toxic}], nearest first. A text without any
-    term (null, empty or plain) gets the calibrated share of toxic rows among
-    such. Without examples of both classes no term is chosen, so every text is
-    of that kind. Examples don't vote on their own document.
+    term (null, empty or of other words only) gets the calibrated share of toxic
+    rows among such. Without examples of both classes no term is weighed, so every
+    text is of that kind. Examples don't vote on their own document.
     """
     examples = sample_examples(labels, learn, per_class)
     few = F.broadcast(examples)  # at most 2 * per_class rows
-    with_text = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(few, "doc_id").select("text", "toxic")
-    vocabulary = choose_terms(with_text, most_terms, z_least, odds_least)
-    vectors = durable(term_vectors(docs, vocabulary))
-    n = vectors.count()
-    idf = np.full(len(vocabulary), np.log(n + 1.0) + 1)
-    for r in vectors.select(F.explode("t").alias("t")).groupBy("t").count().collect():  # a row for each term at most
-        idf[r.t] = np.log((n + 1) / (r["count"] + 1)) + 1
-    rows = vectors.join(few, "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.first("weight").alias("weight"), F.max_by(F.struct("t", "tf"), F.size("t")).alias("v")).collect()
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    vocabulary, weights = weigh_terms(texts.join(few, "doc_id").select("text", "toxic"), z_full, odds_full, floor)
+    context = docs.sparkSession.sparkContext
+    at = context.broadcast({t: i for i, t in enumerate(vocabulary)})
+    df, n = document_frequencies(texts, at, len(vocabulary))
+    idf = weights * (np.log((n + 1) / (df + 1)) + 1)
     blank = np.zeros(2)
-    for r in rows:
-        if not r.v.t:
-            blank[r.toxic] += r.weight
     index = Index(idf, [], np.empty(0, int), np.empty(0), k=k)
-    used = [(r.doc_id, r.toxic, r.weight, np.array(r.v.t), index.unit(np.array(r.v.t), np.array(r.v.tf))) for r in rows if r.v.t]
-    used.sort(key=lambda u: (int(u[3][np.argmax(u[4])]), u[0]))  # alike examples share blocks, so bounds are tight
+    used = []
+    for doc_id, toxic, weight, t, tf in example_vectors(texts, few, at):
+        if len(t):
+            used.append((doc_id, toxic, weight, t, index.unit(t, tf)))
+        else:
+            blank[toxic] += weight
+    used.sort(key=lambda u: u[0])
     index.ids, index.toxic, index.weight = [u[0] for u in used], np.array([u[1] for u in used], int), np.array([u[2] for u in used])
     index.add([u[3:] for u in used])
     index.calibrate([u[3:] for u in used], blank)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = context.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
+        ix, read = shared.value, reader(at.value)
         own = {d: i for i, d in enumerate(ix.ids)}
-        for b in batches:
-            out, why = [], []
-            for d, t, tf in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist(), b.column("tf").to_pylist(), strict=True):
-                near = ix.nearest(np.array(t), ix.unit(np.array(t), np.array(tf)), own.get(d, -1)) if t else []
-                out.append(ix.score(near))
-                why.append([{"example": ix.ids[i], "cosine": c, "toxic": int(ix.toxic[i])} for c, i in near[:5]])
-            s = np.array(out, float)
-            kind = pa.list_(pa.struct([("example", b.column("doc_id").type), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(why, kind)], ["doc_id", "score", "predicted", "evidence"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                b = whole.slice(start, 512)
+                got = [read(text.as_py()) for text in b.column("text")]
+                some = [i for i, (t, _) in enumerate(got) if len(t)]
+                skips = [own.get(d, -1) for d in b.column("doc_id").to_pylist()]
+                near: list[list[tuple[float, int]]] = [[] for _ in got]
+                for i, found in zip(some, ix.nearest_all([(got[i][0], ix.unit(*got[i])) for i in some], [skips[i] for i in some]), strict=True):
+                    near[i] = found
+                s = np.array([ix.score(x) for x in near], float)
+                why = [[{"example": ix.ids[i], "cosine": c, "toxic": int(ix.toxic[i])} for c, i in x[:5]] for x in near]
+                kind = pa.list_(pa.struct([("example", b.column("doc_id").type), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(why, kind)], ["doc_id", "score", "predicted", "evidence"])
 
     evidence = F.array(F.struct(F.col("doc_id").alias("example"), F.lit(0.0).alias("cosine"), F.lit(0).alias("toxic")))
     schema = docs.select("doc_id", F.lit(0.5).alias("score"), F.lit(0).alias("predicted"), evidence.alias("evidence")).schema
-    return vectors.mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)

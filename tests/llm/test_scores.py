@@ -82,3 +82,35 @@ def test_evidence(spark):
     assert got[160].predicted == 1 and got[161].predicted == 0
     assert got[160].evidence[0].toxic == 1 and got[160].evidence[0].cosine == pytest.approx(1)
     assert all(e.example != 4 for e in got[4].evidence)
+
+
+def test_neighbours_over_whole_texts(spark):
+    """Words that go with no class, or are seen once, count: neighbours are those of a brute-force cosine over all terms."""
+    rng = np.random.default_rng(5)
+    bag = [f"{a}{b}{c}" for a in "kmt" for b in "aeiou" for c in "lnrs"]
+    texts = [" ".join(rng.choice(bag, 30)) + (" vile" if i % 5 == 0 else "") + (f" rareone{i // 2}" if i < 60 else "") for i in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    toxic = {i: int(i % 5 == 0) for i in range(120)}
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id bigint, toxic int")
+    got = {r.doc_id: r for r in toxicity.scores(docs, labels, F.lit(True)).collect()}
+    bags = [[t for w in toxicity.words(x.encode()) for t in toxicity.terms(w)] for x in texts]
+    at = {t: j for j, t in enumerate(sorted({t for i in toxic for t in bags[i]}))}
+    tf = np.zeros((160, len(at)))
+    for i, b in enumerate(bags):
+        for t in b:
+            if t in at:
+                tf[i, at[t]] += 1
+    y, on = np.array([toxic[i] for i in range(120)]), tf[:120] > 0
+    a, b = on[y == 1].sum(0) + 0.5, on[y == 0].sum(0) + 0.5
+    c, d = (y == 1).sum() + 1 - a, (y == 0).sum() + 1 - b
+    odds = np.abs(np.log(a * d / (b * c)))
+    weight = 0.05 + 0.95 * np.minimum(odds / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d) / 4, 1) * np.minimum(odds / np.log(8), 1)
+    v = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * weight * (np.log(161 / ((tf > 0).sum(0) + 1)) + 1)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for i in range(160):
+        cos = np.round(v[:120] @ v[i], 9)
+        if i < 120:
+            cos[i] = 0
+        want = np.sort(cos)[::-1][:5]
+        assert [e.cosine for e in got[i].evidence] == pytest.approx(want.tolist(), abs=1e-8)
+        assert all(cos[e.example] == pytest.approx(e.cosine, abs=1e-8) for e in got[i].evidence)
