@@ -50,7 +50,7 @@ class Index:
     toxic: np.ndarray
     weight: np.ndarray
     k: int = 16
-    common: float = 0.06
+    common: float = 0.08
     platt: tuple[float, float] = (1.0, 0.0)
     nothing: float = 0.0
 
@@ -91,14 +91,14 @@ class Index:
         """
         out: list[list[tuple[float, int]]] = []
         full = np.zeros(len(self.idf))
-        for at in range(0, len(vectors), 64):
-            part = vectors[at : at + 64]
+        for at in range(0, len(vectors), 256):
+            part = vectors[at : at + 256]
             q = np.zeros((len(part), len(self.matrix)), np.float32)
             for i, (t, v) in enumerate(part):
                 c = self.column[t]
                 q[i, c[c >= 0]] = v[c >= 0]
             close = q @ self.matrix
-            for (t, v), got, skip in zip(part, close, skips[at : at + 64], strict=True):
+            for (t, v), got, skip in zip(part, close, skips[at : at + 256], strict=True):
                 few = self.column[t] < 0
                 start, size = self.starts[t[few]], self.starts[t[few] + 1] - self.starts[t[few]]
                 where = _ranges(start, size)
@@ -201,23 +201,23 @@ def weigh_terms(texts: DataFrame, z_full: float, odds_full: float, floor: float)
 
 def reader(at: dict[str, int]) -> Callable[[bytes | None], Vector]:
     """A function that gives a text's known terms, in order, and how often each occurs in the whole text."""
-    known: dict[bytes, tuple[int, ...]] = {}
+    known: dict[bytes, np.ndarray] = {}
+    nothing = np.empty(0, np.int32)
 
-    def look(w: bytes) -> tuple[int, ...]:
+    def look(w: bytes) -> np.ndarray:
         if len(known) > 400_000:
             known.clear()
-        got = known[w] = tuple(at[t] for t in terms(w) if t in at)
+        got = known[w] = np.array([at[t] for t in terms(w) if t in at], np.int32)
         return got
 
     def read(text: bytes | None) -> Vector:
-        tf: dict[int, int] = {}
-        for w, n in Counter(words(text)).items():
-            got = known.get(w)
-            for i in look(w) if got is None else got:
-                tf[i] = tf.get(i, 0) + n
-        t, n = np.fromiter(tf, np.int32, len(tf)), np.fromiter(tf.values(), np.int32, len(tf))
-        order = np.argsort(t)
-        return t[order], n[order]
+        bag = Counter(words(text))
+        parts = [look(w) if (got := known.get(w)) is None else got for w in bag]
+        if not parts:
+            return nothing, nothing
+        n = np.repeat(np.fromiter(bag.values(), np.int32, len(bag)), [len(p) for p in parts])
+        t, which = np.unique(np.concatenate(parts), return_inverse=True)
+        return t, np.bincount(which, n, len(t)).astype(np.int32)
 
     return read
 
