@@ -1,9 +1,7 @@
-"""Embedding near-duplicates: sorted projection passes, then exact links within what they join."""
+"""Embedding near-duplicates: all pairs, compared exactly in blocks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +17,7 @@ def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
 
 
 def unit_vectors(rows: DataFrame) -> DataFrame:
-    """(class_id, members, unit array<double>): one row for each distinct usable vector of rows (vec_id, embedding).
+    """(class_id, members, v array<double>): one row for each distinct usable vector of rows (vec_id, embedding).
 
     Vectors that are null, zero, or hold null or non-finite components are left
     out. Copies share a class; class_id is its smallest vec_id and members the
@@ -28,134 +26,90 @@ def unit_vectors(rows: DataFrame) -> DataFrame:
     v = F.transform("embedding", lambda x: x.cast("double"))
     usable = rows.select("vec_id", v.alias("v")).where("vec_id is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x != 0)")
     classes = usable.groupBy("v").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("members"))
-    # scaled by the largest component first: squares of tiny or huge components stay in range
-    scaled = classes.withColumn("m", F.array_max(F.transform("v", lambda x: F.abs(x)))).withColumn("s", F.expr("transform(v, x -> x / m)"))
-    norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x))
-    return scaled.withColumn("n", norm).select("class_id", "members", "v", F.expr("transform(s, x -> x / n)").alias("unit"))
-
-
-def _signatures(width: int, passes: int, bits: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, width]).standard_normal((passes * bits, width))
-
-
-def sorted_passes(units: DataFrame, threshold: float, passes: int, neighbours: int, bits: int, seed: int) -> DataFrame:
-    """Verified edges (a, b) between classes that stand within `neighbours` places in some pass.
-
-    In a pass, each vector's random hyperplane hashes are concatenated to a key
-    and all vectors are ordered by it: a range shuffle, no single task. Each is
-    then compared with the `neighbours` before it. Passes have hashes of their
-    own, so what one pass puts apart, or either side of a task's border, another
-    brings together. Of the verified pairs, a task returns those that join
-    something new in it.
-    """
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            widths = np.diff(b.column("unit").offsets.to_numpy())
-            for w in np.unique(widths):
-                part = b.take(pa.array(np.flatnonzero(widths == w)))
-                x = _matrix(part.column("unit"))
-                on = (x @ _signatures(int(w), passes, bits, seed).T > 0).reshape(len(x), passes, bits)
-                for p in range(passes):
-                    packed = np.packbits(on[:, p], axis=1)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(x), p, np.int32)), pa.array(np.full(len(x), w, np.int32)), pa.array([r.tobytes() for r in packed], pa.binary()), part.column("class_id"), part.column("unit")],
-                        ["pass", "width", "key", "class_id", "unit"],
-                    )
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root: dict[int, int] = {}
-
-        def find(i: int) -> int:
-            while (up := root.get(i, i)) != i:
-                root[i] = root.get(up, up)
-                i = up
-            return i
-
-        for (_, width), ids, x, old in _runs(batches, neighbours):
-            out: tuple[list[int], list[int]] = ([], [])
-            for off in range(1, min(neighbours, len(ids) - 1) + 1):
-                close = np.flatnonzero(np.einsum("ij,ij->i", x[off:], x[:-off]) >= threshold - 1e-9)
-                for i in close[close + off >= old].tolist():
-                    a, b = find(int(ids[i])), find(int(ids[i + off]))
-                    if a != b:
-                        root[max(a, b)] = min(a, b)
-                        out[0].append(int(ids[i]))
-                        out[1].append(int(ids[i + off]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
-
-    keyed = units.select("class_id", "unit").mapInArrow(keys, "pass int, width int, key binary, class_id bigint, unit array<double>")
-    order = ["pass", "width", "key", "class_id"]
-    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, "a bigint, b bigint")
-
-
-def _runs(batches: Iterator[pa.RecordBatch], keep: int):
-    """(pass, width), ids, matrix and how many rows were there before; each run starts with the last `keep` rows of the one before."""
-    held = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        p, w = b.column("pass").to_numpy(), b.column("width").to_numpy()
-        cuts = np.flatnonzero((p[1:] != p[:-1]) | (w[1:] != w[:-1])) + 1
-        for a, z in zip(np.append(0, cuts).tolist(), np.append(cuts, len(p)).tolist(), strict=True):
-            part = b.slice(a, z - a)
-            ids, x, name = part.column("class_id").to_numpy(), _matrix(part.column("unit")), (int(p[a]), int(w[a]))
-            old = 0
-            if held and held[0] == name:
-                old = len(held[1])
-                ids, x = np.concatenate((held[1], ids)), np.concatenate((held[2], x))
-            yield name, ids, x, old
-            held = (name, ids[-keep:], x[-keep:])
-
-
-def links_within(grouped: DataFrame, threshold: float, tile: int) -> DataFrame:
-    """(class_id, others): how many vectors of other classes each class links with, exactly, within its group.
-
-    grouped: component, class_id, members, v. A group is cut by hash into chunks of about
-    `tile` classes, and each pair of chunks is compared in a task's block of
-    its own, in double precision; only counts leave it.
+    return classes.select("class_id", "members", "v")
+
+
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """root, where each place names the least of its group, after the groups of a[i] and b[i] became one for each i."""
+    while True:
+        x, y = root[a], root[b]
+        new = x != y
+        if not new.any():
+            return root
+        a, b, x, y = a[new], b[new], x[new], y[new]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+
+
+def all_links(units: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """(class_id, root, others): how many vectors of other classes each class links with, and one it hangs together with.
+
+    units: class_id, members, v. All pairs of one width are compared: the classes
+    are cut by hash into chunks of about `tile`, and a task takes a pair of
+    chunks, so a row is sent out once for each chunk. A class has a row for
+    each task in which it links; root is the least class there that it reaches.
+    Cosines in single precision decide but where they are close to the
+    threshold; there double precision does.
     """
-    sizes = grouped.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks"))
-    rows = grouped.join(sizes, "component").withColumn("c", F.pmod(F.xxhash64("class_id"), F.col("chunks")).cast("int"))
+    width = F.size("v").alias("width")
+    sizes = units.groupBy(width).agg(F.greatest(F.lit(4), F.ceil(F.count("*") / tile)).cast("int").alias("chunks"))
+    rows = units.withColumn("width", width).join(F.broadcast(sizes), "width").withColumn("c", F.pmod(F.xxhash64("class_id"), F.col("chunks")).cast("int"))
     tiles = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiles = tiles.select("component", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "class_id", "members", "v")
+    tiles = tiles.select("width", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "class_id", "members", "v")
 
-    def count(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         _, i, j = (k.as_py() for k in key)
-        own, ids, members = t.column("c").to_numpy(), t.column("class_id").to_numpy(), t.column("members").to_numpy()
+        t = t.sort_by("class_id")
+        own, ids, members = (t.column(n).to_numpy() for n in ("c", "class_id", "members"))
         x = _matrix(t.column("v").combine_chunks())
-        x = x / np.abs(x).max(axis=1, keepdims=True)
+        x /= np.abs(x).max(axis=1, keepdims=True)  # squares of tiny or huge components stay in range
         norm = np.sqrt((x * x).sum(axis=1))
-        left, right = (own == i), (own == j)
-        got = np.zeros(len(ids), np.int64)
-        a, b = np.flatnonzero(left), np.flatnonzero(right)
-        for at in range(0, len(a), 512):
-            part = a[at : at + 512]
-            near = (x[part] @ x[b].T) / (norm[part, None] * norm[None, b]) >= threshold
-            near &= ids[part, None] != ids[None, b]
-            got[part] += near @ members[b]
-            if i != j:
-                got[b] += near.T @ members[part]
-        return pa.table({"class_id": ids, "others": got})
-
-    counted = tiles.groupBy("component", "i", "j").applyInArrow(count, "class_id bigint, others bigint")
-    return counted.groupBy("class_id").agg(F.sum("others").alias("others"))
-
-
-def near_duplicates(rows: DataFrame, threshold: float = 0.95, passes: int = 16, neighbours: int = 48, bits: int = 128, seed: int = 11, tile: int = 1024) -> DataFrame:
+        unit = (x / norm[:, None]).astype(np.float32)
+        slack, step = max(1e-5, 1e-7 * x.shape[1]), 2048
+        others, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        for at in range(0, len(left), step):
+            a = left[at : at + step]
+            for to in range(at if i == j else 0, len(right), step):
+                b = right[to : to + step]
+                cos = unit[a] @ unit[b].T
+                near = cos >= threshold - slack
+                if i == j and at == to:
+                    near = np.triu(near, 1)
+                r, c = np.nonzero(near)
+                if not len(r):
+                    continue
+                sure = cos[r, c] >= threshold + slack
+                r, c = a[r], b[c]
+                check = np.flatnonzero(~sure)
+                for part in (check[k : k + 65536] for k in range(0, len(check), 65536)):
+                    p, q = r[part], c[part]
+                    sure[part] = np.einsum("ij,ij->i", x[p], x[q]) / (norm[p] * norm[q]) >= threshold
+                r, c = r[sure], c[sure]
+                for one, other in ((r, c), (c, r)):
+                    others += np.bincount(one, members[other], len(ids)).astype(np.int64)
+                root = _join(root, r, c)
+        some = others > 0
+        return pa.table({"class_id": ids[some], "root": ids[root[some]], "others": others[some]})
+
+    return tiles.groupBy("width", "i", "j").applyInArrow(compare, "class_id bigint, root bigint, others bigint")
+
+
+def near_duplicates(rows: DataFrame, threshold: float = 0.95, tile: int = 32_768) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of rows (vec_id, embedding).
 
-    Sorted projection passes propose and verify pairs, their union gives
-    groups, and within each group all pairs are checked, so dense groups lose
-    no link to the bounded windows. A pair counts only at cosine >= threshold
-    in double precision. Vectors that `unit_vectors` leaves out link with
+    All pairs are compared, so no link is lost at any size or density, and the
+    work grows with the square of the distinct vectors. A pair counts, for links
+    and components alike, only at cosine >= threshold in double precision. Vectors that `unit_vectors` leaves out link with
     nothing. Rows that repeat a vec_id each get a row; rows with a null vec_id
     have no links, a null component and kept false. An empty table gives an
     empty result.
     """
     units = durable(unit_vectors(rows))
-    groups = connected_components(sorted_passes(units, threshold, passes, neighbours, bits, seed)).withColumnRenamed("node", "class_id")
-    linked = links_within(units.select("class_id", "members", "v").join(groups, "class_id"), threshold, tile)
+    links = durable(all_links(units, threshold, tile))
+    groups = connected_components(links.select(F.col("class_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "class_id")
+    linked = links.groupBy("class_id").agg(F.sum("others").alias("others"))
     known = units.join(groups, "class_id", "left").join(linked, "class_id", "left").select("v", "members", F.coalesce("component", "class_id").alias("component"), F.coalesce("others", F.lit(0)).alias("others"))
     own = rows.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     found = own.join(known, "v", "left").withColumn("usable", F.col("component").isNotNull() & F.col("vec_id").isNotNull())

@@ -171,3 +171,22 @@ def test_vectors(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert (got[None].n_links, got[None].component_id, got[None].kept) == (0, None, False)
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+def test_vectors_in_a_hot_cone(spark):
+    """Isolated pairs at cosine 0.951 among vectors that all have cosine 0.8 with each other."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12_000, 64)) + 0.0
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    axis = np.eye(64)[0]
+    x = np.sqrt(0.8) * axis + np.sqrt(0.2) * (x - np.outer(x[:, 0], axis)) / np.linalg.norm(x[:, 1:], axis=1)[:, None]
+    e = rng.normal(size=(300, 64))
+    e -= np.einsum("ij,ij->i", e, x[:300])[:, None] * x[:300]
+    x[300:600] = 0.951 * x[:300] + np.sqrt(1 - 0.951**2) * e / np.linalg.norm(e, axis=1, keepdims=True)
+    cos = x @ x.T
+    np.fill_diagonal(cos, 0)
+    want = (cos >= 0.95).sum(1)
+    assert (want[:600] > 0).all()
+    got = {r.vec_id: r for r in vectors.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")).collect()}
+    assert [got[i].n_links for i in range(len(x))] == want.tolist()
+    assert all(got[i].component_id == got[i + 300].component_id for i in range(300))
