@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -199,38 +200,43 @@ def weigh_terms(texts: DataFrame, z_full: float, odds_full: float, floor: float)
     return counts["term"][1:].to_pylist(), floor + (1 - floor) * np.minimum(z / z_full, 1) * np.minimum(odds / np.log(odds_full), 1)
 
 
-def reader(at: dict[str, int]) -> Callable[[bytes | None], Vector]:
-    """A function that gives a text's known terms, in order, and how often each occurs in the whole text."""
-    known: dict[bytes, np.ndarray] = {}
-    nothing = np.empty(0, np.int32)
+class Reader:
+    """Gives a text's known terms, in order, and how often each occurs in the whole text."""
 
-    def look(w: bytes) -> np.ndarray:
-        if len(known) > 400_000:
-            known.clear()
-        got = known[w] = np.array([at[t] for t in terms(w) if t in at], np.int32)
+    def __init__(self, at: dict[str, int]) -> None:
+        self.at = at
+        self.known: dict[bytes, np.ndarray] = {}
+
+    def look(self, w: bytes) -> np.ndarray:
+        if len(self.known) > 400_000:
+            self.known.clear()
+        got = self.known[w] = np.array([self.at[t] for t in terms(w) if t in self.at], np.int32)
         return got
 
-    def read(text: bytes | None) -> Vector:
+    def parts(self, bag: Iterable[bytes]) -> list[np.ndarray]:
+        known = self.known
+        return [self.look(w) if (got := known.get(w)) is None else got for w in bag]
+
+    def read(self, text: bytes | None) -> Vector:
         bag = Counter(words(text))
-        parts = [look(w) if (got := known.get(w)) is None else got for w in bag]
+        parts = self.parts(bag)
         if not parts:
-            return nothing, nothing
+            return np.empty(0, np.int32), np.empty(0, np.int32)
         n = np.repeat(np.fromiter(bag.values(), np.int32, len(bag)), [len(p) for p in parts])
         t, which = np.unique(np.concatenate(parts), return_inverse=True)
         return t, np.bincount(which, n, len(t)).astype(np.int32)
 
-    return read
-
 
 def document_frequencies(docs: DataFrame, at: Broadcast, many: int, piece: int = 8192) -> tuple[np.ndarray, int]:
     """In how many rows of docs each of the `many` terms occurs, and the number of rows. A task's counts leave it in pieces."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, own = reader(at.value), np.zeros(many + 1, np.int64)
+        reader, own = Reader(at.value), np.zeros(many + 1, np.int64)
         for b in batches:
             own[many] += b.num_rows
             for text in b.column("text"):
-                own[read(text.as_py())[0]] += 1
+                if parts := reader.parts(set(words(text.as_py()))):
+                    own[np.concatenate(parts)] += 1  # a place that repeats counts once
         if own[many]:
             cuts = range(0, many + 1, piece)
             yield pa.RecordBatch.from_arrays([pa.array(list(cuts), pa.int32()), pa.array([own[c : c + piece].tobytes() for c in cuts], pa.binary())], ["piece", "counts"])
@@ -251,7 +257,7 @@ def example_vectors(docs: DataFrame, examples: DataFrame, at: Broadcast) -> list
     """(doc_id, toxic, weight, t, tf) of each example that docs hold; of several texts of an id, that with most terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = reader(at.value)
+        read = Reader(at.value).read
         for b in batches:
             got = [read(text.as_py()) for text in b.column("text")]
             new = [pa.array([len(t) for t, _ in got], pa.int32()), *(pa.array([g[c].tobytes() for g in got], pa.binary()) for c in (0, 1))]
@@ -293,17 +299,26 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float =
     used = []
     for doc_id, toxic, weight, t, tf in example_vectors(texts, few, at):
         if len(t):
-            used.append((doc_id, toxic, weight, t, index.unit(t, tf)))
+            used.append((doc_id, toxic, weight, t, tf))
         else:
             blank[toxic] += weight
     used.sort(key=lambda u: u[0])
     index.ids, index.toxic, index.weight = [u[0] for u in used], np.array([u[1] for u in used], int), np.array([u[2] for u in used])
-    index.add([u[3:] for u in used])
-    index.calibrate([u[3:] for u in used], blank)
-    shared = context.broadcast(index)
+    units = [(t, index.unit(t, tf)) for *_, t, tf in used]
+    index.add(units)
+    index.calibrate(units, blank)
+    # only counts are sent out, packed; each worker builds the index from them once
+    shared = context.broadcast((replace(index), [zlib.compress(np.concatenate((np.diff(t, prepend=0), tf)).astype(np.int32).tobytes(), 1) for *_, t, tf in used]))
+
+    def opened() -> Index:
+        ix, packed = shared.value
+        if not hasattr(ix, "rows"):
+            pairs = (np.frombuffer(zlib.decompress(p), np.int32).reshape(2, -1) for p in packed)
+            ix.add([(t, ix.unit(t, tf)) for t, tf in ((np.cumsum(steps), tf) for steps, tf in pairs)])
+        return ix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, read = shared.value, reader(at.value)
+        ix, read = opened(), Reader(at.value).read
         own = {d: i for i, d in enumerate(ix.ids)}
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
