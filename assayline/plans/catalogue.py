@@ -472,4 +472,24 @@ def pairwise_rbf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.distances(x.where("role = 'pred'").select("g", "sample_id", "x"), cal, ["g"]).select("sample_id", "other", (F.round(F.exp(-0.01 * F.col("dist") * F.col("dist")), 6) + F.lit(0.0)).alias("rbf"))
 
 
+def _both_roles(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    x = views.signals(spark, sf_dir)
+    ref = views.reference(spark, sf_dir).where("target = 'T1'").select("sample_id", "value")
+    cal = x.where("role = 'cal'").join(ref, "sample_id").select(F.col("sample_id").alias("other"), F.col("x").alias("x2"), "value")
+    return x.where("role = 'pred'").select("sample_id", "x"), cal
+
+
+@query()
+def knn_predict_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """knn_predict without its groups: each prediction row against all calibration rows."""
+    return neighbours.weighted_knn(*_both_roles(spark, sf_dir), [], 5).select("sample_id", *rounded("predicted"), "neighbours")
+
+
+@query()
+def pairwise_rbf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pairwise_rbf without its groups: the whole kernel matrix."""
+    pred, cal = _both_roles(spark, sf_dir)
+    return neighbours.distances(pred, cal.drop("value"), []).select("sample_id", "other", (F.round(F.exp(-0.01 * F.col("dist") * F.col("dist")), 6) + F.lit(0.0)).alias("rbf"))
+
+
 __all__ = ["CONFIG", "ORACLE_SQL", "QUERIES", "half_even"]

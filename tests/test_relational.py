@@ -123,3 +123,24 @@ def test_robustness(spark):
     assert got["m"].median_rp2 == pytest.approx(0.75) and got["m"].q10_rp2 == pytest.approx(0.71) and got["n"].reliability == 0
     wins = robustness.weight_sensitivity(parts, "target", ["model"], (20, 16, 16, 12, 12, 4), 50, 1).collect()
     assert sum(r.wins for r in wins) == 50 and wins[0].model == "m"
+
+
+def test_neighbours_among_all_samples(spark):
+    import numpy as np
+
+    from assayline.plans import catalogue, views
+
+    sf = "/root/testdata/sf0.01"
+    rows = views.signals(spark, sf).join(views.reference(spark, sf).where("target = 'T1'"), "sample_id").orderBy("sample_id").collect()
+    pred, cal = ([r for r in rows if r.role == role] for role in ("pred", "cal"))
+    d = np.linalg.norm(np.array([r.x for r in pred])[:, None] - np.array([r.x for r in cal])[None], axis=2)
+    got = {r.sample_id: r for r in catalogue.QUERIES["knn_predict_all"](spark, sf).collect()}
+    assert len(got) == len(pred)
+    for i, r in enumerate(pred):
+        near = np.argsort(d[i], kind="stable")[:5]
+        w = 1 / np.maximum(d[i, near], 1e-12)
+        assert got[r.sample_id].neighbours == 5
+        assert abs(got[r.sample_id].predicted - (w * [cal[j].value for j in near]).sum() / w.sum()) < 1e-5
+    rbf = {(r.sample_id, r.other): r.rbf for r in catalogue.QUERIES["pairwise_rbf_all"](spark, sf).collect()}
+    assert len(rbf) == d.size
+    assert max(abs(rbf[p.sample_id, c.sample_id] - np.exp(-0.01 * d[i, j] ** 2)) for i, p in enumerate(pred) for j, c in enumerate(cal)) < 1e-5
