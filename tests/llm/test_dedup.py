@@ -190,3 +190,11 @@ def test_vectors_in_a_hot_cone(spark):
     got = {r.vec_id: r for r in vectors.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")).collect()}
     assert [got[i].n_links for i in range(len(x))] == want.tolist()
     assert all(got[i].component_id == got[i + 300].component_id for i in range(300))
+
+
+def test_vectors_just_below_the_threshold(spark):
+    """A pair that is no link shares no component."""
+    c = 0.95 - 5e-10
+    rows = [(1, [1.0, 0.0]), (2, [c, float(np.sqrt(1 - c * c))])]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == {(1, 0, 1, True), (2, 0, 2, True)}
