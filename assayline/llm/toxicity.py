@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,17 +17,19 @@ from assayline.llm.common import durable
 
 #: Bytes that end a word become spaces: all ASCII but digits and letters.
 _SEPARATE = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-PREFIXES = (4, 5, 6)
+PREFIXES = (4,)
 
 
 def words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().translate(_SEPARATE).split()
 
 
-def terms(word: bytes) -> list[str]:
-    """A word and its beginnings, which stand for its inflections."""
+def terms(word: bytes) -> list[bytes]:
+    """A word and its beginnings, by characters, which stand for its inflections."""
+    if word.isascii():
+        return [word] + [word[:n] + b"*" for n in PREFIXES if len(word) >= n]
     w = word.decode("utf-8", "replace")
-    return [w] + [f"{w[:n]}*" for n in PREFIXES if len(w) >= n]
+    return [w.encode()] + [f"{w[:n]}*".encode() for n in PREFIXES if len(w) >= n]
 
 
 Vector = tuple[np.ndarray, np.ndarray]
@@ -39,9 +41,29 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _alike(x: np.ndarray, size: int) -> np.ndarray:
+    """An order of the rows of x in which blocks of `size` hold rows that lie close: halved by one column after the other."""
+    todo, out = [(np.arange(len(x)), 0)], []
+    while todo:
+        rows, d = todo.pop()
+        if len(rows) <= size:
+            out.append(rows)
+            continue
+        rows = rows[np.argsort(x[rows, d % x.shape[1]], kind="stable")]
+        cut = -(-len(rows) // (2 * size)) * size
+        todo += [(rows[cut:], d + 1), (rows[:cut], d + 1)]
+    return np.concatenate(out)
+
+
 @dataclass
 class Index:
-    """Unit TF-IDF vectors of the examples: frequent terms as a matrix, the others as postings.
+    """Unit TF-IDF vectors of the examples as a block-max inverted index.
+
+    Examples stand in blocks of like ones. Rare terms have plain postings. A
+    frequent term's postings are a column in each block's matrix, and its peak
+    is the greatest weight that it has in the block: the rare terms' sum and
+    the peaks bound every cosine of a block, so that blocks which can't hold
+    one of the k nearest are passed over unread.
 
     idf: each term's weight, a share of its inverse document frequency.
     """
@@ -52,6 +74,7 @@ class Index:
     weight: np.ndarray
     k: int = 16
     common: float = 0.08
+    block: int = 64
     platt: tuple[float, float] = (1.0, 0.0)
     nothing: float = 0.0
 
@@ -61,66 +84,103 @@ class Index:
 
     def add(self, vectors: list[Vector]) -> None:
         """vectors: terms and weights of each example, in the order of ids."""
-        self.size = len(vectors)
-        sizes = np.array([len(t) for t, _ in vectors], np.int64)
-        self.rows = np.append(0, np.cumsum(sizes))
-        self.t = np.concatenate([t for t, _ in vectors] or [[]]).astype(np.int32)
-        self.v = np.concatenate([v for _, v in vectors] or [[]]).astype(np.float64)
-        seen: dict[tuple[bytes, bytes], int] = {}
-        self.same = np.array([seen.setdefault((t.tobytes(), v.tobytes()), i) for i, (t, v) in enumerate(vectors)], np.int64)  # the first equal example
-        df = np.bincount(self.t, minlength=len(self.idf))
-        head = np.flatnonzero(df > self.common * self.size)
+        n, sizes = len(vectors), np.array([len(t) for t, _ in vectors], np.int64)
+        t = np.concatenate([t for t, _ in vectors] or [[]]).astype(np.int32)
+        v = np.concatenate([v for _, v in vectors] or [[]]).astype(np.float64)
+        owner = np.repeat(np.arange(n), sizes)
+        mix = np.random.default_rng(0).standard_normal((12, len(self.idf)))
+        self.example = _alike(np.stack([np.bincount(owner, v * m[t], n) for m in mix], 1), self.block) if n else owner  # by slot
+        slot = np.empty(n, np.int64)
+        slot[self.example] = np.arange(n)
+        owner = slot[owner]
+        df = np.bincount(t, minlength=len(self.idf))
+        head = np.flatnonzero(df > self.common * n)
         self.column = np.full(len(self.idf), -1, np.int32)
         self.column[head] = np.arange(len(head))
-        self.matrix = np.zeros((len(head), self.size), np.float32)
-        owner, col = np.repeat(np.arange(self.size), sizes), self.column[self.t]
-        self.matrix[col[col >= 0], owner[col >= 0]] = self.v[col >= 0]
+        col = self.column[t]
+        blocks = -(-n // self.block)
+        self.size = blocks * self.block
+        matrix = np.zeros((self.size, len(head)), np.float32)
+        matrix[owner[col >= 0], col[col >= 0]] = v[col >= 0]
+        self.matrix = matrix.reshape(blocks, self.block, len(head))
+        self.peak = np.ascontiguousarray(self.matrix.max(axis=1).T) if n else np.zeros((0, 0), np.float32)
+        frequent = np.flatnonzero(col >= 0)
+        frequent = frequent[np.argsort(owner[frequent], kind="stable")]
+        self.head_col, self.head_v = col[frequent], v[frequent]
+        self.head_rows = np.append(0, np.cumsum(np.bincount(owner[frequent], minlength=self.size)))
         rest = np.flatnonzero(col < 0)
-        rest = rest[np.argsort(self.t[rest], kind="stable")]
-        self.post, self.post_v = owner[rest].astype(np.int32), self.v[rest].astype(np.float32)
-        self.starts = np.append(0, np.cumsum(np.where(self.column < 0, df, 0)))
+        rest = rest[np.argsort(t[rest], kind="stable")]
+        self.post, self.post_v = np.empty((len(rest), 2), np.int32), v[rest]
+        self.post[:, 0], self.post[:, 1] = owner[rest], v[rest].astype(np.float32).view(np.int32)  # slot and weight side by side: one look-up
+        self.starts = np.append(0, np.cumsum(np.where(self.column < 0, df, 0))).astype(np.int64)
 
     def nearest(self, t: np.ndarray, v: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
         """The k examples of greatest cosine above zero, exactly; of equal ones those that come first."""
         return self.nearest_all([(t, v)], [skip])[0]
 
     def nearest_all(self, vectors: list[Vector], skips: list[int]) -> list[list[tuple[float, int]]]:
-        """`nearest` of each vector.
+        """`nearest` of each vector, which `skips` keeps from one example each (-1: none).
 
-        All cosines are taken in single precision; those not surely below the
-        k-th are taken again in double precision, and these decide.
+        Frequent terms count in single precision first; what is not surely below
+        the k-th counts again in double precision, and that decides.
         """
+        slot = np.empty(len(self.example) + 1, np.int64)
+        slot[self.example] = np.arange(len(self.example))
+        slot[-1] = -1
+        return [near for at in range(0, len(vectors), 64) for near in self._nearest(vectors[at : at + 64], slot[skips[at : at + 64]])]
+
+    def _nearest(self, vectors: list[Vector], skips: np.ndarray) -> list[list[tuple[float, int]]]:
+        m, blocks, slack = len(vectors), len(self.matrix), 1e-5
+        if not self.size:
+            return [[] for _ in vectors]
+        q, close, met = np.zeros((m, len(self.peak)), np.float32), np.empty((m, self.size), np.float32), []
+        pairs = self.post.view(np.int64).ravel()
+        for i, (t, v) in enumerate(vectors):
+            c = self.column[t]
+            frequent, rare = np.flatnonzero(c >= 0), np.flatnonzero(c < 0)
+            q[i, c[frequent]] = v[frequent]
+            first, w = self.starts[t[rare]], v[rare]
+            size = self.starts[t[rare] + 1] - first
+            where = _ranges(first, size)
+            got = pairs[where].view(np.int32).reshape(-1, 2)
+            to = got[:, 0].astype(np.intp)
+            close[i] = np.bincount(to, got[:, 1].view(np.float32) * np.repeat(w.astype(np.float32), size), self.size)
+            met.append((where, to, np.cumsum(size), w, c[frequent], v[frequent]))
+        out_of = np.flatnonzero(skips >= 0)
+        close[out_of, skips[out_of]] = -2.0  # no frequent terms bring it above zero
+        # weights are above zero, so the k-th of the rare terms' sums is a floor already
+        bound = close.reshape(m, blocks, -1).max(axis=2) + q @ self.peak
+        due = bound >= self._kth(close)[:, None] - slack
+        if due.mean() > 0.6:
+            close += q @ self.matrix.reshape(self.size, -1).T
+        else:
+            for j in np.flatnonzero(due.any(axis=0)):
+                rows = np.flatnonzero(due[:, j])
+                close[rows, j * self.block : (j + 1) * self.block] += q[rows] @ self.matrix[j].T
         out: list[list[tuple[float, int]]] = []
-        full = np.zeros(len(self.idf))
-        for at in range(0, len(vectors), 256):
-            part = vectors[at : at + 256]
-            q = np.zeros((len(part), len(self.matrix)), np.float32)
-            for i, (t, v) in enumerate(part):
-                c = self.column[t]
-                q[i, c[c >= 0]] = v[c >= 0]
-            close = q @ self.matrix
-            for (t, v), got, skip in zip(part, close, skips[at : at + 256], strict=True):
-                few = self.column[t] < 0
-                start, size = self.starts[t[few]], self.starts[t[few] + 1] - self.starts[t[few]]
-                where = _ranges(start, size)
-                got += np.bincount(self.post[where], self.post_v[where] * np.repeat(v[few].astype(np.float32), size), self.size)
-                if skip >= 0:
-                    got[skip] = 0
-                least = np.partition(got, self.size - self.k)[self.size - self.k] - 1e-5 if self.size > self.k else 0.0
-                found = np.flatnonzero(got > max(float(least), 0.0))
-                if not len(found):
-                    out.append([])
-                    continue
-                first, which = np.unique(self.same[found], return_inverse=True)
-                size = self.rows[first + 1] - self.rows[first]
-                where = _ranges(self.rows[first], size)
-                full[t] = v
-                exact = np.round(np.add.reduceat(full[self.t[where]] * self.v[where], np.cumsum(size) - size), 12)[which]
-                full[t] = 0
-                order = np.lexsort((found, -exact))[: self.k]
-                out.append(list(zip(exact[order].tolist(), found[order].tolist(), strict=True)))
+        part, place = np.zeros(len(self.peak)), np.full(self.size, -1, np.int32)
+        for i, least in enumerate(self._kth(close)):
+            found = np.flatnonzero(close[i] > max(least - slack, 0.0))
+            where, to, ends, w, c, v = met[i]
+            place[found] = np.arange(len(found))
+            to = place[to]
+            own = np.flatnonzero(to >= 0)
+            exact = np.bincount(to[own], self.post_v[where[own]] * w[np.searchsorted(ends, own, "right")], len(found))
+            place[found] = -1
+            size = self.head_rows[found + 1] - self.head_rows[found]
+            at = _ranges(self.head_rows[found], size)
+            part[c] = v
+            exact = exact + np.bincount(np.repeat(np.arange(len(found)), size), part[self.head_col[at]] * self.head_v[at], len(found))
+            part[c] = 0.0
+            exact, which = np.round(exact, 12), self.example[found]
+            order = np.lexsort((which, -exact))[: self.k]
+            out.append(list(zip(exact[order].tolist(), which[order].tolist(), strict=True)))
         return out
 
+    def _kth(self, close: np.ndarray) -> np.ndarray:
+        """Each row's k-th greatest cosine so far."""
+        return np.partition(close, self.size - self.k, axis=1)[:, self.size - self.k] if self.size > self.k else np.zeros(len(close), np.float32)
+
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Log-odds of the distance-weighted votes, each for as many labelled rows as its example stands for."""
         votes = [0.0, 0.0]
@@ -134,12 +194,12 @@ class Index:
         a, b = self.platt
         return float(1 / (1 + np.exp(-np.clip(a * self.vote(near) + b, -500, 500))))
 
-    def calibrate(self, vectors: list[Vector], blank: np.ndarray) -> None:
-        """Leave-one-out votes give the Platt curve; `blank` holds the weights of examples without terms, by class."""
+    def calibrate(self, votes: list[tuple[int, float | None]], blank: np.ndarray) -> None:
+        """The Platt curve from (example, its leave-one-out vote); `blank` holds the weights of examples without terms, by class."""
         x, y, w = [], [], []
-        for i, near in enumerate(self.nearest_all(vectors, list(range(len(vectors))))):
-            if near:
-                x.append(self.vote(near))
+        for i, vote in votes:
+            if vote is not None:
+                x.append(vote)
                 y.append(self.toxic[i])
                 w.append(self.weight[i])
             else:
@@ -176,22 +236,31 @@ def sample_examples(labels: DataFrame, learn: Column, per_class: int) -> DataFra
     return durable(out)
 
 
-def weigh_terms(texts: DataFrame, z_full: float, odds_full: float, floor: float) -> tuple[list[str], np.ndarray]:
+def example_texts(texts: DataFrame, examples: DataFrame) -> DataFrame:
+    """(ids, toxic, weight, text): one row for each distinct text of texts (doc_id, text) and class that examples (doc_id, toxic, weight) give it.
+
+    Copies are one example of their joint weight, and ids are theirs. As many rows at most as examples have texts.
+    """
+    joined = texts.join(F.broadcast(examples), "doc_id").withColumn("h", F.sha2("text", 256))
+    return durable(joined.groupBy("h", "toxic").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"), F.sum("weight").alias("weight"), F.first("text").alias("text")).drop("h"))
+
+
+def weigh_terms(texts: DataFrame, z_full: float, odds_full: float, floor: float) -> tuple[list[bytes], np.ndarray]:
     """All terms of the examples (text, toxic), in order, and the weight of each: 1 for terms that go with a class
-    surely, by |z| of the log-odds ratio of their document counts, and strongly, by the ratio itself; less, but
+    surely, by |z| of the log-odds ratio of their counts over distinct texts, and strongly, by the ratio itself; less, but
     never below `floor`, for others, such as words of a language in which one class is merely more common."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own: dict[str, list[int]] = {"": [0, 0]}
+            own: dict[bytes, list[int]] = {b"": [0, 0]}
             for text, y in zip(b.column("text"), b.column("toxic").to_pylist(), strict=True):
-                own[""][y] += 1
+                own[b""][y] += 1
                 for t in {t for w in set(words(text.as_py())) for t in terms(w)}:
                     own.setdefault(t, [0, 0])[y] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), *(pa.array([v[c] for v in own.values()], pa.int64()) for c in (0, 1))], ["term", "n0", "n1"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), *(pa.array([v[c] for v in own.values()], pa.int64()) for c in (0, 1))], ["term", "n0", "n1"])
 
-    counts = texts.mapInArrow(count, "term string, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow().sort_by("term")
-    if not counts.num_rows or not (counts["n0"][0].as_py() and counts["n1"][0].as_py()):  # '' comes first
+    counts = texts.mapInArrow(count, "term binary, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow().sort_by("term")
+    if not counts.num_rows or not (counts["n0"][0].as_py() and counts["n1"][0].as_py()):  # b"" comes first
         return [], np.empty(0)
     n0, n1 = (counts[n].to_numpy().astype(np.float64) for n in ("n0", "n1"))
     a, b, c, d = n1[1:] + 0.5, n0[1:] + 0.5, n1[0] + 0.5 - n1[1:], n0[0] + 0.5 - n0[1:]
@@ -200,31 +269,34 @@ def weigh_terms(texts: DataFrame, z_full: float, odds_full: float, floor: float)
     return counts["term"][1:].to_pylist(), floor + (1 - floor) * np.minimum(z / z_full, 1) * np.minimum(odds / np.log(odds_full), 1)
 
 
-class Reader:
-    """Gives a text's known terms, in order, and how often each occurs in the whole text."""
+class Reader(dict):
+    """Gives a text's known terms, in order, and how often each occurs in the whole text. Holds words' terms, as bytes."""
 
-    def __init__(self, at: dict[str, int]) -> None:
-        self.at = at
-        self.known: dict[bytes, np.ndarray] = {}
+    def __init__(self, at: dict[bytes, int], most: int = 400_000) -> None:
+        super().__init__()
+        self.at, self.most = at, most
 
-    def look(self, w: bytes) -> np.ndarray:
-        if len(self.known) > 400_000:
-            self.known.clear()
-        got = self.known[w] = np.array([self.at[t] for t in terms(w) if t in self.at], np.int32)
+    def __missing__(self, w: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        got = self[w] = np.array([self.at[t] for t in terms(w) if t in self.at], np.int32).tobytes()
         return got
 
-    def parts(self, bag: Iterable[bytes]) -> list[np.ndarray]:
-        known = self.known
-        return [self.look(w) if (got := known.get(w)) is None else got for w in bag]
+    def known(self, bag: Iterable[bytes]) -> np.ndarray:
+        """The terms of all words of the bag, one word's after the other's."""
+        return np.frombuffer(b"".join(map(self.__getitem__, bag)), np.int32)
 
     def read(self, text: bytes | None) -> Vector:
         bag = Counter(words(text))
-        parts = self.parts(bag)
-        if not parts:
+        parts = list(map(self.__getitem__, bag))
+        t = np.frombuffer(b"".join(parts), np.int32)
+        if not len(t):
             return np.empty(0, np.int32), np.empty(0, np.int32)
-        n = np.repeat(np.fromiter(bag.values(), np.int32, len(bag)), [len(p) for p in parts])
-        t, which = np.unique(np.concatenate(parts), return_inverse=True)
-        return t, np.bincount(which, n, len(t)).astype(np.int32)
+        n = np.repeat(np.fromiter(bag.values(), np.int32, len(bag)), np.fromiter(map(len, parts), np.int64, len(parts)) // 4)
+        order = np.argsort(t, kind="stable")
+        t = t[order]
+        new = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+        return t[new], np.add.reduceat(n[order], new).astype(np.int32)
 
 
 def document_frequencies(docs: DataFrame, at: Broadcast, many: int, piece: int = 8192) -> tuple[np.ndarray, int]:
@@ -235,8 +307,7 @@ def document_frequencies(docs: DataFrame, at: Broadcast, many: int, piece: int =
         for b in batches:
             own[many] += b.num_rows
             for text in b.column("text"):
-                if parts := reader.parts(set(words(text.as_py()))):
-                    own[np.concatenate(parts)] += 1  # a place that repeats counts once
+                own[reader.known(set(words(text.as_py())))] += 1  # a place that repeats counts once
         if own[many]:
             cuts = range(0, many + 1, piece)
             yield pa.RecordBatch.from_arrays([pa.array(list(cuts), pa.int32()), pa.array([own[c : c + piece].tobytes() for c in cuts], pa.binary())], ["piece", "counts"])
@@ -253,73 +324,85 @@ def document_frequencies(docs: DataFrame, at: Broadcast, many: int, piece: int =
     return out[:many], int(out[many])
 
 
-def example_vectors(docs: DataFrame, examples: DataFrame, at: Broadcast) -> list:
-    """(doc_id, toxic, weight, t, tf) of each example that docs hold; of several texts of an id, that with most terms."""
+def example_vectors(examples: DataFrame, at: Broadcast) -> list:
+    """Rows of examples (ids, toxic, weight, text) as (ids, toxic, weight, t, tf)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(at.value).read
         for b in batches:
             got = [read(text.as_py()) for text in b.column("text")]
-            new = [pa.array([len(t) for t, _ in got], pa.int32()), *(pa.array([g[c].tobytes() for g in got], pa.binary()) for c in (0, 1))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "toxic", "weight")), *new], ["doc_id", "toxic", "weight", "n", "t", "tf"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("ids", "toxic", "weight")), *(pa.array([g[c].tobytes() for g in got], pa.binary()) for c in (0, 1))], ["ids", "toxic", "weight", "t", "tf"])
 
-    joined = docs.join(examples, "doc_id").select("doc_id", "toxic", "weight", "text")
-    schema = joined.select("doc_id", "toxic", "weight", F.lit(0).alias("n"), F.encode(F.lit(""), "utf-8").alias("t"), F.encode(F.lit(""), "utf-8").alias("tf")).schema
-    rows = joined.mapInArrow(run, schema).groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.first("weight").alias("weight"), F.max(F.struct("n", "t", "tf")).alias("v")).collect()
-    return [(r.doc_id, r.toxic, r.weight, np.frombuffer(r.v.t, np.int32), np.frombuffer(r.v.tf, np.int32)) for r in rows]
+    schema = examples.select("ids", "toxic", "weight", F.col("text").alias("t"), F.col("text").alias("tf")).schema
+    rows = examples.select("ids", "toxic", "weight", "text").mapInArrow(run, schema).collect()
+    return [(r.ids, r.toxic, r.weight, np.frombuffer(r.t, np.int32), np.frombuffer(r.tf, np.int32)) for r in rows]
 
 
 def scores(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.3, k: int = 16, per_class: int = 4096, z_full: float = 4.0, odds_full: float = 8.0, floor: float = 0.05) -> DataFrame:
     """(doc_id, score, predicted, evidence) for every row of docs (doc_id, text).
 
-    Examples: at most `per_class` rows of each class of labels (doc_id, toxic)
-    where `learn` holds, a bounded sample; a doc_id with several labels counts
-    as toxic if any is 1. Terms: all words and word beginnings of the examples;
+    Examples: the distinct texts of at most `per_class` rows of each class of
+    labels (doc_id, toxic) where `learn` holds, a bounded sample; a doc_id with
+    several labels counts as toxic if any is 1, and each of its texts is an
+    example. Terms: all words of the examples, and the beginnings of longer ones;
     terms that don't go with a class (|z| below z_full, odds ratio below
     odds_full either way) weigh less, at least `floor`, but none is left out.
     Words that no example has match nothing and are not counted. Document
     frequencies are counted over all docs. Each document's k nearest examples
     by exact TF-IDF cosine vote by distance, each for the number of labelled
     rows it stands for; leave-one-out votes of the examples calibrate the score.
-    evidence: [{example, cosine, toxic}], nearest first. A text without any
-    term (null, empty or of other words only) gets the calibrated share of toxic
-    rows among such. Without examples of both classes no term is weighed, so every
-    text is of that kind. Examples don't vote on their own document.
+    evidence: [{example, cosine, toxic}], nearest first, where example is the
+    smallest doc_id of the example's copies. A text without any term (null, empty
+    or of other words only) gets the calibrated share of toxic rows among such.
+    Without examples of both classes no term is weighed, so every text is of that
+    kind. An example doesn't vote on its own document, unless copies of it with
+    other ids are labelled so too.
     """
-    examples = sample_examples(labels, learn, per_class)
-    few = F.broadcast(examples)  # at most 2 * per_class rows
+    spark = docs.sparkSession
+    context = spark.sparkContext
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    vocabulary, weights = weigh_terms(texts.join(few, "doc_id").select("text", "toxic"), z_full, odds_full, floor)
-    context = docs.sparkSession.sparkContext
+    examples = example_texts(texts, sample_examples(labels, learn, per_class))
+    vocabulary, weights = weigh_terms(examples.select("text", "toxic"), z_full, odds_full, floor)
     at = context.broadcast({t: i for i, t in enumerate(vocabulary)})
     df, n = document_frequencies(texts, at, len(vocabulary))
-    idf = weights * (np.log((n + 1) / (df + 1)) + 1)
-    blank = np.zeros(2)
-    index = Index(idf, [], np.empty(0, int), np.empty(0), k=k)
-    used = []
-    for doc_id, toxic, weight, t, tf in example_vectors(texts, few, at):
+    blank, used = np.zeros(2), []
+    for ids, toxic, weight, t, tf in example_vectors(examples, at):
         if len(t):
-            used.append((doc_id, toxic, weight, t, tf))
+            used.append((ids, toxic, weight, t, tf))
         else:
             blank[toxic] += weight
-    used.sort(key=lambda u: u[0])
-    index.ids, index.toxic, index.weight = [u[0] for u in used], np.array([u[1] for u in used], int), np.array([u[2] for u in used])
-    units = [(t, index.unit(t, tf)) for *_, t, tf in used]
-    index.add(units)
-    index.calibrate(units, blank)
+    used.sort(key=lambda u: (u[0], u[1]))
+    index = Index(weights * (np.log((n + 1) / (df + 1)) + 1), [u[0] for u in used], np.array([u[1] for u in used], int), np.array([u[2] for u in used], float), k=k)
     # only counts are sent out, packed; each worker builds the index from them once
-    shared = context.broadcast((replace(index), [zlib.compress(np.concatenate((np.diff(t, prepend=0), tf)).astype(np.int32).tobytes(), 1) for *_, t, tf in used]))
+    shared = context.broadcast((index, [zlib.compress(np.concatenate((np.diff(t, prepend=0), tf)).astype(np.int32).tobytes(), 1) for *_, t, tf in used]))
 
-    def opened() -> Index:
+    def opened() -> tuple[Index, list[Vector]]:
         ix, packed = shared.value
-        if not hasattr(ix, "rows"):
-            pairs = (np.frombuffer(zlib.decompress(p), np.int32).reshape(2, -1) for p in packed)
-            ix.add([(t, ix.unit(t, tf)) for t, tf in ((np.cumsum(steps), tf) for steps, tf in pairs)])
+        pairs = (np.frombuffer(zlib.decompress(p), np.int32).reshape(2, -1) for p in packed)
+        return ix, [(t, ix.unit(t, tf)) for t, tf in ((np.cumsum(steps), tf) for steps, tf in pairs)]
+
+    def searched() -> Index:
+        ix = shared.value[0]
+        if not hasattr(ix, "example"):
+            ix.add(opened()[1])
         return ix
 
+    def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix, vectors = searched(), opened()[1]
+        for b in batches:
+            own = b.column("id").to_pylist()
+            near = ix.nearest_all([vectors[i] for i in own], own)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([ix.vote(x) if x else None for x in near], pa.float64())], ["id", "vote"])
+
+    tasks = -(-len(used) // 512) or 1
+    votes = spark.range(0, len(used), 1, tasks).mapInArrow(leave_one_out, "id bigint, vote double").collect()
+    index.calibrate(sorted((r.id, r.vote) for r in votes), blank)
+    platt, nothing = index.platt, index.nothing
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, read = opened(), Reader(at.value).read
-        own = {d: i for i, d in enumerate(ix.ids)}
+        ix, read = searched(), Reader(at.value).read
+        ix.platt, ix.nothing = platt, nothing
+        own = {ids[0]: i for i, ids in enumerate(ix.ids) if len(ids) == 1}
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 b = whole.slice(start, 512)
@@ -330,7 +413,7 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float =
                 for i, found in zip(some, ix.nearest_all([(got[i][0], ix.unit(*got[i])) for i in some], [skips[i] for i in some]), strict=True):
                     near[i] = found
                 s = np.array([ix.score(x) for x in near], float)
-                why = [[{"example": ix.ids[i], "cosine": c, "toxic": int(ix.toxic[i])} for c, i in x[:5]] for x in near]
+                why = [[{"example": ix.ids[i][0], "cosine": c, "toxic": int(ix.toxic[i])} for c, i in x[:5]] for x in near]
                 kind = pa.list_(pa.struct([("example", b.column("doc_id").type), ("cosine", pa.float64()), ("toxic", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(why, kind)], ["doc_id", "score", "predicted", "evidence"])
 

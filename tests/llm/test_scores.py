@@ -84,6 +84,22 @@ def test_evidence(spark):
     assert all(e.example != 4 for e in got[4].evidence)
 
 
+def test_copies_are_one_example(spark):
+    """80 copies of one labelled text weigh its words no more than one does."""
+    rng = np.random.default_rng(8)
+    bag = [f"{a}{b}" for a in "kmtp" for b in ("alu", "eni", "oro", "ist")]
+    texts = [" ".join(rng.choice(bag, 20)) + (" vile" if i % 3 == 0 else "") for i in range(120)]
+    one = spark.createDataFrame([*enumerate(texts), (500, "neutral words of a copied page")], "doc_id bigint, text string")
+    many = one.unionByName(spark.range(501, 580).selectExpr("id as doc_id", "'neutral words of a copied page' as text"))
+    got = []
+    for docs in (one, many):
+        labels = docs.where("doc_id < 120 or doc_id >= 500").selectExpr("doc_id", "cast(doc_id % 3 = 0 or doc_id >= 500 as int) as toxic")
+        examples = toxicity.example_texts(docs.select("doc_id", F.col("text").cast("binary").alias("text")), toxicity.sample_examples(labels, F.lit(True), 4096))
+        got.append(toxicity.weigh_terms(examples.select("text", "toxic"), 4.0, 8.0, 0.05))
+        assert examples.count() == 121
+    assert got[0][0] == got[1][0] and got[0][1].tolist() == got[1][1].tolist()
+
+
 def test_neighbours_over_whole_texts(spark):
     """Words that go with no class, or are seen once, count: neighbours are those of a brute-force cosine over all terms."""
     rng = np.random.default_rng(5)
