@@ -110,6 +110,8 @@ def links(fps: DataFrame, distance: int = 4, blocks: int = 7, tile: int = 8192)
     no pair goes unseen. Verified edges leave as stars, never as all pairs.
     """
     masks = _tables(blocks, distance)
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = fps.repartition(tasks, "fp")  # a few bytes a row now, but 35 rows for each from here on
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(_long(m)).alias("bits")) for i, m in enumerate(masks)])).alias("k")).select("fp", F.xxhash64("k.t", "k.bits").alias("key"))
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("key", F.ceil(F.col("n") / tile).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int")
@@ -159,20 +161,41 @@ def near_duplicates(docs: DataFrame, distance: int = 4, blocks: int = 7, shingle
     table gives an empty result.
     """
     own = durable(fingerprints(docs, shingle))
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    return own.join(_components(own, "doc_id", distance, blocks), "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
+
+
+def _components(own: DataFrame, name: str, distance: int, blocks: int) -> DataFrame:
+    """(fp, least) for each fingerprint of own (fp, name): the least name of its component.
+
+    What is joined by component is written first, so that both sides of that
+    join are plain shuffles and a large component can be split.
+    """
+    distinct = durable(own.groupBy("fp").agg(F.min(name).alias("least")))
     comps = connected_components(links(distinct.select("fp"), distance, blocks))
-    rooted = distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp")
+    rooted = durable(distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root")))
+    ids = durable(rooted.groupBy("root").agg(F.min("least").alias("least")))
+    return rooted.select("fp", "root").join(ids, "root").select("fp", "least")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs without all but one document of each near-duplicate group, that of the smallest doc_id.
+def keep_one(docs: DataFrame, distance: int = 4, blocks: int = 7, shingle: int = 4) -> DataFrame:
+    """One row of docs for each near-duplicate group of its rows, that of the smallest doc_id.
 
-    Rows that repeat the kept doc_id within the group are dropped but for one.
-    Rows with a null doc_id stay, as nothing can name them.
+    Rows are told apart by doc_id and text: of several texts of the smallest
+    doc_id within a group one stays, chosen by its hash, and a text of an id
+    goes or stays whatever becomes of that id's other texts. Rows that repeat
+    both are one. Rows with a null doc_id stay, as nothing can name them. An
+    empty table gives an empty result; other columns come along whatever their
+    names are.
     """
-    found = near_duplicates(docs.select("doc_id", "text").where("doc_id is not null"), **options)
-    gone = found.groupBy("doc_id").agg(F.min(F.col("doc_id") == F.col("component_id")).alias("alone")).where("not alone").select("doc_id")
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
-    return kept.select(*docs.columns).dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+    th = F.xxhash64("text")
+    named = docs.where("doc_id is not null").select(F.struct("doc_id", th.alias("th")).alias("doc_id"), "text")
+    own = durable(fingerprints(named, shingle).withColumnRenamed("doc_id", "name"))
+    kept = _components(own, "name", distance, blocks).select("least").distinct()
+    counted = own.groupBy("name").agg(F.count("*").alias("n"), F.first("fp").alias("fp"))
+    gone = counted.join(kept, counted.name == kept.least, "left_anti").select("name.doc_id", "name.th")
+    again = counted.where("n > 1").join(kept, counted.name == kept.least, "left_semi").select("name.doc_id", "name.th")
+    rows = docs.select("doc_id", th.alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).where("doc_id is not null")
+    rows = rows.join(gone, ["doc_id", "th"], "left_anti")
+    once = rows.join(again, ["doc_id", "th"], "left_anti").select("row.*")
+    repeated = rows.join(again, ["doc_id", "th"], "left_semi").groupBy("doc_id", "th").agg(F.first("row").alias("row")).select("row.*")
+    return once.unionByName(repeated).unionByName(docs.where("doc_id is null"))

@@ -64,6 +64,11 @@ def test_substring(spark, window, seed):
     assert all((r.doc_id, r.text) in whole for r in got if not r.n_removed)
 
 
+def test_substring_refuses_clashing_names(spark):
+    with pytest.raises(ValueError):
+        substring.remove_repeats(spark.createDataFrame([(1, "a", 2)], "doc_id bigint, text string, spans int"), carry=["spans"])
+
+
 def test_substring_empty_and_long(spark):
     assert substring.remove_repeats(docs_frame(spark, [])).count() == 0
     long = " ".join(f"w{i}" for i in range(250_000))
@@ -139,6 +144,13 @@ def test_simhash_links_lose_nothing(spark, tile):
     assert components_by_brute_force(fps, lambda a, b: (a, b) in own) == components_by_brute_force(fps, lambda a, b: (a ^ b).bit_count() <= 4)
 
 
+def test_simhash_keeps_a_row_of_each_group_where_ids_repeat(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(0, b), (1, a), (1, b), (1, a), (2, c), (3, c + " end"), (None, a)]
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame([(*r, 1, "f") for r in rows], "doc_id bigint, text string, th int, fp string")).collect()), key=repr)
+    assert kept == sorted([(0, b), (1, a), (2, c), (None, a)], key=repr)
+
+
 def test_simhash_empty(spark):
     assert simhash.near_duplicates(docs_frame(spark, [])).count() == 0
     assert simhash.keep_one(docs_frame(spark, [])).count() == 0
