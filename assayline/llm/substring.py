@@ -194,18 +194,19 @@ def repeated_windows(base: DataFrame, window: int, seed: int) -> DataFrame:
 
     passage = ["h1", "h2"]
     seeded = durable(base.select("doc_id", "text").mapInArrow(seeds, "doc_id bigint, seed bigint"))
-    shared = seeded.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("seed")
+    # what joins below is written first: both sides are plain shuffles then, and a common seed, window or passage can be split
+    shared = durable(seeded.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("seed"))
     wanted = seeded.join(shared, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
-    runs = base.join(wanted, "doc_id").select("doc_id", "text", "seeds").mapInArrow(extend, "doc_id bigint, place bigint, n bigint, seed bigint, h1 bigint, h2 bigint")
+    runs = durable(base.join(wanted, "doc_id").select("doc_id", "text", "seeds").mapInArrow(extend, "doc_id bigint, place bigint, n bigint, seed bigint, h1 bigint, h2 bigint"))
 
-    firsts = runs.groupBy(*passage).agg(F.min(F.struct("doc_id", "place", "n")).alias("f"), F.first("seed").alias("seed"))
-    several = firsts.groupBy("seed").agg(F.count("*").alias("passages")).where("passages > 1").select("seed")
+    firsts = durable(runs.groupBy(*passage).agg(F.min(F.struct("doc_id", "place", "n")).alias("f"), F.first("seed").alias("seed")))
+    several = durable(firsts.groupBy("seed").agg(F.count("*").alias("passages")).where("passages > 1").select("seed"))
     by_doc = firsts.join(several, "seed").groupBy(F.col("f.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("f.place", "f.n", *passage)).cast(f"array<{first_of}>").alias("runs"))
-    windows = base.join(by_doc, "doc_id").select("doc_id", "text", "runs").mapInArrow(compare, "doc_id bigint, h1 bigint, h2 bigint, offset bigint, w1 bigint, w2 bigint")
-    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
+    windows = durable(base.join(by_doc, "doc_id").select("doc_id", "text", "runs").mapInArrow(compare, "doc_id bigint, h1 bigint, h2 bigint, offset bigint, w1 bigint, w2 bigint"))
+    least = durable(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo"))
     part = windows.join(least, ["w1", "w2"]).where("doc_id > lo").groupBy(*passage).agg(F.collect_set("offset").alias("offsets"))
 
-    judged = firsts.select(*passage, F.col("f.doc_id").alias("first")).join(part, passage, "left")
+    judged = durable(firsts.select(*passage, F.col("f.doc_id").alias("first")).join(part, passage, "left"))
     found = runs.join(judged, passage).where("doc_id > first or offsets is not null")
     offsets = F.when(F.col("doc_id") == F.col("first"), F.col("offsets"))
     return found.groupBy("doc_id").agg(F.collect_set(F.struct("place", "n", offsets.alias("offsets"))).alias("places"))
@@ -241,8 +242,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, seed: int = 25, carry: lis
     null, empty or shorter than a window lose nothing; repeated rows each get
     their row and do not remove one another's words; rows with a null doc_id
     neither lose nor cause anything. carry: further columns of docs to return,
-    which may have any names.
+    of other names than these; others can come along in a struct.
     """
+    if taken := {"doc_id", "n_words", "n_removed", "kept_sha256", "text", "spans"}.intersection(carry or []):
+        raise ValueError(f"columns {sorted(taken)} are results of their own; carry them in a struct")
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.struct(*[F.col(c) for c in carry or []] or [F.lit(0).alias("none")]).alias("carried"))
     base = rows.where("doc_id is not null")
     places = repeated_windows(base, window, seed)
