@@ -52,18 +52,21 @@ def hits(docs: DataFrame, windows: DataFrame, q: int, broadcast_rows: int) -> Da
     inner = f"transform(sequence(0, n - {q}), i -> struct(xxhash64({', '.join(f'words[i + {k}]' for k in range(q))}) as s, i as o, slice(words, i + 1, {q}) as ws))"
     windows = windows.withColumn("wid", F.array_join("words", " "))
     each = durable(windows.select("wid", "n", "words").distinct().select("wid", "n", F.inline(F.expr(inner))))
-    known = each.select("s", "ws").distinct()
-    # broadcast only if a count of it is within the bound; else both sides are shuffled
-    known = F.broadcast(known) if each.count() <= broadcast_rows else known
-    same = F.col("first") == F.get("ws", F.lit(0))
-    for k in range(1, q):
-        same = same & (F.get("w", F.col("p") + k) == F.get("ws", F.lit(k)))
-    places = durable(_positions(docs, q).join(known, "s").where(same).select("doc_id", "th", "p", "s"))
+    known, at = each.select("s", "ws").distinct(), _positions(docs, q)
+    # broadcast only if a count of it is within the bound; else both sides are shuffled, each place with its q words alone
+    if each.count() <= broadcast_rows:
+        known = F.broadcast(known)
+        same = F.col("first") == F.get("ws", F.lit(0))
+        for k in range(1, q):
+            same = same & (F.get("w", F.col("p") + k) == F.get("ws", F.lit(k)))
+    else:
+        at, same = at.select("doc_id", "th", "p", "s", F.slice("w", F.col("p") + 1, q).alias("own")), F.col("own") == F.col("ws")
+    places = durable(at.join(known, "s").where(same).select("doc_id", "th", "p", "s"))
 
     counts = places.groupBy("s").agg(F.count("*").alias("df"))
     rarest = each.join(counts, "s").groupBy("wid", "n").agg(F.min(F.struct("df", "s", "o")).alias("r"), F.count("*").alias("present"))
     # a window with a shingle that no document has can't occur
-    prefix = rarest.where(F.col("present") == F.col("n") - q + 1).select("wid", "n", F.col("r.s").alias("s"), F.col("r.o").alias("o"))
+    prefix = durable(rarest.where(F.col("present") == F.col("n") - q + 1).select("wid", "n", F.col("r.s").alias("s"), F.col("r.o").alias("o")))  # so that a common shingle's places can be split in the join
     candidates = places.join(prefix, "s").select("doc_id", "th", "wid", "n", (F.col("p") - F.col("o")).alias("start")).where("start >= 0").distinct()
     due = candidates.join(each.select("wid", "s", "o"), "wid").select("doc_id", "th", "wid", "n", "start", "s", (F.col("start") + F.col("o")).alias("p"))
     there = places.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("p").alias("pp"), F.col("s").alias("ss")).distinct()
@@ -72,7 +75,7 @@ def hits(docs: DataFrame, windows: DataFrame, q: int, broadcast_rows: int) -> Da
     return found.join(windows.select("wid", "item_id"), "wid").select("doc_id", "th", "item_id", "start", "n")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, q: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, q: int = 3, broadcast_rows: int = 200_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs (doc_id, text).
 
     A window is `window` consecutive words of an item of items (item_id, text),
@@ -81,16 +84,17 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
     document is contaminated if it has a hit and share * n_hit >= n_words. Null
     and empty texts have no words; items without words or with a null id match
     nothing; empty tables leave every document clean. Repeated rows, also
-    those with a null doc_id, each get their row.
+    those with a null doc_id, each get their row. carry: further columns of docs
+    to return with each row, of other names than these.
     """
     th = F.xxhash64("text")  # tells apart rows of one doc_id with different texts
     split = docs.select("doc_id", th.alias("th"), word_array(F.col("text")).alias("w"))
     windows = durable(item_windows(items, window))
     lengths = {r.n for r in windows.select(F.least("n", F.lit(q)).alias("n")).distinct().collect()}  # q values at most
     rows = [hits(split, windows.where(F.least("n", F.lit(q)) == k), k, broadcast_rows) for k in sorted(lengths)]
-    base = docs.select("doc_id", th.alias("th"), word_count(F.col("text")).alias("n_words"))
+    base = docs.select("doc_id", th.alias("th"), word_count(F.col("text")).alias("n_words"), F.struct(*carry or (F.lit(0).alias("none"),)).alias("carried"))
     if not rows:
-        return _judged(base.withColumn("n_hit", F.lit(0).cast("bigint")).withColumn("items", F.array().cast("array<string>")), share)
+        return _judged(base.withColumn("n_hit", F.lit(0).cast("bigint")).withColumn("items", F.array().cast("array<string>")), share, carry)
     all_hits = rows[0]
     for r in rows[1:]:
         all_hits = all_hits.unionByName(r)
@@ -103,12 +107,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
     )
     spans = spans.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), covered.alias("n_hit"), "items")
     joined = base.join(spans, base.doc_id.eqNullSafe(spans.d) & base.th.eqNullSafe(spans.t), "left")
-    return _judged(joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")), share)
+    return _judged(joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "carried"), share, carry)
 
 
-def _judged(rows: DataFrame, share: int) -> DataFrame:
+def _judged(rows: DataFrame, share: int, carry: tuple[str, ...]) -> DataFrame:
     return rows.select(
         "doc_id", "n_words", F.col("n_hit").cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *[F.col("carried")[c].alias(c) for c in carry],
     )

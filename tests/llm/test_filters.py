@@ -49,6 +49,17 @@ def test_decontamination(spark):
     assert decontam.contamination(d.limit(0), b).count() == 0
 
 
+def test_decontamination_of_a_long_text_by_shuffles(spark):
+    rng = random.Random(4)
+    item = [f"q{i}" for i in range(40)]
+    w = [f"w{rng.randrange(5000)}" for _ in range(200_000)]
+    w[150_000:150_030] = item[5:35]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[:500]))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(w[300:320]) + " other")], "item_id bigint, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontam.contamination(docs, items, broadcast_rows=0).collect()}
+    assert got == {1: (200_000, 50, 2), 2: (500, 20, 1)}
+
+
 # --- licences ------------------------------------------------------------------------------------
 def test_licences(spark):
     mit = dict(licenses.TEMPLATES)["MIT-permission"]
