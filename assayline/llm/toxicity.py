@@ -338,7 +338,7 @@ def example_vectors(examples: DataFrame, at: Broadcast) -> list:
     return [(r.ids, r.toxic, r.weight, np.frombuffer(r.t, np.int32), np.frombuffer(r.tf, np.int32)) for r in rows]
 
 
-def scores(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.3, k: int = 16, per_class: int = 4096, z_full: float = 4.0, odds_full: float = 8.0, floor: float = 0.05) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.3, k: int = 16, per_class: int = 4096, z_full: float = 4.0, odds_full: float = 8.0, floor: float = 0.05, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, score, predicted, evidence) for every row of docs (doc_id, text).
 
     Examples: the distinct texts of at most `per_class` rows of each class of
@@ -356,7 +356,8 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float =
     or of other words only) gets the calibrated share of toxic rows among such.
     Without examples of both classes no term is weighed, so every text is of that
     kind. An example doesn't vote on its own document, unless copies of it with
-    other ids are labelled so too.
+    other ids are labelled so too. carry: further columns of docs to return with
+    each row, of other names than these.
     """
     spark = docs.sparkSession
     context = spark.sparkContext
@@ -415,8 +416,8 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float =
                 s = np.array([ix.score(x) for x in near], float)
                 why = [[{"example": ix.ids[i][0], "cosine": c, "toxic": int(ix.toxic[i])} for c, i in x[:5]] for x in near]
                 kind = pa.list_(pa.struct([("example", b.column("doc_id").type), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(why, kind)], ["doc_id", "score", "predicted", "evidence"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(why, kind), *map(b.column, carry)], ["doc_id", "score", "predicted", "evidence", *carry])
 
     evidence = F.array(F.struct(F.col("doc_id").alias("example"), F.lit(0.0).alias("cosine"), F.lit(0).alias("toxic")))
-    schema = docs.select("doc_id", F.lit(0.5).alias("score"), F.lit(0).alias("predicted"), evidence.alias("evidence")).schema
-    return texts.mapInArrow(run, schema)
+    schema = docs.select("doc_id", F.lit(0.5).alias("score"), F.lit(0).alias("predicted"), evidence.alias("evidence"), *carry).schema
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), *carry).mapInArrow(run, schema)
