@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayline.llm import decontam, packing, simhash, substring, toxicity
@@ -10,34 +10,59 @@ from assayline.llm.common import durable, table
 from assayline.llm.queries import held_out
 
 
+def _others(docs: DataFrame) -> Column:
+    """All columns but doc_id and text in one, so that their names clash with none of an operator's."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]).alias("others")
+
+
+def _as_before(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select(*[F.col(c) if c in ("doc_id", "text") else F.col("others")[c].alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs whose doc_id isn't predicted toxic; null ids stay."""
+    """The rows of docs whose text isn't predicted toxic.
+
+    Each row is judged by its own text, also where ids repeat or are null. Null
+    and empty texts have the share of toxic rows among such as their score.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    scored = toxicity.scores(docs.select("doc_id", "text"), labels, ~held_out(4, 2))
-    bad = scored.where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(F.col("text").alias("t"), _others(docs)).alias("row"))
+    found = toxicity.scores(rows, labels, ~held_out(4, 2), carry=("row",)).where("predicted = 0")
+    return _as_before(found.select("doc_id", F.col("row.t").alias("text"), F.col("row.others").alias("others")), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest doc_id."""
+    """One row of each near-duplicate group stays, that of the smallest doc_id; rows with a null doc_id stay.
+
+    Texts without words are one group. Repeated ids are told apart by their texts.
+    """
     return simhash.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long passages that an earlier document has go from the texts; all documents stay, those cut with the length they have left."""
-    cut = substring.remove_repeats(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
-    n_chars = F.when(F.size("spans") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Long passages that a smaller doc_id has too go from the texts; all rows stay, those cut with the length they have left.
+
+    Null, empty and short texts and rows with a null doc_id stay as they are.
+    """
+    cut = substring.remove_repeats(docs.select("doc_id", "text", _others(docs)), carry=["others"])
+    n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    others = F.when(F.size("spans") > 0, F.col("others").withField("n_chars", n_chars)).otherwise(F.col("others"))
+    return _as_before(cut.select("doc_id", "text", others.alias("others")), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go of which benchmark passages are a twentieth or more."""
-    found = decontam.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows go of which benchmark passages are a twentieth or more of the words.
+
+    Each row is judged by its own text, also where ids repeat or are null; null
+    and empty texts have no words and stay.
+    """
+    rows = docs.select("doc_id", "text", F.struct(F.col("text").alias("t"), _others(docs)).alias("row"))
+    found = decontam.contamination(rows, table(spark, sf_dir, "benchmark"), carry=("row",)).where("not contaminated")
+    return _as_before(found.select("doc_id", F.col("row.t").alias("text"), F.col("row.others").alias("others")), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows packed into sequences; null and empty texts are one end id each, repeated rows are packed each for itself."""
     return packing.pack(docs.select("doc_id", "text"))
 
 
@@ -48,6 +73,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the documents that all stages leave, packed. An empty table gives an empty result."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
