@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -82,37 +82,43 @@ class Index:
         v = (1 + np.log(tf)) * self.idf[t]
         return v / np.sqrt((v * v).sum())
 
-    def add(self, vectors: list[Vector]) -> None:
-        """vectors: terms and weights of each example, in the order of ids."""
-        n, sizes = len(vectors), np.array([len(t) for t, _ in vectors], np.int64)
-        t = np.concatenate([t for t, _ in vectors] or [[]]).astype(np.int32)
-        v = np.concatenate([v for _, v in vectors] or [[]]).astype(np.float64)
-        owner = np.repeat(np.arange(n), sizes)
-        mix = np.random.default_rng(0).standard_normal((12, len(self.idf)))
-        self.example = _alike(np.stack([np.bincount(owner, v * m[t], n) for m in mix], 1), self.block) if n else owner  # by slot
-        slot = np.empty(n, np.int64)
-        slot[self.example] = np.arange(n)
-        owner = slot[owner]
-        df = np.bincount(t, minlength=len(self.idf))
-        head = np.flatnonzero(df > self.common * n)
-        self.column = np.full(len(self.idf), -1, np.int32)
-        self.column[head] = np.arange(len(head))
-        col = self.column[t]
+    def add(self, vectors: Sequence[Vector]) -> None:
+        """vectors: terms and weights of each example, in the order of ids; read one at a time, so that they need not be held."""
+        n, many = len(vectors), len(self.idf)
+        mix = np.random.default_rng(0).standard_normal((many, 8), np.float32)
+        near, df = np.zeros((n, 8), np.float32), np.zeros(many, np.int64)
+        for i in range(n):
+            t, v = vectors[i]
+            df[t] += 1
+            near[i] = v.astype(np.float32) @ mix[t]
+        del mix
+        self.example = _alike(near, self.block) if n else np.empty(0, np.int64)  # by slot
+        frequent = df > self.common * n
+        head = int(frequent.sum())
+        self.column = np.full(many, -1, np.int32)
+        self.column[frequent] = np.arange(head)
         blocks = -(-n // self.block)
         self.size = blocks * self.block
-        matrix = np.zeros((self.size, len(head)), np.float32)
-        matrix[owner[col >= 0], col[col >= 0]] = v[col >= 0]
-        self.matrix = matrix.reshape(blocks, self.block, len(head))
+        matrix = np.zeros((self.size, head), np.float32)
+        self.starts = np.append(0, np.cumsum(np.where(frequent, 0, df)))
+        self.post, self.post_v = np.empty((self.starts[-1], 2), np.int32), np.empty(self.starts[-1])  # slot and weight side by side: one look-up
+        self.head_rows = np.zeros(self.size + 1, np.int64)
+        self.head_col, self.head_v = np.empty(df[frequent].sum(), np.int32), np.empty(df[frequent].sum())
+        free, at = self.starts[:-1].copy(), 0
+        for slot, i in enumerate(self.example.tolist()):
+            t, v = vectors[i]
+            c = self.column[t]
+            own = c >= 0
+            matrix[slot, c[own]] = v[own]
+            to = at + int(own.sum())
+            self.head_col[at:to], self.head_v[at:to] = c[own], v[own]
+            self.head_rows[slot + 1 :] = at = to
+            t, v = t[~own], v[~own]
+            where = free[t]
+            self.post[where, 0], self.post[where, 1], self.post_v[where] = slot, v.astype(np.float32).view(np.int32), v
+            free[t] += 1
+        self.matrix = matrix.reshape(blocks, self.block, head)
         self.peak = np.ascontiguousarray(self.matrix.max(axis=1).T) if n else np.zeros((0, 0), np.float32)
-        frequent = np.flatnonzero(col >= 0)
-        frequent = frequent[np.argsort(owner[frequent], kind="stable")]
-        self.head_col, self.head_v = col[frequent], v[frequent]
-        self.head_rows = np.append(0, np.cumsum(np.bincount(owner[frequent], minlength=self.size)))
-        rest = np.flatnonzero(col < 0)
-        rest = rest[np.argsort(t[rest], kind="stable")]
-        self.post, self.post_v = np.empty((len(rest), 2), np.int32), v[rest]
-        self.post[:, 0], self.post[:, 1] = owner[rest], v[rest].astype(np.float32).view(np.int32)  # slot and weight side by side: one look-up
-        self.starts = np.append(0, np.cumsum(np.where(self.column < 0, df, 0))).astype(np.int64)
 
     def nearest(self, t: np.ndarray, v: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
         """The k examples of greatest cosine above zero, exactly; of equal ones those that come first."""
@@ -127,7 +133,7 @@ class Index:
         slot = np.empty(len(self.example) + 1, np.int64)
         slot[self.example] = np.arange(len(self.example))
         slot[-1] = -1
-        return [near for at in range(0, len(vectors), 64) for near in self._nearest(vectors[at : at + 64], slot[skips[at : at + 64]])]
+        return [near for at in range(0, len(vectors), 32) for near in self._nearest(vectors[at : at + 32], slot[skips[at : at + 32]])]
 
     def _nearest(self, vectors: list[Vector], skips: np.ndarray) -> list[list[tuple[float, int]]]:
         m, blocks, slack = len(vectors), len(self.matrix), 1e-5
@@ -223,6 +229,25 @@ class Index:
         self.platt = (max(a, 1e-3), b)
 
 
+def _packed(t: np.ndarray, tf: np.ndarray) -> bytes:
+    return zlib.compress(np.concatenate((np.diff(t, prepend=0), tf)).astype(np.int32).tobytes(), 1)
+
+
+class _Unpacked(Sequence):
+    """The unit vectors of packed counts, each made when asked for."""
+
+    def __init__(self, index: Index, packed: list[bytes]) -> None:
+        self.index, self.packed = index, packed
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __getitem__(self, i: int) -> Vector:
+        steps, tf = np.frombuffer(zlib.decompress(self.packed[i]), np.int32).reshape(2, -1)
+        t = np.cumsum(steps)
+        return t, self.index.unit(t, tf)
+
+
 def sample_examples(labels: DataFrame, learn: Column, per_class: int) -> DataFrame:
     """(doc_id, toxic, weight): at most per_class learning rows of each class, those of the least hash of the id."""
     truth = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -272,7 +297,7 @@ def weigh_terms(texts: DataFrame, z_full: float, odds_full: float, floor: float)
 class Reader(dict):
     """Gives a text's known terms, in order, and how often each occurs in the whole text. Holds words' terms, as bytes."""
 
-    def __init__(self, at: dict[bytes, int], most: int = 400_000) -> None:
+    def __init__(self, at: dict[bytes, int], most: int = 150_000) -> None:
         super().__init__()
         self.at, self.most = at, most
 
@@ -375,21 +400,17 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float =
     used.sort(key=lambda u: (u[0], u[1]))
     index = Index(weights * (np.log((n + 1) / (df + 1)) + 1), [u[0] for u in used], np.array([u[1] for u in used], int), np.array([u[2] for u in used], float), k=k)
     # only counts are sent out, packed; each worker builds the index from them once
-    shared = context.broadcast((index, [zlib.compress(np.concatenate((np.diff(t, prepend=0), tf)).astype(np.int32).tobytes(), 1) for *_, t, tf in used]))
+    shared = context.broadcast((index, [_packed(t, tf) for *_, t, tf in used]))
 
-    def opened() -> tuple[Index, list[Vector]]:
+    def searched() -> tuple[Index, _Unpacked]:
         ix, packed = shared.value
-        pairs = (np.frombuffer(zlib.decompress(p), np.int32).reshape(2, -1) for p in packed)
-        return ix, [(t, ix.unit(t, tf)) for t, tf in ((np.cumsum(steps), tf) for steps, tf in pairs)]
-
-    def searched() -> Index:
-        ix = shared.value[0]
+        vectors = _Unpacked(ix, packed)
         if not hasattr(ix, "example"):
-            ix.add(opened()[1])
-        return ix
+            ix.add(vectors)
+        return ix, vectors
 
     def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, vectors = searched(), opened()[1]
+        ix, vectors = searched()
         for b in batches:
             own = b.column("id").to_pylist()
             near = ix.nearest_all([vectors[i] for i in own], own)
@@ -401,7 +422,7 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float =
     platt, nothing = index.platt, index.nothing
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, read = searched(), Reader(at.value).read
+        (ix, _), read = searched(), Reader(at.value).read
         ix.platt, ix.nothing = platt, nothing
         own = {ids[0]: i for i, ids in enumerate(ix.ids) if len(ids) == 1}
         for whole in batches:
