@@ -64,12 +64,13 @@ def banded(x: Column, rows: np.ndarray, channels: int) -> Column:
     half = width // 2
     table = F.array(*[vector(r) for r in rows])
 
-    def at(i: Column) -> Column:
+    def at(i: Column, v: Column) -> Column:
         start = F.greatest(F.lit(0), F.least(i - half, F.lit(channels - width)))
         row = F.when(i < half, i).when(i >= channels - half, i - (channels - width)).otherwise(half)
-        return dot(F.slice(x, start + 1, width), F.get(table, row))
+        return dot(F.slice(v, start + 1, width), F.get(table, row))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(channels - 1)), at)
+    # x is bound first: earlier steps would be computed again for each channel
+    return let(x, lambda v: F.transform(F.sequence(F.lit(0), F.lit(channels - 1)), lambda i: at(i, v)))
 
 
 def _minus(out: Column, q: np.ndarray):
