@@ -6,12 +6,14 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass, field, fields
 
+import numpy as np
+
 #: The steps of each pretreatment, in order.
 RECIPES: dict[str, tuple[str, ...]] = {
     "RAW": (), "CENTER": ("CENTER",), "STANDARDIZE": ("STANDARDIZE",), "MINMAX": ("MINMAX",), "ROBUST": ("ROBUST",),
     "VECTOR_NORM": ("VECTOR_NORM",), "AREA_NORM": ("AREA_NORM",), "SG": ("SG",), "SG1": ("SG1",), "SG2": ("SG2",),
     "MSC": ("MSC",), "SNV": ("SNV",), "DETREND": ("DETREND",), "BASELINE_POLY2": ("BASELINE_POLY2",), "BASELINE_POLY3": ("BASELINE_POLY3",),
-    "DE1": ("DE1",), "DE2": ("DE2",), "SNV-SG": ("SNV", "SG"), "MSC-SG": ("MSC", "SG"), "SG-SNV": ("SG", "SNV"), "SG-MSC": ("SG", "MSC"),
+    "SNV-SG": ("SNV", "SG"), "MSC-SG": ("MSC", "SG"), "SG-SNV": ("SG", "SNV"), "SG-MSC": ("SG", "MSC"), "DE1": ("DE1",), "DE2": ("DE2",),
     "DE1-SNV": ("DE1", "SNV"), "DE1-MSC": ("DE1", "MSC"), "DE2-SNV": ("DE2", "SNV"), "DE2-MSC": ("DE2", "MSC"),
     "BASELINE_POLY2-SNV": ("BASELINE_POLY2", "SNV"), "BASELINE_POLY2-MSC": ("BASELINE_POLY2", "MSC"), "BASELINE_POLY2-SG": ("BASELINE_POLY2", "SG"),
 }
@@ -19,23 +21,25 @@ RECIPES: dict[str, tuple[str, ...]] = {
 TRANSFORMS = ("raw", "log1p", "sqrt", "standard")
 #: The regression algorithms of a full study.
 ALGORITHMS = (
-    "PLS", "Ridge", "LASSO", "ElasticNet", "BayesianRidge", "Huber", "SVR-RBF", "SVR-Linear", "KRR-RBF", "RBF-LS-SVM", "PLS-LSSVM", "PCR",
-    "GPR-SE", "GPR-Matern32", "RandomForest", "ExtraTrees", "GradientBoosting", "HistGBR", "AdaBoost", "KNN", "ANN-MLP", "ELM",
+    "PLS", "Ridge", "LASSO", "ElasticNet", "BayesianRidge", "Huber", "PCR", "SVR-RBF", "SVR-Linear", "KRR-RBF", "RBF-LS-SVM",
+    "RandomForest", "ExtraTrees", "GradientBoosting", "HistGBR", "AdaBoost", "KNN", "ANN-MLP", "ELM", "GPR-SE", "GPR-Matern32", "PLS-LSSVM",
     "WeightedStacking", "SuperStacking", "XGBoost", "LightGBM", "CatBoost", "TorchMLP", "Torch1DCNN", "TorchCNNGRU",
 )
+#: An ensemble outside the full study.
+MORE_ALGORITHMS = ("STACKING",)
 #: Hyper-parameter grids by search level.
 GRIDS = {
     "fast": {
         "krr_alpha": [1e-2, 1e-1, 1, 10], "krr_gamma": [1e-3, 1e-2, 1e-1], "svr_c": [0.3, 3, 30], "svr_eps": [0.03, 0.10],
-        "svr_gamma": ["scale", 1e-2], "lssvm_gamma": [10**e for e in (-1, 1 / 3, 5 / 3, 3)], "lssvm_sigma2": [10**e for e in (-1, 1 / 3, 5 / 3, 3)],
+        "svr_gamma": ["scale", 1e-2], "lssvm_gamma": np.logspace(-1, 3, 4).tolist(), "lssvm_sigma2": np.logspace(-1, 3, 4).tolist(),
     },
     "balanced": {
         "krr_alpha": [1e-3, 1e-2, 1e-1, 1, 10, 100], "krr_gamma": [1e-4, 1e-3, 1e-2, 1e-1, 1], "svr_c": [0.3, 1, 3, 10, 30], "svr_eps": [0.02, 0.05, 0.10, 0.20],
-        "svr_gamma": ["scale", 1e-3, 1e-2, 1e-1], "lssvm_gamma": [10**e for e in (-2, -0.5, 1, 2.5, 4)], "lssvm_sigma2": [10**e for e in (-2, -0.5, 1, 2.5, 4)],
+        "svr_gamma": ["scale", 1e-3, 1e-2, 1e-1], "lssvm_gamma": np.logspace(-2, 4, 5).tolist(), "lssvm_sigma2": np.logspace(-2, 4, 5).tolist(),
     },
     "wide": {
-        "krr_alpha": [10.0**e for e in range(-4, 4)], "krr_gamma": [10 ** (-4 + 4 * i / 6) for i in range(7)], "svr_c": [0.1, 0.3, 1, 3, 10, 30, 100], "svr_eps": [0.01, 0.03, 0.05, 0.10, 0.20],
-        "svr_gamma": ["scale", 1e-3, 1e-2, 1e-1], "lssvm_gamma": [10 ** (-3 + 7 * i / 6) for i in range(7)], "lssvm_sigma2": [10 ** (-3 + 7 * i / 6) for i in range(7)],
+        "krr_alpha": np.logspace(-4, 3, 8).tolist(), "krr_gamma": np.logspace(-4, 0, 7).tolist(), "svr_c": [0.1, 0.3, 1, 3, 10, 30, 100], "svr_eps": [0.01, 0.03, 0.05, 0.10, 0.20],
+        "svr_gamma": ["scale", 1e-3, 1e-2, 1e-1], "lssvm_gamma": np.logspace(-3, 4, 7).tolist(), "lssvm_sigma2": np.logspace(-3, 4, 7).tolist(),
     },
 }
 
@@ -51,7 +55,7 @@ class Config:
     repeats: int = 10
     algorithms: tuple[str, ...] = ALGORITHMS
     feature_count: int = 158
-    feature_candidates: tuple[int, ...] = (158,)
+    feature_candidates: tuple[int, ...] = ()  # more than one: their number is tuned within the calibration rows
     feature_min: int = 12
     ranking_components: int = 8
     max_pls_components: int = 12
@@ -94,7 +98,7 @@ class Config:
 
     def validate(self) -> None:
         """Every recipe, transform and algorithm is known, nothing is listed twice and, where required, the factorial is whole."""
-        for name, got, known in (("recipes", self.recipes, RECIPES), ("transforms", self.transforms, TRANSFORMS), ("algorithms", self.algorithms, ALGORITHMS)):
+        for name, got, known in (("recipes", self.recipes, RECIPES), ("transforms", self.transforms, TRANSFORMS), ("algorithms", self.algorithms, ALGORITHMS + MORE_ALGORITHMS)):
             if len(set(got)) != len(got) or not set(got) <= set(known):
                 raise ValueError(f"{name}: unknown or repeated names in {got}")
         if self.require_full_factorial and (len(self.recipes), len(self.transforms), len(self.ratios), self.repeats, len(self.algorithms), self.feature_count) != (28, 4, 3, 10, 30, 158):
