@@ -107,17 +107,19 @@ def ridge(task: Task) -> Predictor:
     return lambda a: ridge_path(s(task.x), z, s(a), alphas[i : i + 1])[0]
 
 
-def pcr(task: Task) -> Predictor:
-    most = most_components(task, task.config.max_pcr_components)
+def pcr_path(x: np.ndarray, z: np.ndarray, x2: np.ndarray, ks: list[int]) -> np.ndarray:
+    """Predictions of ridge regressions with penalty 1 on the first k component scores of scaled x, for each k."""
+    s = Standard(x)
+    pc = Components(s(x), max(ks))
+    t, t2 = pc(s(x)), pc(s(x2))
+    return np.array([ridge_path(t[:, :k], z, t2[:, :k], np.ones(1))[0] for k in ks])
 
-    def path(x, z, x2, ks=range(1, most + 1)):
-        s = Standard(x)
-        pc = Components(s(x), max(ks))
-        t, t2 = pc(s(x)), pc(s(x2))
-        return np.array([ridge_path(t[:, :k], z, t2[:, :k], np.ones(1))[0] for k in ks])
 
-    k = 1 + tuned(task, path, range(1, most + 1))
-    return lambda a: path(task.x, task.z, a, [k])[0]
+def pcr(task: Task) -> Predictor:
+    most = most_components(task, task.config.max_pcr_components)
+    ks = list(range(1, most + 1))
+    k = 1 + tuned(task, lambda x, z, x2: pcr_path(x, z, x2, ks), ks)
+    return lambda a: pcr_path(task.x, task.z, a, [k])[0]
 
 
 def elastic_path(x: np.ndarray, z: np.ndarray, alphas: np.ndarray, shares: np.ndarray, rounds: int = 1000, tol: float = 1e-5) -> tuple[np.ndarray, float]:

@@ -11,6 +11,9 @@ def fit(name: str, task: Task) -> Predictor:
     return {"XGBoost": _xgboost, "LightGBM": _lightgbm, "CatBoost": _catboost}.get(name, lambda t: _torch(name, t))(task)
 
 
+# The libraries' settings and the networks' layers, as in the published study.
+
+
 def _xgboost(task: Task) -> Predictor:
     from xgboost import XGBRegressor
 
@@ -21,14 +24,14 @@ def _xgboost(task: Task) -> Predictor:
 def _lightgbm(task: Task) -> Predictor:
     from lightgbm import LGBMRegressor
 
-    m = LGBMRegressor(n_estimators=300, learning_rate=0.03, num_leaves=7, max_depth=3, min_child_samples=10, random_state=task.seed % 2**31, n_jobs=1, verbose=-1)
+    m = LGBMRegressor(n_estimators=300, learning_rate=0.03, num_leaves=7, max_depth=3, min_child_samples=10, subsample=0.85, colsample_bytree=0.65, reg_alpha=0.1, reg_lambda=5, random_state=task.seed % 2**31, n_jobs=1, verbose=-1)
     return m.fit(task.x, task.z).predict
 
 
 def _catboost(task: Task) -> Predictor:
     from catboost import CatBoostRegressor
 
-    m = CatBoostRegressor(iterations=300, learning_rate=0.03, depth=3, l2_leaf_reg=8, random_seed=task.seed % 2**31, thread_count=1, verbose=False, allow_writing_files=False)
+    m = CatBoostRegressor(iterations=300, learning_rate=0.03, depth=3, l2_leaf_reg=8, random_strength=1, loss_function="RMSE", random_seed=task.seed % 2**31, thread_count=1, verbose=False, allow_writing_files=False)
     return m.fit(task.x, task.z).predict
 
 
@@ -46,7 +49,7 @@ def _torch(name: str, task: Task, epochs: int = 140, patience: int = 18, batch:
         def __init__(self):
             super().__init__()
             self.conv = nn.Sequential(nn.Conv1d(1, 16, 9, padding=4), nn.ReLU(), nn.MaxPool1d(4))
-            self.gru, self.head = nn.GRU(16, 24, batch_first=True), nn.Sequential(nn.Linear(24, 32), nn.ReLU(), nn.Linear(32, 1))
+            self.gru, self.head = nn.GRU(16, 24, batch_first=True), nn.Sequential(nn.Linear(24, 32), nn.ReLU(), nn.Dropout(0.10), nn.Linear(32, 1))
 
         def forward(self, a):
             return self.head(self.gru(self.conv(a[:, None]).transpose(1, 2))[0][:, -1])
@@ -56,7 +59,7 @@ def _torch(name: str, task: Task, epochs: int = 140, patience: int = 18, batch:
         if name == "TorchMLP":
             return nn.Sequential(nn.Linear(p, 128), nn.ReLU(), nn.Dropout(0.15), nn.Linear(128, 64), nn.ReLU(), nn.Dropout(0.10), nn.Linear(64, 1))
         if name == "Torch1DCNN":
-            return nn.Sequential(nn.Unflatten(1, (1, p)), nn.Conv1d(1, 16, 9, padding=4), nn.ReLU(), nn.MaxPool1d(2), nn.Conv1d(16, 32, 7, padding=3), nn.ReLU(), nn.AdaptiveAvgPool1d(16), nn.Flatten(), nn.Linear(512, 64), nn.ReLU(), nn.Linear(64, 1))
+            return nn.Sequential(nn.Unflatten(1, (1, p)), nn.Conv1d(1, 16, 9, padding=4), nn.ReLU(), nn.MaxPool1d(2), nn.Conv1d(16, 32, 7, padding=3), nn.ReLU(), nn.AdaptiveAvgPool1d(16), nn.Flatten(), nn.Linear(512, 64), nn.ReLU(), nn.Dropout(0.10), nn.Linear(64, 1))
         return Recurrent()
 
     x, y = torch.tensor(s(task.x), dtype=torch.float32), torch.tensor(own.forward(task.z), dtype=torch.float32)[:, None]

@@ -21,7 +21,10 @@ KERNELS = {
 OPTIONAL = {"XGBoost": "xgboost", "LightGBM": "lightgbm", "CatBoost": "catboost", "TorchMLP": "torch", "Torch1DCNN": "torch", "TorchCNNGRU": "torch"}
 #: The members of the stacks.
 WEIGHTED = ("PLS", "RBF-LS-SVM", "KRR-RBF", "Ridge", "ExtraTrees")
+STACKED = ("PLS", "RBF-LS-SVM", "SVR-RBF", "KRR-RBF", "Ridge", "ExtraTrees")
 SUPER = ("PLS", "RBF-LS-SVM", "KRR-RBF", "SVR-RBF", "Ridge", "PCR", "ELM", "ExtraTrees")
+#: Further members of the large stack where their libraries are there.
+SUPER_IF_THERE = ("XGBoost", "LightGBM")
 #: Algorithms that read neighbouring channels and so get the contiguous window.
 CONTIGUOUS = ("Torch1DCNN", "TorchCNNGRU")
 
@@ -44,7 +47,7 @@ def out_of_fold(task: Task, names: tuple[str, ...], k: int = 5) -> np.ndarray:
         inner = replace(task, x=x, y=task.y[tr], nested=None, seed=task.seed + 1009 * (i + 1))
         scale = Scale.fit(task.transform, task.y[tr])
         for j, name in enumerate(names):
-            out[te, j] = outer.forward(scale.inverse(KERNELS[name](inner)(x2)))
+            out[te, j] = outer.forward(scale.inverse(fit(name, inner)(x2)))
     if not np.isfinite(out).all():
         raise ValueError("a stack member has no finite prediction")
     return out
@@ -56,13 +59,21 @@ def weighted_stack(task: Task) -> Predictor:
     errors = np.maximum(np.sqrt(((oof - z[:, None]) ** 2).mean(0)), 1e-12)
     w = errors**-2.0
     w /= w.sum()
-    models = [KERNELS[n](task) for n in WEIGHTED]
+    models = [fit(n, task) for n in WEIGHTED]
     return lambda a: np.column_stack([m(a) for m in models]) @ w
 
 
+def stack(task: Task) -> Predictor:
+    """Ridge with penalty 1 over the members' predictions."""
+    oof, z = out_of_fold(task, STACKED), task.z
+    models = [fit(n, task) for n in STACKED]
+    return lambda a: linear.ridge_path(oof, z, np.column_stack([m(a) for m in models]), np.ones(1))[0]
+
+
 def super_stack(task: Task) -> Predictor:
     """Ridge over the members' predictions, its penalty by leave-one-out error of the out-of-fold ones."""
-    oof, z = out_of_fold(task, SUPER), task.z
+    names = SUPER + tuple(n for n in SUPER_IF_THERE if available(n))
+    oof, z = out_of_fold(task, names), task.z
     mean, centre = z.mean(), oof.mean(0)
     u, s, vt = np.linalg.svd(oof - centre, full_matrices=False)
     uz, best = u.T @ (z - mean), None
@@ -72,11 +83,11 @@ def super_stack(task: Task) -> Predictor:
         loo = (z - mean - u @ (shrink * uz)) / np.maximum(1 - hat, 1e-12)
         if best is None or (loo @ loo) < best[0]:
             best = (loo @ loo, vt.T @ (s / (s * s + alpha) * uz))
-    models = [KERNELS[n](task) for n in SUPER]
+    models = [fit(n, task) for n in names]
     return lambda a: (np.column_stack([m(a) for m in models]) - centre) @ best[1] + mean
 
 
-STACKS = {"WeightedStacking": weighted_stack, "SuperStacking": super_stack}
+STACKS = {"WeightedStacking": weighted_stack, "SuperStacking": super_stack, "STACKING": stack}
 
 
 def fit(name: str, task: Task) -> Predictor:

@@ -9,43 +9,54 @@ from assayline.operators.kernels.base import Components, Predictor, Scale, Stand
 from assayline.operators.kernels.linear import pls_scores, tuned_components
 
 
+def krr_path(x: np.ndarray, z: np.ndarray, x2: np.ndarray, options: list[tuple[float, float]]) -> np.ndarray:
+    """Kernel ridge predictions for each (penalty, gamma) on scaled x and z; one decomposition a gamma."""
+    s, own = Standard(x), Scale.fit("standard", z)
+    x, x2, y = s(x), s(x2), own.forward(z)
+    out = {}
+    for g in dict.fromkeys(g for _, g in options):
+        d, q = np.linalg.eigh(np.exp(-g * squared_distances(x, x)))
+        k2, qy = np.exp(-g * squared_distances(x2, x)) @ q, q.T @ y
+        for a in (a for a, h in options if h == g):
+            out[a, g] = own.inverse(k2 @ (qy / (d + a)))
+    return np.array([out[o] for o in options])
+
+
 def krr(task: Task) -> Predictor:
     grid = [(a, g) for g in task.config.grid["krr_gamma"] for a in task.config.grid["krr_alpha"]]
+    i = tuned(task, lambda x, z, x2: krr_path(x, z, x2, grid), [g / a for a, g in grid])
+    return lambda a: krr_path(task.x, task.z, a, grid[i : i + 1])[0]
 
-    def path(x, z, x2, grid=grid):
-        s, own = Standard(x), Scale.fit("standard", z)
-        x, x2, y = s(x), s(x2), own.forward(z)
-        out = {}
-        for g in dict.fromkeys(g for _, g in grid):
-            d, q = np.linalg.eigh(np.exp(-g * squared_distances(x, x)))  # one decomposition for all penalties
-            k2, qy = np.exp(-g * squared_distances(x2, x)) @ q, q.T @ y
-            for a in (a for a, h in grid if h == g):
-                out[a, g] = own.inverse(k2 @ (qy / (d + a)))
-        return np.array([out[c] for c in grid])
-
-    i = tuned(task, path, [g / a for a, g in grid])
-    return lambda a: path(task.x, task.z, a, grid[i : i + 1])[0]
 
+def svr_dual(k: np.ndarray, y: np.ndarray, c: float, eps: float, rounds: int = 4000, tol: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Coefficients and bias of epsilon-insensitive regression.
 
-def svr_dual(k: np.ndarray, y: np.ndarray, c: float, eps: float, rounds: int = 120) -> tuple[np.ndarray, float]:
-    """Coefficients and bias of epsilon-insensitive regression: splitting between the equality-constrained quadratic and the clipped, shrunk box."""
+    Splitting between the equality-constrained quadratic and the clipped, shrunk
+    box. One decomposition of k serves every step size, which follows the
+    residuals, until what is predicted and its slopes are settled to within tol.
+    """
     n = len(y)
-    rho = max(np.trace(k) / n, 1e-6) * 0.1 + 1e-3
-    inv = np.linalg.inv(k + rho * np.eye(n))
-    ones = inv.sum(1)
+    d, q = np.linalg.eigh(k)
+    d, qy, q1 = np.maximum(d, 0), q.T @ y, q.sum(0)
+    rho = 0.1 * float(d.mean()) + 1e-3
     z, u, b = np.zeros(n), np.zeros(n), 0.0
-    for _ in range(rounds):
-        r = inv @ (y + rho * (z - u))
-        b = r.sum() / ones.sum()
-        beta = r - b * ones
-        v = beta + u
+    for i in range(1, rounds + 1):
+        r, ones = (qy + rho * (q.T @ (z - u))) / (d + rho), q1 / (d + rho)
+        b = float(q1 @ r) / float(q1 @ ones)
+        beta = q @ (r - b * ones)
+        v = 1.6 * beta - 0.6 * z + u
         new = np.clip(np.sign(v) * np.maximum(np.abs(v) - eps / rho, 0), -c, c)
-        u += beta - new
-        moved = np.abs(new - z).max() + np.abs(beta - new).max()
-        z = new
-        if moved < 1e-4 * c:
+        u = v - new
+        moved, z = rho * float(np.abs(new - z).max()), new
+        if i % 10:
+            continue
+        apart = float(np.abs(k @ (beta - new)).max())
+        if apart <= tol and moved <= tol:
             break
-    return z, float(b)
+        if apart > 5 * moved or moved > 5 * apart:
+            step = 2.0 if apart > moved else 0.5
+            rho, u = rho * step, u / step
+    return z, b
 
 
 def _svr(task: Task, rbf: bool) -> Predictor:
@@ -152,6 +163,19 @@ def _simplex(f, start: np.ndarray, rounds: int = 160) -> np.ndarray:
     return points[int(np.argmin(values))]
 
 
+def covariance(d: np.ndarray, length: float, matern: bool) -> np.ndarray:
+    """Squared exponential or Matern 3/2 of distances."""
+    r = d / length
+    return (1 + np.sqrt(3) * r) * np.exp(-np.sqrt(3) * r) if matern else np.exp(-0.5 * r * r)
+
+
+def gp_mean(x: np.ndarray, y: np.ndarray, x2: np.ndarray, c: float, length: float, noise: float, matern: bool) -> np.ndarray:
+    """Posterior mean of a Gaussian process with a jitter of 1e-6."""
+    k = c * covariance(np.sqrt(squared_distances(x, x)), length, matern)
+    weights = np.linalg.solve(k + (noise + 1e-6) * np.eye(len(y)), y)
+    return c * covariance(np.sqrt(squared_distances(x2, x)), length, matern) @ weights
+
+
 def _gp(task: Task, matern: bool) -> Predictor:
     """Constant x (squared exponential or Matern 3/2) + white noise on ten components, at the best marginal likelihood of two starts."""
     s, own = Standard(task.x), Scale.fit("standard", task.z)
@@ -159,14 +183,10 @@ def _gp(task: Task, matern: bool) -> Predictor:
     x, y = pc(s(task.x)), own.forward(task.z)
     n, d = len(y), np.sqrt(squared_distances(x, x))
 
-    def shape(d, length):
-        r = d / length
-        return (1 + np.sqrt(3) * r) * np.exp(-np.sqrt(3) * r) if matern else np.exp(-0.5 * r * r)
-
     def loss(p):
         c, length, noise = np.exp(np.clip(p, np.log(1e-5), np.log(1e5)))
         try:
-            low = np.linalg.cholesky(c * shape(d, length) + (noise + 1e-6) * np.eye(n))
+            low = np.linalg.cholesky(c * covariance(d, length, matern) + (noise + 1e-6) * np.eye(n))
         except np.linalg.LinAlgError:
             return 1e12
         a = np.linalg.solve(low, y)
@@ -176,8 +196,7 @@ def _gp(task: Task, matern: bool) -> Predictor:
     starts = [np.log([1.0, 3.0, 0.05]), rng.uniform(np.log(1e-2), np.log(1e2), 3)]
     best = min((_simplex(loss, p) for p in starts), key=loss)
     c, length, noise = np.exp(np.clip(best, np.log(1e-5), np.log(1e5)))
-    weights = np.linalg.solve(c * shape(d, length) + (noise + 1e-6) * np.eye(n), y)
-    return lambda a: own.inverse(c * shape(np.sqrt(squared_distances(pc(s(a)), x)), length) @ weights)
+    return lambda a: own.inverse(gp_mean(x, y, pc(s(a)), c, length, noise, matern))
 
 
 def gpr_se(task: Task) -> Predictor:

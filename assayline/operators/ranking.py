@@ -37,9 +37,16 @@ def export_order(metrics: DataFrame, targets: DataFrame, seq: str = "splitId") -
     return joined.orderBy(F.col("ordinal").asc_nulls_last(), *_best_first(seq)).drop("ordinal")
 
 
+def prediction_order(details: DataFrame, targets: DataFrame) -> DataFrame:
+    """details by the order of targets (target, ordinal), those not listed last, then model, set and sample."""
+    joined = details.join(targets, "target", "left")
+    return joined.orderBy(F.col("ordinal").asc_nulls_last(), "modelName", "setType", "sampleName").drop("ordinal")
+
+
 def fixed_schema(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exactly the columns, in order: missing ones null, others dropped."""
-    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
+    kinds = {f.name: f.dataType for f in METRICS_SCHEMA} | {c: T.DoubleType() for c in ("actualValue", "predictedValue", "error", "absError") if c in PREDICTION_COLUMNS and c in columns and "actualValue" in columns}
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(kinds.get(c, T.StringType())).alias(c) for c in columns])
 
 
 def first_of_each(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import importlib.metadata
+import json
 import platform
+from dataclasses import asdict
 
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +28,18 @@ def load(spark: SparkSession, spectra_path: str, reference_path: str) -> tuple[D
 
 
 def run_metadata(spark: SparkSession, config: Config, signature: str) -> DataFrame:
-    rows = [("signature", signature), ("version", __version__), ("spark", pyspark.__version__), ("python", platform.python_version()), ("evaluations_per_target", str(config.evaluations)), ("random_state", str(config.random_state))]
+    rows = [("signature", signature), ("version", __version__), ("spark", pyspark.__version__), ("python", platform.python_version()), ("evaluations_per_target", str(config.evaluations)), ("random_state", str(config.random_state)), ("settings", json.dumps(asdict(config), default=str))]
+    rows += [(f"library_{n}", importlib.metadata.version(n)) for n in ("numpy", "pandas", "pyarrow")] + [("system", platform.platform()), ("machine", platform.machine()), ("java", spark.sparkContext._jvm.System.getProperty("java.version")), ("master", spark.sparkContext.master)]
     return spark.createDataFrame(rows, "key string, value string").withColumn("saved_at", F.current_timestamp())
 
 
 def run_files(spark: SparkSession, spectra_path: str, reference_path: str, config: Config, folder: str, exclusions_path: str | None = None) -> dict[str, DataFrame]:
-    """A resumable study from files: results by target in folder/results, the result and audit tables returned."""
+    """A resumable study from files: results by target in folder/results, the result and audit tables returned.
+
+    Targets run one after another, each of them all over the cluster, so that
+    what is done of a study that breaks off is whole targets. Where the full
+    factorial is required, missing or failed tasks are an error at the end.
+    """
     spectra, reference, axis = load(spark, spectra_path, reference_path)
     audit = population.resolve_population(reference, tables.exclusions(spark, exclusions_path))
     kept = population.retained(audit)
@@ -41,7 +50,11 @@ def run_files(spark: SparkSession, spectra_path: str, reference_path: str, confi
     finished = set() if done is None else {r.target for r in done.select("target").distinct().collect()}
     for target in sorted(set(targets) - finished):
         store.save(study.run_study(spectra, kept.where(F.col("target") == target), axis, config))
-    out = study.summarise(store.load(), config)
+    found = store.load()
+    if config.require_full_factorial and (short := study.incomplete(found, config).collect()):  # a row a target
+        raise RuntimeError(f"the factorial isn't whole: {[tuple(r) for r in short]}; what ran is kept in {folder}")
+    order = reference.groupBy("target").agg(F.min("target_no").alias("ordinal"))
+    out = study.summarise(found, config, axis, order, audit)
     return out | {"PredeclaredExclusionAudit": audit.where("excluded"), "RunMetadata": run_metadata(spark, config, store.signature)}
 
 

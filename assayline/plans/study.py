@@ -11,67 +11,94 @@ from pyspark.sql import functions as F
 
 from assayline.config import Config, stable_seed
 from assayline.operators import metrics, population, ranking, screening, splits
-from assayline.operators.evaluate import evaluate
+from assayline.operators.evaluate import evaluate_all, screened
+from assayline.operators.kernels import registry
 from assayline.operators.kernels.linear import pls_path
 
-#: About how many inner fits a configuration costs; tasks are dealt so that costly ones don't meet.
-COSTS = {"SuperStacking": 10350, "WeightedStacking": 4320, "ElasticNet": 1801, "SVR-RBF": 801, "LASSO": 361, "KRR-RBF": 301, "SVR-Linear": 201}
-
 RESULT = (
     "target string, outer_split_id int, train_ratio double, repeat_id int, preprocess string, y_transform string, algorithm string, split_id bigint, "
     "Rc2 double, Rp2 double, RMSEC double, RMSEP double, MAE double, RPD double, n_samples int, n_calibration int, n_prediction int, n_features int, "
-    "channels array<int>, predictions array<struct<sample_id:string,role:string,actual:double,predicted:double>>, warning_messages array<string>, elapsed_sec double, error string"
+    "channels array<int>, screened_out array<string>, predictions array<struct<sample_id:string,role:string,actual:double,predicted:double>>, warning_messages array<string>, elapsed_sec double, error string"
 )
 
+_FIELDS = RESULT.replace("array<struct<sample_id:string,role:string,actual:double,predicted:double>>", "array").split(", ")
+
 
-def run_study(spectra: DataFrame, reference: DataFrame, axis: Sequence[float], config: Config, done: DataFrame | None = None, tasks_per_partition: int = 64) -> DataFrame:
+def run_study(spectra: DataFrame, reference: DataFrame, axis: Sequence[float], config: Config, done: DataFrame | None = None, tasks_per_group: int = 64) -> DataFrame:
     """One row (RESULT) for each task of the factorial, for every target of reference.
 
     spectra: sample_id, x array<double> in the order of axis; reference: target,
-    sample_id, value, already without excluded samples. Each (target, split) is
-    one row of arrays; a task is that row and its configuration, so the product
-    with the settings moves no spectra twice within a partition. Tasks are
-    dealt by a hash that keeps costly algorithms apart, and each is a function
-    of its key and settings alone: lost tasks are simply run again with the
-    same result. done: rows whose (target, outer_split_id, preprocess,
-    y_transform, algorithm) need no run. Rows with another number of channels
-    than the axis are left out, failures are rows with an error.
+    sample_id, value, already without excluded samples. A split's recipes and
+    transforms are dealt to groups of about tasks_per_group tasks. Only keys and
+    values of the groups' samples are shuffled; spectra join them where they
+    lie, broadcast by Spark if below its size bound, or shuffled once a group,
+    not once a task. Pretreatment and channel scores are made once for all
+    algorithms of a recipe and transform. A group is a function of its key and
+    settings alone: lost tasks are simply run again with the same result. done:
+    rows whose (target, outer_split_id, preprocess, y_transform, algorithm) need
+    no run. With config.screen_calibration each split's calibration rows are
+    screened first; those that go are in screened_out and in no model. Rows with
+    another number of channels than the axis are left out, failures are rows
+    with an error.
     """
     config.validate()
-    spark = spectra.sparkSession
-    wanted = spectra.where(F.size("x") == len(axis))
-    chosen = splits.outer_splits(reference, config)
-    rows = chosen.join(reference, ["target", "sample_id"]).join(wanted, "sample_id")
-    blocks = rows.groupBy("target", "outer_split_id", "train_ratio", "repeat_id").agg(F.sort_array(F.collect_list(F.struct(F.col("sample_id").cast("string").alias("sample_id"), "role", "value", "x"))).alias("rows"))
-    tasks = splits.factorial(spark, config)
-    work = blocks.join(F.broadcast(tasks), ["train_ratio", "repeat_id"])  # the settings' product, of fixed size
-    key = ["target", "outer_split_id", "preprocess", "y_transform", "algorithm"]
-    if done is not None:
-        work = work.join(done.select(*key).distinct(), key, "left_anti")
-    n = max(1, config.evaluations // tasks_per_partition)
+    units = [(p, t) for p in config.recipes for t in config.transforms]
+    groups = min(len(units), max(1, -(-len(units) * len(config.algorithms) // tasks_per_group)))
+    key = ["target", "outer_split_id", "part"]
+    rows = splits.outer_splits(reference, config).join(reference, ["target", "sample_id"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    total = reference.select("target").distinct().count() * len(config.ratios) * config.repeats * groups
+    wanted = spectra.where(F.size("x") == len(axis)).select("sample_id", "x")
+    dealt = rows.repartition(max(1, min(2 * total, 10_000)), *key).join(wanted, "sample_id")
+    dealt = dealt.select(*key, "train_ratio", "repeat_id", F.col("sample_id").cast("string").alias("sample_id"), "role", "value", "x")
     channels = np.asarray(axis, float)
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for r in batch.to_dict("records"):
-                names, roles = [s["sample_id"] for s in r["rows"]], np.array([s["role"] for s in r["rows"]])
-                y, x, cal = np.array([s["value"] for s in r["rows"]], float), np.array([s["x"] for s in r["rows"]], float), roles == "cal"
-                got = evaluate(x, y, cal, r["preprocess"], r["y_transform"], r["algorithm"], channels, config, (r["target"], r["outer_split_id"], r["y_transform"], r["preprocess"], r["algorithm"]))
+    def run(k, pdf, finished):
+        target, split, part = k
+        pdf = pdf.sort_values("sample_id")
+        names, roles = pdf["sample_id"].tolist(), pdf["role"].to_numpy()
+        y, x, cal = pdf["value"].to_numpy(float), np.array(pdf["x"].tolist(), float), roles == "cal"
+        ratio, repeat = float(pdf["train_ratio"].iloc[0]), int(pdf["repeat_id"].iloc[0])
+        n_raw, gone, trouble = int(cal.sum()), [], None
+        if config.screen_calibration:
+            try:
+                keep = ~cal
+                keep[cal] = screened(x[cal], y[cal], config, stable_seed(config.random_state, "calibration_outliers", split))
+                gone = [n for n, ok in zip(names, keep, strict=True) if not ok]
+                names, roles, y, x, cal = [n for n, ok in zip(names, keep, strict=True) if ok], roles[keep], y[keep], x[keep], cal[keep]
+            except Exception as e:
+                trouble = f"{type(e).__name__}: {e}"[:500]
+        out = []
+        for recipe, transform in units[part::groups]:
+            todo = [a for a in config.algorithms if (recipe, transform, a) not in finished]
+            if trouble:
+                results = [{"error": trouble, "warnings": [], "elapsed": 0.0}] * len(todo)
+            else:
+                results = evaluate_all(x, y, cal, recipe, transform, todo, channels, config, lambda a, p=recipe, t=transform: (target, split, t, p, a))
+            for algorithm, got in zip(todo, results, strict=True):
                 p = got.get("predicted")
                 predictions = [] if p is None else [{"sample_id": a, "role": b, "actual": float(c), "predicted": float(d)} for a, b, c, d in zip(names, roles, y, p, strict=True)]
                 own = got.get("channels")
+                number = ((config.transforms.index(transform) * len(config.recipes) + config.recipes.index(recipe)) * len(config.ratios) + config.ratios.index(ratio)) * config.repeats + repeat
                 out.append(
-                    {k: r[k] for k in ("target", "outer_split_id", "train_ratio", "repeat_id", "preprocess", "y_transform", "algorithm", "split_id")}
-                    | {k: got.get(k) for k in ("Rc2", "Rp2", "RMSEC", "RMSEP", "MAE", "RPD")}
-                    | {"n_samples": len(y), "n_calibration": int(cal.sum()), "n_prediction": int((~cal).sum()), "n_features": 0 if own is None else len(own), "channels": [] if own is None else own.tolist()}
+                    {"target": target, "outer_split_id": split, "train_ratio": ratio, "repeat_id": repeat, "preprocess": recipe, "y_transform": transform, "algorithm": algorithm, "split_id": number}
+                    | {m: got.get(m) for m in ("Rc2", "Rp2", "RMSEC", "RMSEP", "MAE", "RPD")}
+                    | {"n_samples": n_raw + int((~cal).sum()), "n_calibration": int(cal.sum()), "n_prediction": int((~cal).sum()), "n_features": 0 if own is None else len(own), "channels": [] if own is None else own.tolist(), "screened_out": gone}
                     | {"predictions": predictions, "warning_messages": got["warnings"], "elapsed_sec": got["elapsed"], "error": got["error"]}
                 )
-            if out:
-                yield pd.DataFrame(out)
+        return pd.DataFrame(out, columns=[f.split(" ")[0] for f in _FIELDS])
+
+    if done is None:
+        return dealt.groupBy(*key).applyInPandas(lambda k, pdf: run(k, pdf, set()), RESULT)
+    at = [F.array_position(F.array(*map(F.lit, v)), c) - 1 for v, c in ((config.recipes, F.col("preprocess")), (config.transforms, F.col("y_transform")))]
+    part = ((at[0] * len(config.transforms) + at[1]) % groups).cast("int")
+    had = done.where(F.col("preprocess").isin(*config.recipes) & F.col("y_transform").isin(*config.transforms)).select("target", "outer_split_id", part.alias("part"), "preprocess", "y_transform", "algorithm").distinct()
+
+    def rest(k, pdf, finished):
+        if pdf.empty:
+            return pd.DataFrame(columns=[f.split(" ")[0] for f in _FIELDS])
+        return run(k, pdf, set(zip(finished["preprocess"], finished["y_transform"], finished["algorithm"], strict=True)))
 
-    dealt = work.repartition(n, F.xxhash64(*key))
-    return dealt.select(*key, "train_ratio", "repeat_id", "split_id", "rows").mapInPandas(run, RESULT)
+    return dealt.groupBy(*key).cogroup(had.groupBy(*key)).applyInPandas(rest, RESULT)
 
 
 def incomplete(results: DataFrame, config: Config) -> DataFrame:
@@ -80,12 +107,17 @@ def incomplete(results: DataFrame, config: Config) -> DataFrame:
     return got.withColumn("expected", F.lit(config.evaluations)).where((F.col("found") != F.col("expected")) | (F.col("failed") > 0))
 
 
-def summarise(results: DataFrame, config: Config) -> dict[str, DataFrame]:
-    """The result and audit tables of a study by name."""
+def summarise(results: DataFrame, config: Config, axis: Sequence[float] | None = None, targets: DataFrame | None = None, population: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The result and audit tables of a study by name.
+
+    axis: the channels' shifts, for the variable manifest. targets (target,
+    ordinal): the order of the result tables. population (target, sample_id,
+    excluded): who was left out before the study, for the outlier manifest.
+    """
     named = results.select(
         "target", F.col("algorithm").alias("modelName"), "preprocess", F.col("y_transform").alias("yTransform"), F.col("train_ratio").alias("trainRatio"), F.col("repeat_id").alias("repeatId"), F.col("split_id").alias("splitId"),
         "Rc2", "Rp2", "RMSEC", "RMSEP", "MAE", "RPD", F.col("n_samples").alias("nSamples"), F.col("n_features").alias("nFeatures"), F.col("n_features").alias("nEffectiveVariables"), F.col("elapsed_sec").alias("elapsedSec"),
-        "error", "outer_split_id", "predictions", "channels", "warning_messages",
+        "error", "outer_split_id", "predictions", "channels", "warning_messages", "screened_out", "n_calibration", "n_prediction",
     )
     good = metrics.valid_results(named)
     all_runs = ranking.fixed_schema(good, ranking.METRIC_COLUMNS)
@@ -94,13 +126,22 @@ def summarise(results: DataFrame, config: Config) -> dict[str, DataFrame]:
     detail = ranking.prediction_details(detail).select("*", F.col("sample_id").alias("sampleName"), F.col("actual").alias("actualValue"), F.col("predicted").alias("predictedValue"))
     names = F.array_join(F.transform(F.filter("predictions", lambda p: p.role == "pred"), lambda p: p.sample_id), ",")
     cal_names = F.array_join(F.transform(F.filter("predictions", lambda p: p.role == "cal"), lambda p: p.sample_id), ",")
+    ordered, details_ordered = (lambda t: t, lambda t: t) if targets is None else (lambda t: ranking.export_order(t, targets), lambda t: ranking.prediction_order(t, targets))
+    path = F.when(F.col("modelName").isin(*registry.CONTIGUOUS), f"contiguous{config.feature_count}").otherwise(f"ranked{config.feature_count}")
+    shifts = F.transform("channels", lambda c: F.format_string("%.6f", F.get(F.array(*[F.lit(float(v)) for v in axis]), c))) if axis is not None else F.array().cast("array<string>")
+    outliers = good.select("target", "outer_split_id", "trainRatio", "repeatId", "splitId", (F.col("n_calibration") + F.size("screened_out")).alias("nCalibrationRaw"), F.col("n_calibration").alias("nCalibrationUsed"), F.size("screened_out").alias("nCalibrationExcluded"), F.array_join("screened_out", ",").alias("calibrationExcludedNames"), F.col("n_prediction").alias("nPrediction"))
+    outliers = ranking.first_of_each(outliers, ["target", "outer_split_id"], ["splitId"]).drop("splitId")
+    if population is not None:
+        before = population.groupBy("target").agg(F.count("*").alias("nOriginalSamples"), F.count_if("excluded").alias("nPresearchExcluded"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("excluded"), F.col("sample_id").cast("string")))), ",").alias("presearchExcludedNames"))
+        outliers = outliers.join(before, "target", "left")
     return {
-        "BestSummary": ranking.best_by(all_runs, ["target"]),
-        "BestByTargetAlgorithm": ranking.best_by(all_runs, ["target", "modelName"]),
+        "BestSummary": ordered(ranking.best_by(all_runs, ["target"])),
+        "BestByTargetAlgorithm": ordered(ranking.best_by(all_runs, ["target", "modelName"])),
         "AllRunMetrics": all_runs,
-        "PredictionDetails": ranking.fixed_schema(detail, ranking.PREDICTION_COLUMNS),
+        "PredictionDetails": details_ordered(ranking.fixed_schema(detail, ranking.PREDICTION_COLUMNS)),
+        "OutlierManifest": outliers,
         "SplitManifest": ranking.first_of_each(good.select("target", "outer_split_id", "trainRatio", "repeatId", "splitId", cal_names.alias("calibrationSamples"), names.alias("predictionSamples")), ["target", "outer_split_id"], ["splitId"]).drop("splitId"),
-        "SelectedVariableManifest": ranking.first_of_each(good.select("target", "outer_split_id", "yTransform", "preprocess", "splitId", "nFeatures", F.array_join("channels", ",").alias("selectedVariableIndices")), ["target", "outer_split_id", "yTransform", "preprocess"], ["splitId"]),
+        "SelectedVariableManifest": ranking.first_of_each(good.select("target", "outer_split_id", "splitId", "trainRatio", "repeatId", "yTransform", "preprocess", path.alias("featurePath"), "nFeatures", F.array_join("channels", ",").alias("selectedVariableIndices"), F.array_join(shifts, ",").alias("selectedRamanShifts_cm-1")), ["target", "outer_split_id", "yTransform", "preprocess", "featurePath"], ["splitId"]),
         "RunWarnings": named.where(F.size("warning_messages") > 0).select(*keys, "outer_split_id", F.size("warning_messages").alias("warningCount"), F.array_join("warning_messages", "; ").alias("warningMessages")),
         "RunFailures": named.where(F.col("error").isNotNull()).select(*keys, "outer_split_id", "error"),
         "TopRuns": ranking.top_n(all_runs, config.top_n),

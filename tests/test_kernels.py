@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from assayline.config import Config
-from assayline.operators.evaluate import evaluate, select
+from assayline.operators.evaluate import evaluate, feature_count, screened, select
 from assayline.operators.kernels import linear, registry, similarity, trees
 from assayline.operators.splits import kennard_stone
 
@@ -72,6 +72,47 @@ def test_svr_tube():
     assert np.abs(x @ x.T @ beta + b - y).max() < 0.06 and abs(beta.sum()) < 0.5
 
 
+@pytest.mark.parametrize("rbf,c,eps", [(rbf, c, eps) for rbf in (False, True) for c in (0.3, 3.0, 30.0) for eps in (0.02, 0.1)])
+def test_svr_optimality(rbf, c, eps):
+    """At the settings of the search: within the tube without weight, at its edge with some, beyond it with all."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 40))
+    y = x[:, 0] - 0.5 * x[:, 1] + 0.3 * rng.normal(size=60)
+    y = (y - y.mean()) / y.std()
+    k = np.exp(-0.01 * ((x[:, None] - x[None]) ** 2).sum(-1)) if rbf else x @ x.T
+    beta, b = similarity.svr_dual(k, y, c, eps)
+    r = y - k @ beta - b
+    size, tol = np.abs(beta), 5e-3
+    assert abs(beta.sum()) < 1e-2 * max(1, size.max()) and size.max() <= c
+    free = (size > 1e-6 * c) & (size < c * (1 - 1e-6))
+    assert (np.abs(r[size <= 1e-6 * c]) <= eps + tol).all()
+    assert (np.abs(r[free] - eps * np.sign(beta[free])) <= tol).all()
+    assert (r[size >= c * (1 - 1e-6)] * np.sign(beta[size >= c * (1 - 1e-6)]) >= eps - tol).all()
+
+
+def test_stack_of_six(data):
+    x, y = data
+    got = evaluate(x, y, np.arange(48) % 4 != 0, "RAW", "raw", "STACKING", AXIS, FAST, ("s",))
+    assert got["error"] is None and got["Rp2"] > 0.6
+
+
+def test_number_of_channels_is_tuned(data):
+    x, y = data
+    tuned = Config(level="fast", inner_repeats=1, inner_folds=3, feature_candidates=(2, 6, 12, 20, 50), feature_min=4)
+    k = feature_count(x, y, "RAW", "raw", AXIS, tuned, 1)
+    assert k in (6, 12, 20) and feature_count(x, y, "RAW", "raw", AXIS, FAST, 1) == 158
+    got = evaluate(x, y, np.arange(48) % 4 != 0, "RAW", "raw", "PLS", AXIS, tuned, ("s",))
+    assert len(got["channels"]) in (6, 12, 20)
+
+
+def test_calibration_screen(data):
+    x, y = data
+    bad = y.copy()
+    bad[5] += 40
+    keep = screened(x, bad, Config(mccv_iterations=40, max_pls_components=3), 7)
+    assert not keep[5] and keep.sum() >= 41 and screened(x[:10], bad[:10], Config(), 7).all()
+
+
 def test_tree_fits_steps():
     x = np.arange(20.0)[:, None]
     y = (x[:, 0] >= 10).astype(float)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from assayline.config import Config
+from assayline.operators import ranking
 from assayline.plans import reports, study
 from assayline.sources import results, tables, workbook
 
@@ -62,6 +63,37 @@ def test_screen(spark, folder, tmp_path):
     assert errors.count() == 20 * (N - max(8, round(0.78 * N)))
 
 
+def test_study_screens_and_resumes_within_targets(spark, folder):
+    spectra, ref = _wide(spark, folder)
+    axis = [200 + 2.5 * j for j in range(P)]
+    cfg = Config(**{**CFG.__dict__, "algorithms": ("PLS", "Ridge", "Torch1DCNN"), "screen_calibration": True, "mccv_iterations": 20, "max_pls_components": 3})
+    whole = study.run_study(spectra, ref, axis, cfg, tasks_per_group=2).drop("elapsed_sec").collect()
+    assert len(whole) == 6 and {r.split_id for r in whole} == {1, 2}
+    assert all(r.n_calibration + len(r.screened_out) + r.n_prediction == r.n_samples == N for r in whole)
+    keys = ("target", "outer_split_id", "preprocess", "y_transform", "algorithm")
+    done = spark.createDataFrame([tuple(r[k] for k in keys) for r in whole if r.preprocess == "RAW"], list(keys))
+    rest = study.run_study(spectra, ref, axis, cfg, done=done, tasks_per_group=2).drop("elapsed_sec").collect()
+    assert sorted(map(repr, rest)) == sorted(repr(r) for r in whole if r.preprocess != "RAW")
+    plan = study.run_study(spectra, ref, axis, cfg)._jdf.queryExecution().executedPlan().toString()
+    assert all("x#" not in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+    out = study.summarise(study.run_study(spectra, ref, axis, cfg), cfg, axis)
+    o = out["OutlierManifest"].first()
+    assert o.nCalibrationRaw == o.nCalibrationUsed + o.nCalibrationExcluded
+    v = out["SelectedVariableManifest"].collect()
+    assert {r.featurePath for r in v} == {"ranked8"} and all(len(r["selectedRamanShifts_cm-1"].split(",")) == 8 for r in v)
+
+
+def test_fixed_schema_keeps_kinds(spark):
+    kinds = dict(ranking.fixed_schema(spark.range(1).selectExpr("'a' as target"), ranking.METRIC_COLUMNS).dtypes)
+    assert kinds["Rp2"] == "double" and kinds["splitId"] == "bigint" and kinds["modelName"] == "string"
+
+
+def test_orders(spark):
+    t = spark.createDataFrame([("b", 0), ("a", 1)], "target string, ordinal int")
+    d = spark.createDataFrame([("a", "m", "Prediction", "s2"), ("z", "m", "Prediction", "s"), ("a", "m", "Prediction", "s1"), ("b", "n", "Calibration", "s")], "target string, modelName string, setType string, sampleName string")
+    assert [(r.target, r.sampleName) for r in ranking.prediction_order(d, t).collect()] == [("b", "s"), ("a", "s1"), ("a", "s2"), ("z", "s")]
+
+
 def _wide(spark, folder):
     spectra, _ = tables.spectra(tables.read_wide(spark, str(folder / "spectra.csv")))
     ref = tables.reference(tables.read_wide(spark, str(folder / "reference.csv"))).where("target = 'EA'")
