@@ -12,7 +12,7 @@ from assayline.config import RECIPES, Config
 from assayline.functions.columns import finite, half_even, or_null, seed_column
 from assayline.operators import metrics, neighbours, population, pretreat, ranking, response, robustness, screening, selection, splits
 from assayline.operators.sql_forms import recipe_sql
-from assayline.plans import study, views
+from assayline.plans import closed_forms, study, views
 from assayline.plans.views import AXIS, CHANNELS, METRICS_SQL, PREDICTIONS_SQL, REFERENCE_SQL, SIGNALS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -384,6 +384,11 @@ def pls_1comp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(q, "target").select("target", "sample_id", "role", *rounded("actual"), (F.round(F.col("my") + F.col("sy") * F.col("q") * F.col("t"), 6) + F.lit(0.0)).alias("predicted"))
 
 
+for _m in closed_forms.MODELS:
+    QUERIES[f"fixed_{_m}"] = closed_forms.fixed(_m)
+    ORACLE_SQL[f"fixed_{_m}"] = closed_forms.SQL[_m]
+
+
 # --- validation ----------------------------------------------------------------------------------
 @query(r"""
 SELECT 'embeddings_channels' AS check_name, '64' AS expected, string_agg(DISTINCT len(embedding)::VARCHAR, ',') AS actual, string_agg(DISTINCT len(embedding)::VARCHAR, ',') = '64' AS passed FROM embeddings

@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from assayline.plans import closed_forms
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["calibration_1var", "metrics_by_group", "pre_msc_sg", "outer_split_native", "population_audit", "crs_scores", "mad_outliers", "one_se_select"]
+NAMES = ["calibration_1var", "metrics_by_group", "pre_msc_sg", "outer_split_native", "population_audit", "crs_scores", "mad_outliers", "one_se_select"] + [f"fixed_{m}" for m in closed_forms.MODELS]
 
 
 def test_entry(spark):
