@@ -42,7 +42,7 @@ class WordTokenizer:
     (no white-space-dropping split, no such suffix) are refused.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 150_000):
         from tokenizers import Tokenizer
 
         spec = json.loads(open(path, encoding="utf-8").read())

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,6 +76,7 @@ class Index:
     k: int = 16
     common: float = 0.08
     block: int = 64
+    batch: int = 96
     platt: tuple[float, float] = (1.0, 0.0)
     nothing: float = 0.0
 
@@ -133,7 +135,7 @@ class Index:
         slot = np.empty(len(self.example) + 1, np.int64)
         slot[self.example] = np.arange(len(self.example))
         slot[-1] = -1
-        return [near for at in range(0, len(vectors), 32) for near in self._nearest(vectors[at : at + 32], slot[skips[at : at + 32]])]
+        return [near for at in range(0, len(vectors), self.batch) for near in self._nearest(vectors[at : at + self.batch], slot[skips[at : at + self.batch]])]
 
     def _nearest(self, vectors: list[Vector], skips: np.ndarray) -> list[list[tuple[float, int]]]:
         m, blocks, slack = len(vectors), len(self.matrix), 1e-5
@@ -151,7 +153,7 @@ class Index:
             got = pairs[where].view(np.int32).reshape(-1, 2)
             to = got[:, 0].astype(np.intp)
             close[i] = np.bincount(to, got[:, 1].view(np.float32) * np.repeat(w.astype(np.float32), size), self.size)
-            met.append((where, to, np.cumsum(size), w, c[frequent], v[frequent]))
+            met.append((where.astype(np.int32), got[:, 0].copy(), np.cumsum(size), w, c[frequent], v[frequent]))
         out_of = np.flatnonzero(skips >= 0)
         close[out_of, skips[out_of]] = -2.0  # no frequent terms bring it above zero
         # weights are above zero, so the k-th of the rare terms' sums is a floor already
@@ -304,13 +306,9 @@ class Reader(dict):
     def __missing__(self, w: bytes) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        got = self[w] = np.array([self.at[t] for t in terms(w) if t in self.at], np.int32).tobytes()
+        got = self[w] = array("i", [self.at[t] for t in terms(w) if t in self.at]).tobytes()
         return got
 
-    def known(self, bag: Iterable[bytes]) -> np.ndarray:
-        """The terms of all words of the bag, one word's after the other's."""
-        return np.frombuffer(b"".join(map(self.__getitem__, bag)), np.int32)
-
     def read(self, text: bytes | None) -> Vector:
         bag = Counter(words(text))
         parts = list(map(self.__getitem__, bag))
@@ -324,15 +322,37 @@ class Reader(dict):
         return t[new], np.add.reduceat(n[order], new).astype(np.int32)
 
 
-def document_frequencies(docs: DataFrame, at: Broadcast, many: int, piece: int = 8192) -> tuple[np.ndarray, int]:
-    """In how many rows of docs each of the `many` terms occurs, and the number of rows. A task's counts leave it in pieces."""
+def document_vectors(docs: DataFrame, at: Broadcast, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text binary, carry) with steps, the gaps between a text's known terms, and tf, their counts, in place of the text.
+
+    Written out: each whole text is read once, and neither words nor the
+    vocabulary are needed again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Reader(at.value).read
+        for b in batches:
+            got = [read(text.as_py()) for text in b.column("text")]
+            steps, tf = pa.array([np.diff(t, prepend=0).astype(np.int32).tobytes() for t, _ in got], pa.binary()), pa.array([n.tobytes() for _, n in got], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), steps, tf, *map(b.column, carry)], ["doc_id", "steps", "tf", *carry])
+
+    schema = docs.select("doc_id", F.col("text").alias("steps"), F.col("text").alias("tf"), *carry).schema
+    return durable(docs.mapInArrow(run, schema))
+
+
+def _counts(b: pa.RecordBatch) -> list[Vector]:
+    return [(np.cumsum(np.frombuffer(s.as_py(), np.int32)), np.frombuffer(n.as_py(), np.int32)) for s, n in zip(b.column("steps"), b.column("tf"), strict=True)]
+
+
+def document_frequencies(vectors: DataFrame, many: int, piece: int = 8192) -> tuple[np.ndarray, int]:
+    """In how many rows of vectors each of the `many` terms occurs, and the number of rows. A task's counts leave it in pieces."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, own = Reader(at.value), np.zeros(many + 1, np.int64)
+        own = np.zeros(many + 1, np.int64)
         for b in batches:
             own[many] += b.num_rows
-            for text in b.column("text"):
-                own[reader.known(set(words(text.as_py())))] += 1  # a place that repeats counts once
+            for s in b.column("steps"):
+                own[np.cumsum(np.frombuffer(s.as_py(), np.int32))] += 1
         if own[many]:
             cuts = range(0, many + 1, piece)
             yield pa.RecordBatch.from_arrays([pa.array(list(cuts), pa.int32()), pa.array([own[c : c + piece].tobytes() for c in cuts], pa.binary())], ["piece", "counts"])
@@ -341,7 +361,7 @@ def document_frequencies(docs: DataFrame, at: Broadcast, many: int, piece: int =
         own = sum(np.frombuffer(c.as_py(), np.int64) for c in t.column("counts"))
         return pa.table({"piece": t.column("piece")[:1].cast(pa.int32()), "counts": pa.array([own.tobytes()], pa.binary())})
 
-    got = docs.mapInArrow(count, "piece int, counts binary").groupBy("piece").applyInArrow(total, "piece int, counts binary").collect()
+    got = vectors.select("steps").mapInArrow(count, "piece int, counts binary").groupBy("piece").applyInArrow(total, "piece int, counts binary").collect()
     out = np.zeros(many + 1, np.int64)
     for r in got:
         own = np.frombuffer(r.counts, np.int64)
@@ -382,7 +402,7 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float =
     Without examples of both classes no term is weighed, so every text is of that
     kind. An example doesn't vote on its own document, unless copies of it with
     other ids are labelled so too. carry: further columns of docs to return with
-    each row, of other names than these.
+    each row, of other names than these; text comes back as binary.
     """
     spark = docs.sparkSession
     context = spark.sparkContext
@@ -390,7 +410,8 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float =
     examples = example_texts(texts, sample_examples(labels, learn, per_class))
     vocabulary, weights = weigh_terms(examples.select("text", "toxic"), z_full, odds_full, floor)
     at = context.broadcast({t: i for i, t in enumerate(vocabulary)})
-    df, n = document_frequencies(texts, at, len(vocabulary))
+    vectors = document_vectors(docs.select("doc_id", F.col("text").cast("binary").alias("text"), *[c for c in carry if c != "text"]), at, carry)
+    df, n = document_frequencies(vectors, len(vocabulary))
     blank, used = np.zeros(2), []
     for ids, toxic, weight, t, tf in example_vectors(examples, at):
         if len(t):
@@ -422,13 +443,13 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float =
     platt, nothing = index.platt, index.nothing
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (ix, _), read = searched(), Reader(at.value).read
+        ix, _ = searched()
         ix.platt, ix.nothing = platt, nothing
         own = {ids[0]: i for i, ids in enumerate(ix.ids) if len(ids) == 1}
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 b = whole.slice(start, 512)
-                got = [read(text.as_py()) for text in b.column("text")]
+                got = _counts(b)
                 some = [i for i, (t, _) in enumerate(got) if len(t)]
                 skips = [own.get(d, -1) for d in b.column("doc_id").to_pylist()]
                 near: list[list[tuple[float, int]]] = [[] for _ in got]
@@ -440,5 +461,5 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float =
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(why, kind), *map(b.column, carry)], ["doc_id", "score", "predicted", "evidence", *carry])
 
     evidence = F.array(F.struct(F.col("doc_id").alias("example"), F.lit(0.0).alias("cosine"), F.lit(0).alias("toxic")))
-    schema = docs.select("doc_id", F.lit(0.5).alias("score"), F.lit(0).alias("predicted"), evidence.alias("evidence"), *carry).schema
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), *carry).mapInArrow(run, schema)
+    schema = vectors.select("doc_id", F.lit(0.5).alias("score"), F.lit(0).alias("predicted"), evidence.alias("evidence"), *carry).schema
+    return vectors.mapInArrow(run, schema)
