@@ -26,9 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and empty texts have the share of toxic rows among such as their score.
     """
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    rows = docs.select("doc_id", "text", F.struct(F.col("text").alias("t"), _others(docs)).alias("row"))
-    found = toxicity.scores(rows, labels, ~held_out(4, 2), carry=("row",)).where("predicted = 0")
-    return _as_before(found.select("doc_id", F.col("row.t").alias("text"), F.col("row.others").alias("others")), docs)
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), _others(docs))
+    found = toxicity.scores(rows, labels, ~held_out(4, 2), carry=("text", "others")).where("predicted = 0")
+    return _as_before(found.select("doc_id", F.col("text").cast("string").alias("text"), "others"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
