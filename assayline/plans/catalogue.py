@@ -230,6 +230,21 @@ def feature_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir).select("target", F.col("pos").cast("bigint").alias("pos"), *rounded("corr", "score"))
 
 
+_COMBINED = f"""WITH {SIGNALS_SQL}, {REFERENCE_SQL},
+k AS (SELECT target, pos, abs(regr_slope(value, v)) AS coef, abs(corr(v, value)) AS corr FROM t0 JOIN ref USING (sample_id) WHERE role = 'cal' GROUP BY ALL),
+n AS (SELECT target, pos, 0.7::DOUBLE * (coef - min(coef) OVER w) / (max(coef) OVER w - min(coef) OVER w) + 0.3::DOUBLE * (corr - min(corr) OVER w) / (max(corr) OVER w - min(corr) OVER w) AS score FROM k WINDOW w AS (PARTITION BY target))
+"""
+
+
+@query(_COMBINED + f"SELECT target, pos::BIGINT AS pos, {_r('score')} FROM n")
+def feature_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of one-channel models and correlations, scaled and weighed together."""
+    rows = views.long(views.signals(spark, sf_dir)).join(views.reference(spark, sf_dir).withColumnRenamed("value", "y"), "sample_id")
+    slopes = rows.where("role = 'cal'").groupBy("target", "pos").agg(F.regr_slope("y", "v").alias("coef"))
+    got = selection.combined_scores(selection.correlations(rows, ["target"]).join(slopes, ["target", "pos"]), ["target"])
+    return got.select("target", F.col("pos").cast("bigint").alias("pos"), *rounded("score"))
+
+
 @query(_CORR + "SELECT * FROM (SELECT target, pos::BIGINT AS pos, row_number() OVER (PARTITION BY target ORDER BY score DESC, pos DESC) AS rank FROM n) WHERE rank <= 16")
 def feature_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.top_k(_scores(spark, sf_dir), 16, ["target"]).select("target", F.col("pos").cast("bigint").alias("pos"), F.col("rank").cast("bigint").alias("rank"))
@@ -452,7 +467,7 @@ QUERIES["study_small"] = _study(("PLS", "Ridge", "PCR", "BayesianRidge"), recipe
 @query()
 def mccv_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     signals = views.signals(spark, sf_dir).select("sample_id", "x")
-    return study.mccv_screen(signals, _grouped_reference(spark, sf_dir), Config(mccv_iterations=40))["Summary"]
+    return study.mccv_screen(signals, _grouped_reference(spark, sf_dir), CONFIG)["Summary"]
 
 
 _WEIGHTED_KNN = f"""WITH {SIGNALS_SQL}, {REFERENCE_SQL},

@@ -148,17 +148,40 @@ def summarise(results: DataFrame, config: Config, axis: Sequence[float] | None =
     }
 
 
+def _held_out_errors(x: np.ndarray, y: np.ndarray, target: str, iteration: int, config: Config, require_success: bool) -> tuple[list[int], list[float]]:
+    """Positions held out by one iteration and their absolute errors; none if its fit fails."""
+    n = len(y)
+    for attempt in range(5 if require_success else 1):
+        order = np.random.default_rng(stable_seed(config.random_state, "mccv", target, iteration, attempt)).permutation(n)
+        cut = max(8, round(config.mccv_calibration * n))
+        tr, te = order[:cut], order[cut:]
+        k = min(config.max_pls_components, x.shape[1], len(tr) - 2)
+        if len(te) < 3 or k < 1:
+            return [], []
+        b, scale, mean, _ = pls_path(x[tr], y[tr], k)
+        p = scale(x[te]) @ b[-1] + mean
+        if np.isfinite(p).all():
+            return te.tolist(), np.abs(y[te] - p).tolist()
+    if require_success:
+        raise RuntimeError(f"{target}, iteration {iteration}: no fit succeeded")
+    return [], []
+
+
 def mccv_errors(spectra: DataFrame, reference: DataFrame, config: Config, require_success: bool = False) -> DataFrame:
     """(target, iteration, sample_id, abs_error): held-out absolute errors of PLS models on random calibration subsets.
 
-    Each (target, iteration) is a task with a seed of its own. A failed fit
+    Each (target, iteration) has a seed of its own, and a task takes some 25
+    iterations, so that a target's rows are sent out once for those. A failed fit
     leaves its iteration out, or, with require_success, is tried again with
     further seeds up to five times and then raises. Targets of fewer than 15
     samples give no rows.
     """
     rows = reference.join(spectra, "sample_id")
     blocks = rows.groupBy("target").agg(F.sort_array(F.collect_list(F.struct(F.col("sample_id").cast("string").alias("sample_id"), "value", "x"))).alias("rows")).where(F.size("rows") >= 15)
-    plan = blocks.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(config.mccv_iterations - 1)))).repartition(F.col("target"), F.col("iteration"))
+    each = 25
+    parts = max(1, -(-config.mccv_iterations // each))
+    tasks = reference.select("target").distinct().count() * parts
+    plan = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(max(1, min(tasks, 10_000)), "target", "part")
 
     def run(batches):
         for batch in batches:
@@ -166,22 +189,9 @@ def mccv_errors(spectra: DataFrame, reference: DataFrame, config: Config, requir
             for r in batch.to_dict("records"):
                 names = [s["sample_id"] for s in r["rows"]]
                 y, x = np.array([s["value"] for s in r["rows"]], float), np.array([s["x"] for s in r["rows"]], float)
-                n = len(y)
-                for attempt in range(5 if require_success else 1):
-                    order = np.random.default_rng(stable_seed(config.random_state, "mccv", r["target"], r["iteration"], attempt)).permutation(n)
-                    cut = max(8, round(config.mccv_calibration * n))
-                    tr, te = order[:cut], order[cut:]
-                    k = min(config.max_pls_components, x.shape[1], len(tr) - 2)
-                    if len(te) < 3 or k < 1:
-                        break
-                    b, scale, mean, _ = pls_path(x[tr], y[tr], k)
-                    p = scale(x[te]) @ b[-1] + mean
-                    if np.isfinite(p).all():
-                        out += [(r["target"], r["iteration"], names[i], float(e)) for i, e in zip(te, np.abs(y[te] - p), strict=True)]
-                        break
-                else:
-                    if require_success:
-                        raise RuntimeError(f"{r['target']}, iteration {r['iteration']}: no fit succeeded")
+                for iteration in range(r["part"], config.mccv_iterations, parts):
+                    te, errors = _held_out_errors(x, y, r["target"], iteration, config, require_success)
+                    out += [(r["target"], iteration, names[i], e) for i, e in zip(te, errors, strict=True)]
             if out:
                 yield pd.DataFrame(out, columns=["target", "iteration", "sample_id", "abs_error"])
 

@@ -5,7 +5,7 @@ import pytest
 
 from assayline.config import Config
 from assayline.operators import ranking
-from assayline.plans import reports, study
+from assayline.plans import reports, study, validate
 from assayline.sources import results, tables, workbook
 
 N, P = 32, 12
@@ -83,6 +83,18 @@ def test_study_screens_and_resumes_within_targets(spark, folder):
     assert {r.featurePath for r in v} == {"ranked8"} and all(len(r["selectedRamanShifts_cm-1"].split(",")) == 8 for r in v)
 
 
+def test_specification_and_folder_reports(spark, tmp_path):
+    (tmp_path / "spec.json").write_text('{"splits": {"ratios": [0.75, 0.8]},\n "algorithms": ["PLS"]}')
+    assert tables.specification(spark, str(tmp_path / "spec.json")).first().splits.ratios == [0.75, 0.8]
+    (tmp_path / "folder" / "deep").mkdir(parents=True)
+    (tmp_path / "folder" / "a.txt").write_text("plain")
+    (tmp_path / "folder" / "deep" / "b.txt").write_text("白酒" + "x" * 50, encoding="utf-8")
+    got = {r.path.rsplit("/", 1)[1]: (r.too_large, r.forbidden_text) for r in validate.file_report(tables.files(spark, str(tmp_path / "folder")), max_bytes=40).collect()}
+    assert got == {"a.txt": (False, False), "b.txt": (True, True)}
+    m = spark.createDataFrame([("EA", "included")] * 3 + [("EA", "excluded")] + [("EB", "included")] * 4, "abbreviation string, status string")
+    assert {r.abbreviation: r.passed for r in validate.published_counts(m, {"EA": 3, "EB": 3, "EC": 0}, 4).collect()} == {"EA": True, "EB": False, "EC": False}
+
+
 def test_fixed_schema_keeps_kinds(spark):
     kinds = dict(ranking.fixed_schema(spark.range(1).selectExpr("'a' as target"), ranking.METRIC_COLUMNS).dtypes)
     assert kinds["Rp2"] == "double" and kinds["splitId"] == "bigint" and kinds["modelName"] == "string"
