@@ -89,25 +89,26 @@ FROM comp LEFT JOIN n USING (vec_id)
 
 _OP3 = r"""
 WITH p AS (
-  SELECT page_id, url, '"' || md5(coalesce(html, '')) || '"' AS tag, strftime(to_timestamp(page_id * 60) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS day, strftime(to_timestamp(page_id * 60 + 86400) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS later,
+  SELECT page_id, url, '"' || md5(coalesce(html, '')) || '"' AS tag, '"' || md5(coalesce(html, '') || CASE WHEN page_id % 11 = 5 THEN 'changed' ELSE '' END) || '"' AS tag2, strftime(to_timestamp(page_id * 60) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS day, strftime(to_timestamp(page_id * 60 + 86400) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS later,
     regexp_replace(regexp_replace(trim(url), '(?s)#.*', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
 q AS (
   SELECT *, regexp_replace(regexp_replace(regexp_replace(translate(regexp_extract(rest, '^[^/?]*'), '@UPPER', '@LOWER'), '^.*@', ''), ':(80|443)$', ''), '^www[0-9]*\.', '') AS host,
     regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '(.)/+$', '\1') AS path,
     array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '(?s)^[^?]*\?(.*)$', 1), '&'), lambda x: x != '' AND NOT regexp_matches(x, '^(utm_[^=]*|gclid|fbclid|ref)(=|$)'))), '&') AS query FROM p),
 u AS (SELECT *, host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canonical_url FROM q),
-full_ AS (SELECT page_id * 2 AS record_id, canonical_url, page_id * 60 AS t, tag, day FROM u),
-again AS (SELECT page_id * 2 + 1 AS record_id, canonical_url, page_id * 60 + 86400 AS t, CASE WHEN page_id % 5 = 4 THEN NULL WHEN page_id % 2 = 1 THEN 'W/' || tag ELSE tag END AS tag, day, later FROM u),
+full_ AS (SELECT page_id * 2 AS record_id, canonical_url, page_id * 60 AS t, tag, day FROM u WHERE page_id % 7 != 3),
+again AS (SELECT page_id * 2 + 1 AS record_id, canonical_url, page_id * 60 + 86400 AS t, CASE WHEN page_id % 5 = 4 OR page_id % 13 = 6 THEN NULL WHEN page_id % 2 = 1 THEN 'W/' || tag2 ELSE tag2 END AS tag, CASE WHEN page_id % 13 = 6 THEN NULL WHEN page_id % 11 = 5 THEN later ELSE day END AS modified, later FROM u),
 latest AS (SELECT canonical_url, t, max(record_id) AS ref_id FROM full_ WHERE canonical_url IS NOT NULL GROUP BY ALL),
 found AS (SELECT a.*, l.ref_id FROM again a ASOF LEFT JOIN latest l ON a.canonical_url = l.canonical_url AND a.t > l.t),
 judged AS (
   SELECT f.*, r.tag AS tag0, r.day AS day0,
-    CASE WHEN ref_id IS NULL THEN 'missing' WHEN f.tag IS NOT NULL THEN CASE WHEN regexp_replace(f.tag, '^W/', '') = r.tag THEN 'resolved' ELSE 'mismatch' END WHEN f.day = r.day THEN 'resolved' ELSE 'mismatch' END AS outcome
+    CASE WHEN ref_id IS NULL THEN 'missing' WHEN f.tag IS NOT NULL THEN CASE WHEN regexp_replace(f.tag, '^W/', '') = r.tag THEN 'resolved' ELSE 'mismatch' END WHEN f.modified = r.day THEN 'resolved' WHEN f.modified IS NOT NULL THEN 'mismatch' ELSE 'unchecked' END AS outcome
   FROM found f LEFT JOIN full_ r ON f.ref_id = r.record_id)
 SELECT record_id, canonical_url, 'response' AS kind, record_id AS ref_id, 'full' AS outcome, 'content-type=text/html;date=' || day || ';etag=' || tag || ';last-modified=' || day AS headers FROM full_
 UNION ALL
 SELECT record_id, canonical_url, 'revisit', ref_id, outcome,
-  'content-type=' || CASE outcome WHEN 'resolved' THEN 'text/html' ELSE 'none' END || ';date=' || later || coalesce(';etag=' || coalesce(tag, CASE outcome WHEN 'resolved' THEN tag0 END), '') || ';last-modified=' || day
+  'content-type=' || CASE WHEN outcome IN ('resolved', 'unchecked') THEN 'text/html' ELSE 'none' END || ';date=' || later
+    || coalesce(';etag=' || coalesce(tag, CASE WHEN outcome IN ('resolved', 'unchecked') THEN tag0 END), '') || coalesce(';last-modified=' || coalesce(modified, CASE WHEN outcome IN ('resolved', 'unchecked') THEN day0 END), '')
 FROM judged
 """.replace("@UPPER", UPPER).replace("@LOWER", LOWER)
 
