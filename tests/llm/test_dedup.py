@@ -204,6 +204,25 @@ def test_vectors_in_a_hot_cone(spark):
     assert all(got[i].component_id == got[i + 300].component_id for i in range(300))
 
 
+def test_vectors_over_many_ranges(spark):
+    """A third of the vectors hang together, 100 sparse pairs stand at 0.96, and ranges are short enough that some are cut finer."""
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(6000, 32)))
+    x[:2000] = unit(x[0] + 0.02 * rng.normal(size=(2000, 32)))
+    e = rng.normal(size=(100, 32))
+    e -= np.einsum("ij,ij->i", e, x[3000:3100])[:, None] * x[3000:3100]
+    x[4000:4100] = 0.96 * x[3000:3100] + np.sqrt(1 - 0.96**2) * unit(e)
+    x = x.astype(np.float32)
+    d = unit(x.astype(np.float64))
+    cos = d @ d.T
+    np.fill_diagonal(cos, 0)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {r.vec_id: r for r in vectors.near_duplicates(rows, tile=64, window=128, sample=2000).collect()}
+    assert [got[i].n_links for i in range(6000)] == (cos >= 0.95).sum(1).tolist()
+    assert all(got[i].component_id == 0 for i in range(2000)) and all(got[i + 1000].component_id == i for i in range(3000, 3100))
+
+
 def test_vectors_just_below_the_threshold(spark):
     """A pair that is no link shares no component."""
     c = 0.95 - 5e-10
