@@ -77,6 +77,7 @@ class Index:
     common: float = 0.08
     block: int = 64
     batch: int = 96
+    postings: int = 2_000_000
     platt: tuple[float, float] = (1.0, 0.0)
     nothing: float = 0.0
 
@@ -135,7 +136,14 @@ class Index:
         slot = np.empty(len(self.example) + 1, np.int64)
         slot[self.example] = np.arange(len(self.example))
         slot[-1] = -1
-        return [near for at in range(0, len(vectors), self.batch) for near in self._nearest(vectors[at : at + self.batch], slot[skips[at : at + self.batch]])]
+        out: list[list[tuple[float, int]]] = []
+        at = held = 0
+        for i, (t, _) in enumerate(vectors):  # long texts have many postings, so a batch ends by these too
+            held += int((self.starts[t + 1] - self.starts[t]).sum())
+            if i + 1 == len(vectors) or i + 1 - at == self.batch or held > self.postings:
+                out += self._nearest(vectors[at : i + 1], slot[skips[at : i + 1]])
+                at, held = i + 1, 0
+        return out
 
     def _nearest(self, vectors: list[Vector], skips: np.ndarray) -> list[list[tuple[float, int]]]:
         m, blocks, slack = len(vectors), len(self.matrix), 1e-5
@@ -331,7 +339,7 @@ def document_vectors(docs: DataFrame, at: Broadcast, carry: tuple[str, ...] = ()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(at.value).read
-        for b in batches:
+        for b in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):  # carried texts go back in small batches
             got = [read(text.as_py()) for text in b.column("text")]
             steps, tf = pa.array([np.diff(t, prepend=0).astype(np.int32).tobytes() for t, _ in got], pa.binary()), pa.array([n.tobytes() for _, n in got], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), steps, tf, *map(b.column, carry)], ["doc_id", "steps", "tf", *carry])
