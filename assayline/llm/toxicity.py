@@ -334,22 +334,24 @@ def document_vectors(docs: DataFrame, at: Broadcast, carry: tuple[str, ...] = ()
     """docs (doc_id, text binary, carry) with steps, the gaps between a text's known terms, and tf, their counts, in place of the text.
 
     Written out: each whole text is read once, and neither words nor the
-    vocabulary are needed again.
+    vocabulary are needed again. Carried columns don't go through Python.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         read = Reader(at.value).read
-        for b in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):  # carried texts go back in small batches
-            got = [read(text.as_py()) for text in b.column("text")]
-            steps, tf = pa.array([np.diff(t, prepend=0).astype(np.int32).tobytes() for t, _ in got], pa.binary()), pa.array([n.tobytes() for _, n in got], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), steps, tf, *map(b.column, carry)], ["doc_id", "steps", "tf", *carry])
+        for whole in batches:
+            for start in range(0, len(whole), 512):
+                got = [read(text.as_py()) for text in whole.slice(start, 512)]
+                steps, tf = pa.array([np.diff(t, prepend=0).astype(np.int32).tobytes() for t, _ in got], pa.binary()), pa.array([n.tobytes() for _, n in got], pa.binary())
+                yield pa.StructArray.from_arrays([steps, tf], ["steps", "tf"])
 
-    schema = docs.select("doc_id", F.col("text").alias("steps"), F.col("text").alias("tf"), *carry).schema
-    return durable(docs.mapInArrow(run, schema))
+    # as good as random to the optimizer, which then computes it once for both fields
+    vector = F.arrow_udf(run, "steps binary, tf binary").asNondeterministic()
+    return durable(docs.select("doc_id", vector("text").alias("vector"), *carry).select("doc_id", "vector.steps", "vector.tf", *carry))
 
 
-def _counts(b: pa.RecordBatch) -> list[Vector]:
-    return [(np.cumsum(np.frombuffer(s.as_py(), np.int32)), np.frombuffer(n.as_py(), np.int32)) for s, n in zip(b.column("steps"), b.column("tf"), strict=True)]
+def _counts(steps: pa.Array, tf: pa.Array) -> list[Vector]:
+    return [(np.cumsum(np.frombuffer(s.as_py(), np.int32)), np.frombuffer(n.as_py(), np.int32)) for s, n in zip(steps, tf, strict=True)]
 
 
 def document_frequencies(vectors: DataFrame, many: int, piece: int = 8192) -> tuple[np.ndarray, int]:
@@ -450,24 +452,25 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float =
     index.calibrate(sorted((r.id, r.vote) for r in votes), blank)
     platt, nothing = index.platt, index.nothing
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         ix, _ = searched()
         ix.platt, ix.nothing = platt, nothing
         own = {ids[0]: i for i, ids in enumerate(ix.ids) if len(ids) == 1}
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                b = whole.slice(start, 512)
-                got = _counts(b)
+            for start in range(0, len(whole[0]), 512):
+                doc_id, steps, tf = (c.slice(start, 512) for c in whole)
+                got = _counts(steps, tf)
                 some = [i for i, (t, _) in enumerate(got) if len(t)]
-                skips = [own.get(d, -1) for d in b.column("doc_id").to_pylist()]
+                skips = [own.get(d, -1) for d in doc_id.to_pylist()]
                 near: list[list[tuple[float, int]]] = [[] for _ in got]
                 for i, found in zip(some, ix.nearest_all([(got[i][0], ix.unit(*got[i])) for i in some], [skips[i] for i in some]), strict=True):
                     near[i] = found
                 s = np.array([ix.score(x) for x in near], float)
                 why = [[{"example": ix.ids[i][0], "cosine": c, "toxic": int(ix.toxic[i])} for c, i in x[:5]] for x in near]
-                kind = pa.list_(pa.struct([("example", b.column("doc_id").type), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(why, kind), *map(b.column, carry)], ["doc_id", "score", "predicted", "evidence", *carry])
+                kind = pa.list_(pa.struct([("example", doc_id.type), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+                yield pa.StructArray.from_arrays([pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(why, kind)], ["score", "predicted", "evidence"])
 
-    evidence = F.array(F.struct(F.col("doc_id").alias("example"), F.lit(0.0).alias("cosine"), F.lit(0).alias("toxic")))
-    schema = vectors.select("doc_id", F.lit(0.5).alias("score"), F.lit(0).alias("predicted"), evidence.alias("evidence"), *carry).schema
-    return vectors.mapInArrow(run, schema)
+    schema = f"score double, predicted int, evidence array<struct<example: {vectors.schema['doc_id'].dataType.simpleString()}, cosine: double, toxic: int>>"
+    # nondeterministic only to the optimizer, so that filters on one field don't compute all again
+    search = F.arrow_udf(run, schema).asNondeterministic()
+    return vectors.select("doc_id", search("doc_id", "steps", "tf").alias("found"), *carry).select("doc_id", "found.score", "found.predicted", "found.evidence", *carry)
