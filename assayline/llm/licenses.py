@@ -49,7 +49,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, share: float = 0.8, bands: int =
     """(doc_id, license, containment, windows, first_word) for each template found in a row of docs (doc_id, text).
 
     Windows: each text's words (A-Z lower-cased) are covered by windows of
-    2 * half words, one every half words, so a notice lies whole within one.
+    2 * half words, one every half words, so an unaltered notice lies
+    whole within one, as any half + 1 consecutive words do. One that foreign words spread over more is
+    found only where one window holds enough of its shingles, which its place decides.
     Retrieval: a window meets a template of its size in a band if both have the
     same least hash there. The template has n = half - 4 shingles and the window
     2 * half - 4 at most; where it holds 0.8 of them or more (all of fewer than
