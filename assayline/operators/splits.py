@@ -6,17 +6,20 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayline.config import Config, stable_seed
 from assayline.functions.columns import half_even
+from assayline.operators.order import ranked
 
 
 def response_bins(rows: DataFrame, keys: Sequence[str] = ("target",)) -> DataFrame:
-    """rows (keys, sample_id, value) with n, n_bins and bin: equal ranges of the value's rank, remainders spread (not ntile)."""
-    w = W.partitionBy(*keys)
-    out = rows.withColumn("n", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy("value", "sample_id")) - 1)
+    """rows (keys, sample_id, value) with n, n_bins and bin: equal ranges of the value's rank, remainders spread (not ntile).
+
+    Nulls come first, then values upwards and NaN; equal values by sample_id. Ranks
+    come from range partitions (`order.ranked`), so one target may hold all rows.
+    """
+    out = ranked(rows, keys, ["value", "sample_id"])
     out = out.withColumn("n_bins", F.least(F.lit(5), F.greatest(F.lit(2), F.floor(F.col("n") / 12))).cast("int"))
     # the bin b with floor(b * n / B) <= rank < floor((b + 1) * n / B)
     return out.withColumn("bin", (F.floor(((F.col("rank") + 1) * F.col("n_bins") - 1) / F.col("n"))).cast("int"))
@@ -29,21 +32,22 @@ def outer_splits(rows: DataFrame, config: Config) -> DataFrame:
     half-even ratio of the bin and one at least; then the whole is trimmed or
     topped up by the same order to the ratio of all. The hash takes the place of
     a random generator, so the split doesn't depend on partitions or order.
+    Places within a bin and within a split are ranks over range partitions.
     """
     plans = [
         (i + 1, float(r), rep, stable_seed(config.random_state, "outer_split", f"{r:.6f}", rep))
         for i, (r, rep) in enumerate((r, rep) for r in config.ratios for rep in range(1, config.repeats + 1))
     ]
     dims = rows.sparkSession.createDataFrame(plans, "outer_split_id int, train_ratio double, repeat_id int, seed bigint")
-    out = response_bins(rows).crossJoin(F.broadcast(dims))  # a row for each ratio and repeat of the settings
-    out = out.withColumn("order", F.sha2(F.concat_ws("|", "seed", "sample_id"), 256))
+    binned = response_bins(rows).select("target", "sample_id", "n", "bin")
+    out = binned.crossJoin(F.broadcast(dims))  # a row for each ratio and repeat of the settings
+    out = out.withColumn("order", F.sha2(F.concat_ws("|", "seed", "sample_id"), 256)).drop("seed")
     split = ["target", "outer_split_id"]
     n_train = F.least(F.greatest(F.lit(2), half_even(F.col("train_ratio") * F.col("n"))), F.col("n") - 1)
-    in_bin = W.partitionBy(*split, "bin")
-    out = out.withColumn("own", F.row_number().over(in_bin.orderBy("order", "sample_id"))).withColumn("size", F.count("*").over(in_bin))
-    out = out.withColumn("first", F.col("own") <= F.greatest(F.lit(1), half_even(F.col("train_ratio") * F.col("size"))))
-    out = out.withColumn("place", F.row_number().over(W.partitionBy(*split).orderBy(F.desc("first"), "order", "sample_id")))
-    return out.select(*split, "train_ratio", "repeat_id", "sample_id", F.when(F.col("place") <= n_train, "cal").otherwise("pred").alias("role"))
+    out = ranked(out, [*split, "bin"], ["order", "sample_id"], "own", "size")
+    out = out.withColumn("first", F.col("own") < F.greatest(F.lit(1), half_even(F.col("train_ratio") * F.col("size")))).drop("own", "size")
+    out = ranked(out, split, [F.desc("first"), "order", "sample_id"], "place", "all")
+    return out.select(*split, "train_ratio", "repeat_id", "sample_id", F.when(F.col("place") < n_train, "cal").otherwise("pred").alias("role"))
 
 
 def check_splits(splits: DataFrame, reference: DataFrame) -> DataFrame:
