@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.llm import decontam, licenses, packing, quality, simhash, substring, toxicity, urls, vectors, warc
+from assayline.llm import decontam, licenses, packing, quality, runs, simhash, substring, toxicity, urls, vectors, warc
 from assayline.llm.common import LOWER, UPPER, fold_of, table
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -63,6 +63,29 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def _planted(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with the contract's periodic endings in about a tenth of the texts."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size("w")
+    a = g % n
+    p = F.lit(1) + F.floor((n - F.col("a")) / (F.lit(3) + g % 8))
+    mine = docs.withColumn("w", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))).withColumn("a", a.cast("int")).withColumn("p", p.cast("int"))
+    i = F.sequence(F.lit(0), n - 1)
+    made = F.array_join(F.transform(i, lambda k: F.get("w", F.when(k < F.col("a"), k).otherwise(F.col("a") + (k - F.col("a")) % F.col("p")))), " ")
+    return mine.select("doc_id", F.when((h % 10 == 0) & (n > 0), made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(_planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # exact comparison of length / period by cross products
+    ahead = F.array_sort("runs", lambda x, y: F.when(x.length * y.period != y.length * x.period, F.when(x.length * y.period > y.length * x.period, -1).otherwise(1)).when(x.start != y.start, F.when(x.start < y.start, -1).otherwise(1)).otherwise(F.when(x.period < y.period, -1).when(x.period > y.period, 1).otherwise(0)))
+    line = F.array_join(F.transform("runs", lambda r: F.concat(r.start, F.lit(","), r.length, F.lit(","), r.period, F.lit("\n"))), "")
+    best = F.get(ahead, 0)
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.sha2(line, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), best.alias("best")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("bigint").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _OP1 = r"""
@@ -168,5 +191,25 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_dedup, op3_revisit_resolution, op4_quality, op5_simhash_dedup, op6_packing, op7_toxicity, op8_url_filter, op9_license_scan, op10_decontamination)}
-ORACLE_SQL = {"op1_substring_dedup": _OP1, "op2_embedding_dedup": _OP2, "op3_revisit_resolution": _OP3, "op8_url_filter": _OP8, "op9_license_scan": _OP9, "op10_decontamination": _OP10}
+#: crc32 of the text @T.
+_CRC32 = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(@T, ''), lambda x: ord(x)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))))"
+
+_OP13 = rf"""
+WITH h0 AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_CRC32.replace("@T", "doc_id::VARCHAR")} AS h FROM documents),
+h AS (SELECT *, len(w) AS n, h // 10 AS g, (h // 10) % greatest(len(w), 1) AS a FROM h0),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM h),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM p),
+each AS (SELECT doc_id, n, i, w[i + 1] AS word FROM d, unnest(range(n)) AS r(i)),
+eq AS (SELECT x.doc_id, x.n, y.i - x.i AS q, x.i FROM each x JOIN each y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+island AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM eq) GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS (SELECT doc_id, start, length, min(q) AS period FROM island GROUP BY ALL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+lines AS (SELECT doc_id, count(*) AS k, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM run GROUP BY doc_id)
+SELECT d.doc_id, coalesce(k, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(lines.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_dedup, op3_revisit_resolution, op4_quality, op5_simhash_dedup, op6_packing, op7_toxicity, op8_url_filter, op9_license_scan, op10_decontamination, op13_periodic_runs)}
+ORACLE_SQL = {"op1_substring_dedup": _OP1, "op2_embedding_dedup": _OP2, "op3_revisit_resolution": _OP3, "op8_url_filter": _OP8, "op9_license_scan": _OP9, "op10_decontamination": _OP10, "op13_periodic_runs": _OP13}
