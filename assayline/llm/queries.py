@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.llm import decontam, licenses, packing, quality, runs, simhash, substring, toxicity, urls, vectors, warc
+from assayline.llm import decontam, licenses, mixing, packing, quality, runs, simhash, substring, toxicity, urls, vectors, warc
 from assayline.llm.common import LOWER, UPPER, fold_of, table
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -63,6 +63,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def _planted(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with the contract's periodic endings in about a tenth of the texts."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -191,6 +195,25 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_OP11 = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5('42|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(md5(text), '')), 1, 15))::BIGINT AS h FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS size, count(*) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source),
+s1 AS (SELECT *, [3, 1, 2][sid % 3 + 1] AS weight FROM s0),
+-- sources fill up in order of size by weight; the level is that of the first which doesn't
+s2 AS (SELECT *, sum(2 * size) OVER w - 2 * size AS room, sum(weight) OVER (ORDER BY size / weight DESC, sid DESC) AS open, 2 * size / weight AS own FROM s1 WINDOW w AS (ORDER BY size / weight, sid)),
+level AS (SELECT coalesce(min((1.5::DOUBLE * (SELECT sum(size) FROM s1) - room) / open), 0) AS l FROM (SELECT * FROM s2 WHERE own > (1.5::DOUBLE * (SELECT sum(size) FROM s1) - room) / open ORDER BY own LIMIT 1)),
+s3 AS (SELECT *, least(2::DOUBLE * size, l * weight) AS target FROM s1, level),
+q1 AS (SELECT sid, row_number() OVER (ORDER BY target / (2 * j - 1) DESC, sid, j) AS place FROM s3, unnest(range(1, size // 4 + 9)) AS r(j) WHERE target > 0),
+s4 AS (SELECT s3.*, coalesce(k, 0) AS blocks, greatest(1, ceil(n / 4096))::BIGINT AS shards FROM s3 LEFT JOIN (SELECT sid, count(*) AS k FROM q1 WHERE place <= floor(1.5::DOUBLE * (SELECT sum(size) FROM s1) / 16 + 0.5) GROUP BY sid) USING (sid)),
+e AS (SELECT doc_id, d.size, h, sid, s4.size AS source_size, target, blocks, h % shards AS shard FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source),
+f AS (SELECT *, sum(size) OVER (PARTITION BY sid, shard ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS pos, sum(size) OVER (PARTITION BY sid, shard) AS ring FROM e),
+h AS (SELECT DISTINCT sid, shard, ring, blocks FROM f),
+q2 AS (SELECT sid, shard, blocks, row_number() OVER (PARTITION BY sid ORDER BY ring / (2 * j - 1) DESC, shard, j) AS place FROM h, unnest(range(1, (ring // 4)::BIGINT + 9)) AS r(j) WHERE ring > 0),
+k AS (SELECT sid, shard, count(*) AS quota FROM q2 WHERE place <= blocks GROUP BY ALL),
+g AS (SELECT f.*, least(coalesce(quota, 0) * 16, 2 * ring) AS given, 16 * (('0x' || substr(md5('42|' || sid || '|' || shard), 1, 15))::BIGINT % greatest(1, ceil(ring / 16))::BIGINT) AS start FROM f LEFT JOIN k USING (sid, shard))
+SELECT doc_id, size, source_size, target, (greatest(0, least(pos + size, start + given) - greatest(pos, start)) + greatest(0, least(pos + ring + size, start + given) - greatest(pos + ring, start)) + greatest(0, least(pos + 2 * ring + size, start + given) - greatest(pos + 2 * ring, start)))::BIGINT AS taken FROM g
+"""
+
 #: crc32 of the text @T.
 _CRC32 = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(@T, ''), lambda x: ord(x)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))))"
 
@@ -211,5 +234,5 @@ SELECT d.doc_id, coalesce(k, 0)::BIGINT AS n_runs, start::BIGINT AS start, lengt
 FROM d LEFT JOIN best USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_dedup, op3_revisit_resolution, op4_quality, op5_simhash_dedup, op6_packing, op7_toxicity, op8_url_filter, op9_license_scan, op10_decontamination, op13_periodic_runs)}
-ORACLE_SQL = {"op1_substring_dedup": _OP1, "op2_embedding_dedup": _OP2, "op3_revisit_resolution": _OP3, "op8_url_filter": _OP8, "op9_license_scan": _OP9, "op10_decontamination": _OP10, "op13_periodic_runs": _OP13}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_dedup, op3_revisit_resolution, op4_quality, op5_simhash_dedup, op6_packing, op7_toxicity, op8_url_filter, op9_license_scan, op10_decontamination, op11_source_mix, op13_periodic_runs)}
+ORACLE_SQL = {"op1_substring_dedup": _OP1, "op2_embedding_dedup": _OP2, "op3_revisit_resolution": _OP3, "op8_url_filter": _OP8, "op9_license_scan": _OP9, "op10_decontamination": _OP10, "op11_source_mix": _OP11, "op13_periodic_runs": _OP13}
