@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.llm import decontam, licenses, mixing, packing, quality, runs, simhash, substring, toxicity, urls, vectors, warc
-from assayline.llm.common import LOWER, UPPER, fold_of, table
+from assayline.llm import decontam, licenses, mixing, packing, quality, runs, simhash, substring, toxicity, trie, urls, vectors, warc
+from assayline.llm.common import LOWER, UPPER, durable, fold_of, table
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -67,6 +67,25 @@ def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The contract's conversations: the first h turns of the hundred's first conversation, then one's own after h."""
+    turns = durable(turns)
+    own = turns.groupBy("conv_id").agg(F.max("n").alias("n"))
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    convs = own.select("conv_id", F.col("n").alias("own_n"), h.alias("h"), (F.col("conv_id") - F.col("conv_id") % 100).alias("base"))
+    convs = convs.join(own.select(F.col("conv_id").alias("base"), F.col("n").alias("base_n")), "base", "left").withColumn("had", F.least("h", F.coalesce("base_n", F.lit(0))))
+    convs = durable(convs.select("conv_id", "base", "h", "had", (F.col("had") + F.greatest(F.col("own_n") - F.col("h"), F.lit(0))).alias("n")))
+    heads = turns.where("pos < 5").select(F.col("conv_id").alias("base"), "pos", F.col("h").alias("digest"), "chars").join(convs, "base").where("pos < had").select("conv_id", "pos", F.col("digest").alias("h"), "chars")
+    rest = turns.select("conv_id", "pos", F.col("h").alias("digest"), "chars").join(convs, "conv_id").where("pos >= h").select("conv_id", (F.col("pos") - F.col("h") + F.col("had")).alias("pos"), F.col("digest").alias("h"), "chars")
+    return heads.unionByName(rest), convs.select("conv_id", "n")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, ends = trie.prefix_trie(*_rebuilt(trie.ordered_turns(table(spark, sf_dir, "conversations"))))
+    digests = trie.end_digests(ends).select(F.col("end_conv_id").alias("conv_id"), "depth", "ends_sha256")
+    return nodes.join(digests, ["conv_id", "depth"], "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(trie.EMPTY_SHA256)))
+
+
 def _planted(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with the contract's periodic endings in about a tenth of the texts."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -217,6 +236,21 @@ SELECT doc_id, size, source_size, target, (greatest(0, least(pos + size, start +
 #: crc32 of the text @T.
 _CRC32 = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(@T, ''), lambda x: ord(x)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))))"
 
+_OP12 = rf"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT *, conv_id - conv_id % 100 AS base, {_CRC32.replace("@T", "conv_id::VARCHAR")} % 6 AS h FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id)),
+k AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS had FROM c LEFT JOIN c b ON b.conv_id = c.base),
+r AS (SELECT k.conv_id, i, role, text FROM k JOIN t ON t.conv_id = base AND i < had UNION ALL SELECT k.conv_id, i - h + had, role, text FROM k JOIN t ON t.conv_id = k.conv_id AND i >= h),
+seq AS (SELECT k.conv_id, coalesce(list({{'r': role, 't': text}} ORDER BY i) FILTER (i IS NOT NULL), []) AS s FROM k LEFT JOIN r USING (conv_id) GROUP BY k.conv_id),
+pre AS (SELECT conv_id, d, s[1:d] AS p, len(s) = d AS ends FROM seq, unnest(range(len(s) + 1)) AS u(d)),
+node AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ends, CASE WHEN d = 0 THEN 0 ELSE length(p[d].t) END AS chars FROM pre GROUP BY p, d),
+kid AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kid USING (p)),
+below AS (SELECT u.a AS d, f.p[1:u.a] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum((n - 1) * chars) AS saved FROM full_ f, unnest(range(f.d + 1)) AS u(a) GROUP BY ALL)
+SELECT f.conv_id, f.d::BIGINT AS depth, up.conv_id AS parent_conv_id, f.n::BIGINT AS n_convs, f.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_ f JOIN below USING (p, d) LEFT JOIN node up ON f.d > 0 AND up.p = f.p[1:f.d - 1]
+"""
+
 _OP13 = rf"""
 WITH h0 AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_CRC32.replace("@T", "doc_id::VARCHAR")} AS h FROM documents),
 h AS (SELECT *, len(w) AS n, h // 10 AS g, (h // 10) % greatest(len(w), 1) AS a FROM h0),
@@ -234,5 +268,5 @@ SELECT d.doc_id, coalesce(k, 0)::BIGINT AS n_runs, start::BIGINT AS start, lengt
 FROM d LEFT JOIN best USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_dedup, op3_revisit_resolution, op4_quality, op5_simhash_dedup, op6_packing, op7_toxicity, op8_url_filter, op9_license_scan, op10_decontamination, op11_source_mix, op13_periodic_runs)}
-ORACLE_SQL = {"op1_substring_dedup": _OP1, "op2_embedding_dedup": _OP2, "op3_revisit_resolution": _OP3, "op8_url_filter": _OP8, "op9_license_scan": _OP9, "op10_decontamination": _OP10, "op11_source_mix": _OP11, "op13_periodic_runs": _OP13}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_dedup, op3_revisit_resolution, op4_quality, op5_simhash_dedup, op6_packing, op7_toxicity, op8_url_filter, op9_license_scan, op10_decontamination, op11_source_mix, op12_prefix_trie, op13_periodic_runs)}
+ORACLE_SQL = {"op1_substring_dedup": _OP1, "op2_embedding_dedup": _OP2, "op3_revisit_resolution": _OP3, "op8_url_filter": _OP8, "op9_license_scan": _OP9, "op10_decontamination": _OP10, "op11_source_mix": _OP11, "op12_prefix_trie": _OP12, "op13_periodic_runs": _OP13}
