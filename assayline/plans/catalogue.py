@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from assayline.config import RECIPES, Config
 from assayline.functions.columns import finite, half_even, or_null, seed_column
-from assayline.operators import metrics, neighbours, population, pretreat, ranking, response, robustness, screening, selection, splits
+from assayline.operators import metrics, moments, neighbours, population, pretreat, ranking, response, robustness, screening, selection, splits
 from assayline.operators.sql_forms import recipe_sql
 from assayline.plans import closed_forms, study, views
 from assayline.plans.views import AXIS, CHANNELS, METRICS_SQL, PREDICTIONS_SQL, REFERENCE_SQL, SIGNALS_SQL
@@ -231,20 +231,64 @@ def feature_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COMBINED = f"""WITH {SIGNALS_SQL}, {REFERENCE_SQL},
-k AS (SELECT target, pos, abs(regr_slope(value, v)) AS coef, abs(corr(v, value)) AS corr FROM t0 JOIN ref USING (sample_id) WHERE role = 'cal' GROUP BY ALL),
+d AS (SELECT target, sample_id, pos, v, value, (v - avg(v) OVER w) / CASE WHEN stddev_samp(v) OVER w < 1e-12 THEN 1 ELSE stddev_samp(v) OVER w END AS x, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS y FROM t0 JOIN ref USING (sample_id) WHERE role = 'cal' WINDOW w AS (PARTITION BY target, pos)),
+w1 AS (SELECT target, pos, c / sqrt(sum(c * c) OVER (PARTITION BY target)) AS w1 FROM (SELECT target, pos, sum(x * y) AS c FROM d GROUP BY ALL)),
+t1 AS (SELECT target, sample_id, sum(x * w1) AS t1, any_value(y) AS y FROM d JOIN w1 USING (target, pos) GROUP BY ALL),
+n1 AS (SELECT target, sum(t1 * t1) AS tt, sum(t1 * y) / sum(t1 * t1) AS q1 FROM t1 GROUP BY ALL),
+p1 AS (SELECT target, pos, sum(x * t1) / any_value(tt) AS p1 FROM d JOIN t1 USING (target, sample_id) JOIN n1 USING (target) GROUP BY ALL),
+e AS (SELECT target, sample_id, pos, x - t1 * p1 AS x, d.y FROM d JOIN t1 USING (target, sample_id) JOIN p1 USING (target, pos)),
+w2 AS (SELECT target, pos, c / sqrt(sum(c * c) OVER (PARTITION BY target)) AS w2 FROM (SELECT target, pos, sum(x * y) AS c FROM e GROUP BY ALL)),
+n2 AS (SELECT target, sum(t2 * y) / sum(t2 * t2) AS q2 FROM (SELECT target, sample_id, sum(x * w2) AS t2, any_value(y) AS y FROM e JOIN w2 USING (target, pos) GROUP BY ALL) GROUP BY target),
+b AS (SELECT target, pos, abs(w1 * q1 + (w2 - w1 * sum(p1 * w2) OVER (PARTITION BY target)) * q2) AS coef FROM w1 JOIN p1 USING (target, pos) JOIN w2 USING (target, pos) JOIN n1 USING (target) JOIN n2 USING (target)),
+k AS (SELECT target, pos, coef, corr FROM b JOIN (SELECT target, pos, abs(corr(v, value)) AS corr FROM d GROUP BY ALL) USING (target, pos)),
 n AS (SELECT target, pos, 0.7::DOUBLE * (coef - min(coef) OVER w) / (max(coef) OVER w - min(coef) OVER w) + 0.3::DOUBLE * (corr - min(corr) OVER w) / (max(corr) OVER w - min(corr) OVER w) AS score FROM k WINDOW w AS (PARTITION BY target))
 """
 
 
+def _calibration(spark, sf_dir) -> DataFrame:
+    """(target, sample_id, x, y) of the calibration rows."""
+    return views.signals(spark, sf_dir).where("role = 'cal'").join(views.reference(spark, sf_dir), "sample_id").select("target", "sample_id", "x", F.col("value").alias("y"))
+
+
 @query(_COMBINED + f"SELECT target, pos::BIGINT AS pos, {_r('score')} FROM n")
 def feature_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coefficients of one-channel models and correlations, scaled and weighed together."""
-    rows = views.long(views.signals(spark, sf_dir)).join(views.reference(spark, sf_dir).withColumnRenamed("value", "y"), "sample_id")
-    slopes = rows.where("role = 'cal'").groupBy("target", "pos").agg(F.regr_slope("y", "v").alias("coef"))
-    got = selection.combined_scores(selection.correlations(rows, ["target"]).join(slopes, ["target", "pos"]), ["target"])
+    """Coefficients of a PLS model of two components and correlations, scaled and weighed together; both from one aggregate."""
+    got = selection.combined_scores(moments.pls_scores(_calibration(spark, sf_dir), ["target"], CHANNELS, 2), ["target"])
     return got.select("target", F.col("pos").cast("bigint").alias("pos"), *rounded("score"))
 
 
+_PENALTIES = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
+_THREE = (3, 10, 20)
+_RIDGE = f"""WITH {REFERENCE_SQL},
+d AS (SELECT target, sample_id, (sample_id // 4) % 5 AS fold, value AS y, {", ".join(f"embedding[{c + 1}]::DOUBLE AS x{i}" for i, c in enumerate(_THREE, 1))} FROM embeddings JOIN ref ON vec_id = sample_id WHERE vec_id % 4 != 0),
+f AS (SELECT target, k AS fold, avg(y) AS my, {", ".join(f"avg(x{i}) AS m{i}, CASE WHEN stddev_pop(x{i}) < 1e-12 THEN 1 ELSE stddev_pop(x{i}) END AS s{i}" for i in (1, 2, 3))},
+  {", ".join(f"covar_pop(x{i}, x{j}) * count(*) AS c{i}{j}" for i in (1, 2, 3) for j in range(i, 4))}, {", ".join(f"covar_pop(x{i}, y) * count(*) AS b{i}" for i in (1, 2, 3))} FROM d, unnest(range(5)) AS u(k) WHERE d.fold != k GROUP BY ALL),
+m AS (SELECT f.*, idx, penalty, {", ".join(f"c{i}{j} / s{i} / s{j}{' + penalty' if i == j else ''} AS a{i}{j}" for i in (1, 2, 3) for j in range(i, 4))} FROM f, (SELECT unnest(range({len(_PENALTIES)}))::INT AS idx, unnest({list(_PENALTIES)})::DOUBLE AS penalty)),
+s AS (SELECT *, {closed_forms.solved({"u": ("(b1 / s1)", "(b2 / s2)", "(b3 / s3)")})} FROM m),
+e AS (SELECT s.target, s.fold, idx, penalty, sqrt(avg((d.y - my - u1 * (x1 - m1) / s1 - u2 * (x2 - m2) / s2 - u3 * (x3 - m3) / s3) ** 2)) AS error FROM s JOIN d ON s.target = d.target AND s.fold = d.fold GROUP BY ALL),
+k AS (SELECT target, idx, penalty, avg(error) AS mean, stddev_samp(error) / sqrt(count(*)) AS se FROM e GROUP BY ALL),
+b AS (SELECT *, first_value(mean + se) OVER (PARTITION BY target ORDER BY mean, idx) AS bound FROM k)
+"""
+
+
+def _ridge_errors(spark, sf_dir) -> DataFrame:
+    rows = _calibration(spark, sf_dir).withColumn("fold", F.floor(F.col("sample_id") / 4) % 5).withColumn("x", F.array(*[F.get("x", c) for c in _THREE]))
+    return moments.ridge_folds(rows, ["target"], "fold", len(_THREE), _PENALTIES)
+
+
+@query(_RIDGE + f"SELECT target, fold, idx, {_r('error')} FROM e")
+def ridge_fold_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out errors of a ridge path over five folds and all penalties, from one aggregate of cross-products by fold."""
+    return _ridge_errors(spark, sf_dir).select("target", "fold", "idx", *rounded("error"))
+
+
+@query(_RIDGE + f"SELECT target, penalty, {_r('mean', 'se')} FROM b WHERE mean <= bound QUALIFY row_number() OVER (PARTITION BY target ORDER BY -penalty, mean, idx) = 1")
+def ridge_one_se(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest penalty within one standard error of the best over the folds."""
+    s = metrics.candidate_statistics(_ridge_errors(spark, sf_dir), ["target", "idx", "penalty"]).withColumn("complexity", -F.col("penalty"))
+    return metrics.one_standard_error(s, ["target"]).select("target", "penalty", *rounded("mean", "se"))
+
+
 @query(_CORR + "SELECT * FROM (SELECT target, pos::BIGINT AS pos, row_number() OVER (PARTITION BY target ORDER BY score DESC, pos DESC) AS rank FROM n) WHERE rank <= 16")
 def feature_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.top_k(_scores(spark, sf_dir), 16, ["target"]).select("target", F.col("pos").cast("bigint").alias("pos"), F.col("rank").cast("bigint").alias("rank"))
@@ -499,10 +543,25 @@ def _both_roles(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return x.where("role = 'pred'").select("sample_id", "x"), cal
 
 
-@query()
+_ALL_KNN = f"""WITH {REFERENCE_SQL},
+x AS (SELECT vec_id AS sample_id, vec_id % 4 = 0 AS pred, list_transform(embedding, lambda a: a::DOUBLE) AS e FROM embeddings),
+k AS (SELECT a.sample_id, b.sample_id AS other, list_distance(a.e, b.e) AS dist, row_number() OVER (PARTITION BY a.sample_id ORDER BY list_distance(a.e, b.e), b.sample_id) AS rank FROM x a JOIN x b ON a.pred AND NOT b.pred)
+"""
+
+
+@query(_ALL_KNN + "SELECT k.sample_id, round(sum(value / greatest(dist, 1e-12)) / sum(1 / greatest(dist, 1e-12)), 6) + 0.0 AS predicted, count(*) AS neighbours FROM k JOIN ref ON ref.sample_id = other AND target = 'T1' WHERE rank <= 5 GROUP BY k.sample_id")
 def knn_predict_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """knn_predict without its groups: each prediction row against all calibration rows."""
-    return neighbours.weighted_knn(*_both_roles(spark, sf_dir), [], 5).select("sample_id", *rounded("predicted"), "neighbours")
+    """knn_predict without its groups: each prediction row's five nearest of all calibration rows, by a pivot join."""
+    pred, cal = _both_roles(spark, sf_dir)
+    near, _ = neighbours.nearest(pred, cal, 5)
+    return neighbours.weighted_mean(near.join(cal.select("other", "value"), "other"), ["sample_id"]).select("sample_id", *rounded("predicted"), "neighbours")
+
+
+@query(_ALL_KNN + "SELECT sample_id, other, rank, round(dist, 6) + 0.0 AS dist FROM k WHERE rank <= 10")
+def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten calibration rows nearest to each prediction row."""
+    near, _ = neighbours.nearest(*_both_roles(spark, sf_dir), 10)
+    return near.select("sample_id", "other", F.col("rank").cast("bigint").alias("rank"), *rounded("dist"))
 
 
 @query()

@@ -106,7 +106,7 @@ a AS (SELECT *, CASE WHEN s0 < 1e-12 THEN 1 ELSE s0 END AS sy FROM b),
 """
 
 
-def _solved(right: dict[str, tuple[str, str, str]]) -> str:
+def solved(right: dict[str, tuple[str, str, str]]) -> str:
     """A^-1 b for each right side b by name, where A is symmetric with entries a11 to a33, as columns name1 to name3."""
     minors = {(1, 1): "(a22 * a33 - a23 * a23)", (1, 2): "(a13 * a23 - a12 * a33)", (1, 3): "(a12 * a23 - a13 * a22)", (2, 2): "(a11 * a33 - a13 * a13)", (2, 3): "(a12 * a13 - a11 * a23)", (3, 3): "(a11 * a22 - a12 * a12)"}
     det = f"(a11 * {minors[1, 1]} + a12 * {minors[1, 2]} + a13 * {minors[1, 3]})"
@@ -117,7 +117,7 @@ def _system(entry: Callable[[str], str], added: str, right: dict[str, tuple[str,
     """Kernel entries from a pair's name ('01'), what the diagonal gets, right sides and the prediction."""
     entries = ", ".join(f"{entry(f'{i}{j}')}{f' + {added}' if i == j else ''} AS a{i}{j}" for i in (1, 2, 3) for j in range(i, 4))
     seen = ", ".join(f"{entry(f'0{j}')} AS k{j}" for j in (1, 2, 3))
-    return f"m AS (SELECT *, {entries}, {seen} FROM a), f AS (SELECT *, {_solved(right)} FROM m) SELECT target, g * 4 AS sample_id, round({predicted}, 6) + 0.0 AS predicted FROM f"
+    return f"m AS (SELECT *, {entries}, {seen} FROM a), f AS (SELECT *, {solved(right)} FROM m) SELECT target, g * 4 AS sample_id, round({predicted}, 6) + 0.0 AS predicted FROM f"
 
 
 _CENTRED, _SCALED = ("y1", "y2", "y3"), ("(y1 / sy)", "(y2 / sy)", "(y3 / sy)")
