@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from assayline.config import RECIPES
 from assayline.functions.columns import EPS, cleaned, deviation, dot, guarded, let, mean, total, vector
+from assayline.operators.quantiles import quantiles
+from assayline.sources.shared import durable
 
 STATEFUL = ("CENTER", "STANDARDIZE", "MINMAX", "ROBUST", "MSC")
 
@@ -131,12 +133,16 @@ def fit_state(signals: DataFrame, keys: Sequence[str], step: str) -> DataFrame:
         "CENTER": (F.avg(v), F.lit(1.0)),
         "STANDARDIZE": (F.avg(v), F.stddev_pop(v)),
         "MINMAX": (F.min(v), F.max(v) - F.min(v)),
-        "ROBUST": (F.median(v), F.percentile(v, F.lit(0.75)) - F.percentile(v, F.lit(0.25))),
         "MSC": (F.avg(v), F.lit(1.0)),
     }
-    a, b = fits[step]
-    long = signals.where("role = 'cal'").select(*keys, F.posexplode("x").alias("pos", "v"))
-    each = long.groupBy(*keys, "pos").agg(a.alias("a"), guarded(b).alias("b"))
+    if step == "ROBUST":
+        # exact quartiles read the signals several times
+        long = durable(signals.where("role = 'cal'").select(*keys, "x")).select(*keys, F.posexplode("x").alias("pos", "v"))
+        each = quantiles(long, [*keys, "pos"], v, {"q1": 0.25, "q2": 0.5, "q3": 0.75}).select(*keys, "pos", F.col("q2").alias("a"), guarded(F.col("q3") - F.col("q1")).alias("b"))
+    else:
+        a, b = fits[step]
+        long = signals.where("role = 'cal'").select(*keys, F.posexplode("x").alias("pos", "v"))
+        each = long.groupBy(*keys, "pos").agg(a.alias("a"), guarded(b).alias("b"))
     ordered = F.sort_array(F.collect_list(F.struct("pos", "a", "b")))
     return each.groupBy(*keys).agg(ordered.alias("s")).select(*keys, F.col("s.a").alias("a"), F.col("s.b").alias("b"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayline.functions.columns import finite, half_even
+from assayline.operators.quantiles import quantiles
+from assayline.sources.shared import durable
 
 
 def mean_errors(errors: DataFrame) -> DataFrame:
@@ -14,10 +16,13 @@ def mean_errors(errors: DataFrame) -> DataFrame:
 
 
 def thresholds(means: DataFrame) -> DataFrame:
-    """(target, n, med, mad, threshold): median + 3 MAD, the MAD unscaled."""
-    med = means.groupBy("target").agg(F.median("mean_error").alias("med"), F.count("*").alias("n"))
-    mad = means.join(med, "target").groupBy("target").agg(F.median(F.abs(F.col("mean_error") - F.col("med"))).alias("mad"), F.first("med").alias("med"), F.first("n").alias("n"))
-    return mad.select("target", "n", "med", "mad", (F.col("med") + 3 * F.col("mad")).alias("threshold"))
+    """(target, n, med, mad, threshold): median + 3 MAD, the MAD unscaled; exact medians by brackets, so a target may be of any size."""
+    means = durable(means.select("target", "mean_error"))
+    med = quantiles(means, ["target"], "mean_error", {"med": 0.5})
+    off = means.join(med, "target").select("target", F.abs(F.col("mean_error") - F.col("med")).alias("off"))
+    mad = quantiles(off, ["target"], "off", {"mad": 0.5})
+    n = means.groupBy("target").agg(F.count("*").alias("n"))
+    return n.join(med, "target").join(mad, "target").select("target", "n", "med", "mad", (F.col("med") + 3 * F.col("mad")).alias("threshold"))
 
 
 def screen(means: DataFrame, max_ratio: float = 0.18, least_kept: int = 8, least_n: int = 15, floor: int = 10) -> DataFrame:

@@ -376,10 +376,17 @@ def crs_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robustness.ranked(_crs(spark, sf_dir), "target", ["modelName"]).select("target", "modelName", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query()
+_DRAWS = f"""{_CRS}, a AS (SELECT unnest(range(6))::INT AS c, unnest({[int(a) for a in CONFIG.crs_alpha]}) AS alpha),
+u AS (SELECT d, c, sum(-ln((('0x' || substr(md5('{CONFIG.crs_seed}|' || d || '|' || c || '|' || i), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)) AS g FROM range({CONFIG.crs_draws}) AS r(d), a, unnest(range(1, 21)) AS q(i) WHERE i <= alpha GROUP BY ALL),
+w AS (SELECT d, {", ".join(f"max(g) FILTER (c = {i}) / sum(g) AS w{i}" for i in range(6))} FROM u GROUP BY d),
+best AS (SELECT target, "modelName" FROM s, w QUALIFY row_number() OVER (PARTITION BY target, d ORDER BY round({" + ".join(f"w{i} * {c}" for i, c in enumerate(robustness.COMPONENTS))}, 9) DESC, "modelName" DESC) = 1)
+"""
+
+
+@query(_DRAWS + f"""SELECT target, "modelName", count(*)::BIGINT AS wins, round(count(*) / {CONFIG.crs_draws}, 6) + 0.0 AS share FROM best GROUP BY ALL""")
 def crs_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = robustness.components(_metrics(spark, sf_dir), ["target", "modelName"])
-    return robustness.weight_sensitivity(parts, "target", ["modelName"], CONFIG.crs_alpha, CONFIG.crs_draws, CONFIG.crs_seed)
+    return robustness.weight_sensitivity(parts, "target", ["modelName"], CONFIG.crs_alpha, CONFIG.crs_draws, CONFIG.crs_seed).select("target", "modelName", "wins", *rounded("share"))
 
 
 # --- screening -----------------------------------------------------------------------------------
