@@ -18,7 +18,9 @@ from assayline.llm.common import durable
 
 #: Bytes that end a word become spaces: all ASCII but digits and letters.
 _SEPARATE = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-PREFIXES = (4,)
+PREFIXES = (4, 5, 6)
+#: Places for the terms that no example has, by hash.
+_OTHERS = 1 << 18
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -66,10 +68,12 @@ class Index:
     the peaks bound every cosine of a block, so that blocks which can't hold
     one of the k nearest are passed over unread.
 
-    idf: each term's weight, a share of its inverse document frequency.
+    idf: each term's weight, a share of its inverse document frequency; terms from
+    the `known`-th on are those that no example has, which count in norms only.
     """
 
     idf: np.ndarray
+    known: int
     ids: list
     toxic: np.ndarray
     weight: np.ndarray
@@ -85,9 +89,14 @@ class Index:
         v = (1 + np.log(tf)) * self.idf[t]
         return v / np.sqrt((v * v).sum())
 
+    def query(self, t: np.ndarray, tf: np.ndarray) -> Vector:
+        """The examples' terms of a text and their weights, the whole text's norm being 1."""
+        v, own = self.unit(t, tf), t < self.known
+        return t[own], v[own]
+
     def add(self, vectors: Sequence[Vector]) -> None:
         """vectors: terms and weights of each example, in the order of ids; read one at a time, so that they need not be held."""
-        n, many = len(vectors), len(self.idf)
+        n, many = len(vectors), self.known
         mix = np.random.default_rng(0).standard_normal((many, 8), np.float32)
         near, df = np.zeros((n, 8), np.float32), np.zeros(many, np.int64)
         for i in range(n):
@@ -305,16 +314,23 @@ def weigh_terms(texts: DataFrame, z_full: float, odds_full: float, floor: float)
 
 
 class Reader(dict):
-    """Gives a text's known terms, in order, and how often each occurs in the whole text. Holds words' terms, as bytes."""
+    """Gives a text's terms, in order, and how often each occurs in the whole text. Holds words' terms, as bytes.
+
+    A term that no example has is named by its hash, beyond the known ones; such terms that share a place count as one.
+    """
 
     def __init__(self, at: dict[bytes, int], most: int = 150_000) -> None:
         super().__init__()
         self.at, self.most = at, most
 
+    def place(self, term: bytes) -> int:
+        got = self.at.get(term)
+        return len(self.at) + zlib.crc32(term) % _OTHERS if got is None else got
+
     def __missing__(self, w: bytes) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        got = self[w] = array("i", [self.at[t] for t in terms(w) if t in self.at]).tobytes()
+        got = self[w] = array("i", [self.place(t) for t in terms(w)]).tobytes()
         return got
 
     def read(self, text: bytes | None) -> Vector:
@@ -331,7 +347,7 @@ class Reader(dict):
 
 
 def document_vectors(docs: DataFrame, at: Broadcast, carry: tuple[str, ...] = ()) -> DataFrame:
-    """docs (doc_id, text binary, carry) with steps, the gaps between a text's known terms, and tf, their counts, in place of the text.
+    """docs (doc_id, text binary, carry) with steps, the gaps between the places of a text's terms, and tf, their counts, in place of the text.
 
     Written out: each whole text is read once, and neither words nor the
     vocabulary are needed again. Carried columns don't go through Python.
@@ -402,12 +418,13 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float =
     example. Terms: all words of the examples, and the beginnings of longer ones;
     terms that don't go with a class (|z| below z_full, odds ratio below
     odds_full either way) weigh less, at least `floor`, but none is left out.
-    Words that no example has match nothing and are not counted. Document
-    frequencies are counted over all docs. Each document's k nearest examples
+    Words that no example has match nothing, but count in the length of a text's
+    vector, with the weight `floor`, so that cosines are those of whole texts.
+    Document frequencies are counted over all docs, those of such words by hash. Each document's k nearest examples
     by exact TF-IDF cosine vote by distance, each for the number of labelled
     rows it stands for; leave-one-out votes of the examples calibrate the score.
     evidence: [{example, cosine, toxic}], nearest first, where example is the
-    smallest doc_id of the example's copies. A text without any term (null, empty
+    smallest doc_id of the example's copies. A text without any term of the examples (null, empty
     or of other words only) gets the calibrated share of toxic rows among such.
     Without examples of both classes no term is weighed, so every text is of that
     kind. An example doesn't vote on its own document, unless copies of it with
@@ -421,15 +438,16 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float =
     vocabulary, weights = weigh_terms(examples.select("text", "toxic"), z_full, odds_full, floor)
     at = context.broadcast({t: i for i, t in enumerate(vocabulary)})
     vectors = document_vectors(docs.select("doc_id", F.col("text").cast("binary").alias("text"), *[c for c in carry if c != "text"]), at, carry)
-    df, n = document_frequencies(vectors, len(vocabulary))
+    df, n = document_frequencies(vectors, len(vocabulary) + _OTHERS)
+    weights = np.concatenate((weights, np.full(_OTHERS, floor)))
     blank, used = np.zeros(2), []
     for ids, toxic, weight, t, tf in example_vectors(examples, at):
-        if len(t):
+        if len(t) and t[0] < len(vocabulary):
             used.append((ids, toxic, weight, t, tf))
         else:
             blank[toxic] += weight
     used.sort(key=lambda u: (u[0], u[1]))
-    index = Index(weights * (np.log((n + 1) / (df + 1)) + 1), [u[0] for u in used], np.array([u[1] for u in used], int), np.array([u[2] for u in used], float), k=k)
+    index = Index(weights * (np.log((n + 1) / (df + 1)) + 1), len(vocabulary), [u[0] for u in used], np.array([u[1] for u in used], int), np.array([u[2] for u in used], float), k=k)
     # only counts are sent out, packed; each worker builds the index from them once
     shared = context.broadcast((index, [_packed(t, tf) for *_, t, tf in used]))
 
@@ -460,10 +478,10 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float =
             for start in range(0, len(whole[0]), 512):
                 doc_id, steps, tf = (c.slice(start, 512) for c in whole)
                 got = _counts(steps, tf)
-                some = [i for i, (t, _) in enumerate(got) if len(t)]
+                some = [i for i, (t, _) in enumerate(got) if len(t) and t[0] < ix.known]
                 skips = [own.get(d, -1) for d in doc_id.to_pylist()]
                 near: list[list[tuple[float, int]]] = [[] for _ in got]
-                for i, found in zip(some, ix.nearest_all([(got[i][0], ix.unit(*got[i])) for i in some], [skips[i] for i in some]), strict=True):
+                for i, found in zip(some, ix.nearest_all([ix.query(*got[i]) for i in some], [skips[i] for i in some]), strict=True):
                     near[i] = found
                 s = np.array([ix.score(x) for x in near], float)
                 why = [[{"example": ix.ids[i][0], "cosine": c, "toxic": int(ix.toxic[i])} for c, i in x[:5]] for x in near]

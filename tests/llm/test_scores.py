@@ -44,7 +44,7 @@ def test_discriminant_is_the_density_ratio():
 
 def test_nearest_is_exact():
     rng = np.random.default_rng(1)
-    ix = toxicity.Index(rng.uniform(1, 3, 40), list(range(500)), rng.integers(0, 2, 500), np.ones(500), k=7)
+    ix = toxicity.Index(rng.uniform(1, 3, 40), 40, list(range(500)), rng.integers(0, 2, 500), np.ones(500), k=7)
     vs = []
     for _ in range(500):
         t = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
@@ -100,33 +100,53 @@ def test_copies_are_one_example(spark):
     assert got[0][0] == got[1][0] and got[0][1].tolist() == got[1][1].tolist()
 
 
-def test_neighbours_over_whole_texts(spark):
-    """Words that go with no class, or are seen once, count: neighbours are those of a brute-force cosine over all terms."""
+def test_neighbours_votes_and_scores_over_whole_texts(spark):
+    """Words that go with no class, are seen once, or that no example has count: neighbours, votes and scores are those of a brute-force cosine over all terms."""
     rng = np.random.default_rng(5)
     bag = [f"{a}{b}{c}" for a in "kmt" for b in "aeiou" for c in "lnrs"]
-    texts = [" ".join(rng.choice(bag, 30)) + (" vile" if i % 5 == 0 else "") + (f" rareone{i // 2}" if i < 60 else "") for i in range(160)]
+    texts = [" ".join(rng.choice(bag, 30)) + (" vile" if i % 5 == 0 else "") + (f" rareone{i // 2}" if i < 60 else "") + (f" unseen{i} strange strange word{i % 3}" if i >= 120 else "") for i in range(160)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     toxic = {i: int(i % 5 == 0) for i in range(120)}
     labels = spark.createDataFrame(list(toxic.items()), "doc_id bigint, toxic int")
     got = {r.doc_id: r for r in toxicity.scores(docs, labels, F.lit(True)).collect()}
     bags = [[t for w in toxicity.words(x.encode()) for t in toxicity.terms(w)] for x in texts]
-    at = {t: j for j, t in enumerate(sorted({t for i in toxic for t in bags[i]}))}
+    at = {t: j for j, t in enumerate(sorted({t for b in bags for t in b}))}
     tf = np.zeros((160, len(at)))
     for i, b in enumerate(bags):
         for t in b:
-            if t in at:
-                tf[i, at[t]] += 1
+            tf[i, at[t]] += 1
     y, on = np.array([toxic[i] for i in range(120)]), tf[:120] > 0
     a, b = on[y == 1].sum(0) + 0.5, on[y == 0].sum(0) + 0.5
     c, d = (y == 1).sum() + 1 - a, (y == 0).sum() + 1 - b
     odds = np.abs(np.log(a * d / (b * c)))
     weight = 0.05 + 0.95 * np.minimum(odds / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d) / 4, 1) * np.minimum(odds / np.log(8), 1)
+    weight[~on.any(0)] = 0.05
     v = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * weight * (np.log(161 / ((tf > 0).sum(0) + 1)) + 1)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
+    votes = []
     for i in range(160):
-        cos = np.round(v[:120] @ v[i], 9)
+        cos = np.round(v[:120] @ v[i], 12)
         if i < 120:
             cos[i] = 0
-        want = np.sort(cos)[::-1][:5]
-        assert [e.cosine for e in got[i].evidence] == pytest.approx(want.tolist(), abs=1e-8)
+        near = np.lexsort((np.arange(120), -cos))[:16]
+        assert [e.cosine for e in got[i].evidence] == pytest.approx(cos[near][:5].tolist(), abs=1e-8)
         assert all(cos[e.example] == pytest.approx(e.cosine, abs=1e-8) for e in got[i].evidence)
+        w = [sum(cos[j] / (1.05 - cos[j]) for j in near if y[j] == k and cos[j] > 0) for k in (0, 1)]
+        votes.append(np.log((w[1] + 0.05) / (w[0] + 0.05)))
+    # scores are a logistic curve of the votes, whose mean over the examples is that of Platt's targets
+    votes, s = np.array(votes), np.array([got[i].score for i in range(160)])
+    line = np.polyfit(votes, np.log(s / (1 - s)), 1)
+    assert line[0] > 0 and np.allclose(np.polyval(line, votes), np.log(s / (1 - s)), atol=1e-6)
+    n1, n0 = y.sum(), (1 - y).sum()
+    assert abs((s[:120] - np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))).sum()) < 0.05
+
+
+def test_one_known_word_does_not_decide_a_long_text(spark):
+    """A word of toxic examples alone is toxic; among thousands that no example has it isn't."""
+    rows = [(i, "vile trash" if i % 4 == 0 else f"plain text of day {i % 7}") for i in range(200)]
+    rows += [(1000, "trash"), (1001, "trash " + " ".join(f"q{i}z" for i in range(10_000))), (1002, " ".join(f"q{i}z" for i in range(50)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id bigint, toxic int")
+    got = {r.doc_id: r for r in toxicity.scores(docs, labels, F.lit(True)).where("doc_id >= 1000").collect()}
+    assert got[1000].predicted == 1 and got[1001].evidence[0].cosine < 0.1 < 0.5 < got[1000].evidence[0].cosine
+    assert not got[1002].evidence
