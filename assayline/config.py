@@ -77,8 +77,13 @@ class Config:
     crs_alpha: tuple[float, ...] = (20, 16, 16, 12, 12, 4)
     crs_draws: int = 5000
     crs_seed: int = 20260726
+    require_reason_for_missing: bool = False  # a missing reference value without a declared reason is an error
     extra: dict = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        """Algorithms listed twice count once, where they stand first."""
+        object.__setattr__(self, "algorithms", tuple(dict.fromkeys(self.algorithms)))
+
     @property
     def grid(self) -> dict:
         return GRIDS[self.level]

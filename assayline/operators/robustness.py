@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayline.functions.columns import let, total
+from assayline.functions.columns import let, total, uniform
 from assayline.operators.quantiles import quantiles
 from assayline.sources.shared import durable
 
@@ -48,12 +48,6 @@ def ranked(parts: DataFrame, target: str, tie: Sequence[str]) -> DataFrame:
     return parts.withColumn("rank", F.row_number().over(W.partitionBy(target).orderBy(F.desc(F.round("crs", 9)), *tie)))
 
 
-def uniform(*parts: Column) -> Column:
-    """A number within (0, 1) that is a function of the parts: 52 bits of their MD5, joined by '|'."""
-    bits = F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("bigint")
-    return (bits + 0.5) / float(1 << 52)
-
-
 def dirichlet_weights(draw: Column, alpha: Sequence[float], seed: int) -> Column:
     """Dirichlet weights of a draw by number, alpha whole numbers: sums of alpha exponential variables, divided by their total.
 

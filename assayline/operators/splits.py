@@ -83,18 +83,3 @@ def folds(n: int, k: int, repeats: int, seed: int) -> list[tuple[np.ndarray, np.
             mask[test] = True
             out.append((np.flatnonzero(~mask), np.flatnonzero(mask)))
     return out
-
-
-def kennard_stone(x: np.ndarray, ratio: float) -> np.ndarray:
-    """Positions that calibrate: the farthest pair, then always the sample farthest from those chosen."""
-    n = len(x)
-    want = min(max(2, round(ratio * n)), n - 1)
-    s = x.std(0)
-    z = (x - x.mean(0)) / np.where(s < 1e-12, 1, s)
-    d = np.sqrt(np.maximum(((z[:, None] - z[None]) ** 2).sum(-1), 0))
-    chosen = list(np.unravel_index(np.argmax(d), d.shape))
-    while len(chosen) < want:
-        near = d[:, chosen].min(1)
-        near[chosen] = -1
-        chosen.append(int(np.argmax(near)))
-    return np.sort(np.array(chosen[:want]))

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from assayline.config import RECIPES, Config
 from assayline.functions.columns import finite, half_even, or_null, seed_column
-from assayline.operators import metrics, moments, neighbours, population, pretreat, ranking, response, robustness, screening, selection, splits
+from assayline.operators import farthest, metrics, moments, monte_carlo, neighbours, population, pretreat, ranking, response, robustness, screening, selection, splits
 from assayline.operators.sql_forms import recipe_sql
-from assayline.plans import closed_forms, study, views
+from assayline.plans import closed_forms, progress, study, views
 from assayline.plans.views import AXIS, CHANNELS, METRICS_SQL, PREDICTIONS_SQL, REFERENCE_SQL, SIGNALS_SQL
+from assayline.sources.digests import table_digest, table_digest_sql
+from assayline.sources.shared import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -200,6 +202,26 @@ def split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("target", "outer_split_id", "train_ratio", "repeat_id").agg(F.count_if(F.col("role") == "cal").alias("nCalibration"), F.count_if(F.col("role") == "pred").alias("nPrediction"), names.alias("predictionSamples"))
 
 
+_KENNARD = f"""WITH RECURSIVE {SIGNALS_SQL},
+z AS (SELECT g, sample_id, list((v - m) / s ORDER BY pos) AS z FROM (SELECT label AS g, sample_id, pos, v, avg(v) OVER w AS m, CASE WHEN stddev_pop(v) OVER w < 1e-12 THEN 1 ELSE stddev_pop(v) OVER w END AS s FROM t0 JOIN embeddings ON vec_id = sample_id WINDOW w AS (PARTITION BY label, pos)) GROUP BY ALL),
+d AS MATERIALIZED (SELECT a.g, a.sample_id AS a, b.sample_id AS b, round(list_distance(a.z, b.z), 9) AS d FROM z a JOIN z b ON a.g = b.g),
+n AS (SELECT g, least(greatest(2, round_even(0.75::DOUBLE * count(*), 0)), count(*) - 1)::BIGINT AS want FROM z GROUP BY g HAVING count(*) >= 2),
+p AS (SELECT g, a, b FROM d WHERE a < b QUALIFY row_number() OVER (PARTITION BY g ORDER BY d DESC, a, b) = 1),
+k AS (
+  SELECT g, 0::BIGINT AS place, a AS sample_id, [a] AS taken FROM p UNION ALL SELECT g, 1, b, [a, b] FROM p
+  UNION ALL
+  SELECT g, place + 1, s, list_append(taken, s) FROM (SELECT k.g, k.place, k.taken, (SELECT arg_min(a, struct_pack(m := -near, a := a)) FROM (SELECT d.a, min(d.d) AS near FROM d WHERE d.g = k.g AND list_contains(k.taken, d.b) AND NOT list_contains(k.taken, d.a) GROUP BY d.a)) AS s FROM k JOIN n USING (g) WHERE place >= 1 AND place + 1 < want))
+SELECT k.g AS label, sample_id, place FROM k JOIN n USING (g) WHERE place < want
+"""
+
+
+@query(_KENNARD)
+def kennard_stone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three quarters of each label's samples by greatest least distance, all labels at once."""
+    rows = views.table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("sample_id"), F.col("embedding").alias("x"))
+    return farthest.kennard_stone(rows, ["label"], CHANNELS, 0.75)
+
+
 def _list_sql(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
@@ -485,6 +507,28 @@ def validator_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query(f"""WITH {METRICS_SQL} SELECT target, count(*)::BIGINT AS tasks, count(*) FILTER (severe) AS failures, count(*) FILTER (NOT criterion)::BIGINT AS warnings FROM c GROUP BY target""")
+def observed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks, severe failures and unmet criteria by target, observed while the metrics are written."""
+    rows = _metrics(spark, sf_dir)
+    targets = [r.target for r in views.predictions(spark, sf_dir).select("target").distinct().collect()]  # a study's analytes
+    watched, watch = progress.observed(rows, targets, F.col("severe"), F.when(F.col("criterion"), 0).otherwise(1))
+    durable(watched.select("target", "modelName", "repeatId", *METRICS))
+    return progress.figures(spark, watch, targets)
+
+
+@query(table_digest_sql("labels", [("doc_id", "doc_id::VARCHAR"), ("quality", "quality::VARCHAR"), ("toxic", "toxic::VARCHAR")]))
+def digest_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_digest(views.table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
+@query(table_digest_sql("orders", [("o_orderkey", "o_orderkey::VARCHAR"), ("o_custkey", "o_custkey::VARCHAR"), ("o_orderstatus", "o_orderstatus"), ("cents", "round(o_totalprice * 100)::BIGINT::VARCHAR"), ("day", "o_orderdate::DATE::VARCHAR"), ("o_orderpriority", "o_orderpriority")]))
+def digest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices in cents and dates as days, which both engines write alike."""
+    orders = views.table(spark, sf_dir, "orders")
+    return table_digest(orders.select("o_orderkey", "o_custkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"), F.to_date("o_orderdate").alias("day"), "o_orderpriority"))
+
+
 @query("""SELECT CASE WHEN toxic = 1 THEN 'excluded' ELSE 'included' END AS status, quality, count(*) AS n FROM labels GROUP BY ALL""")
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = views.table(spark, sf_dir, "labels")
@@ -521,6 +565,29 @@ def mccv_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.mccv_screen(signals, _grouped_reference(spark, sf_dir), CONFIG)["Summary"]
 
 
+_MONTE_CARLO = f"""WITH {SIGNALS_SQL}, {REFERENCE_SQL},
+o AS (SELECT target, sample_id, value, i, row_number() OVER (PARTITION BY target, i ORDER BY ('0x' || substr(md5('{CONFIG.random_state}|mccv|' || target || '|' || i || '|' || sample_id), 1, 13))::BIGINT, sample_id) AS place, count(*) OVER (PARTITION BY target, i) AS n FROM ref, unnest(range({CONFIG.mccv_iterations})) AS r(i)),
+s AS (SELECT *, place <= greatest(8, round_even({CONFIG.mccv_calibration}::DOUBLE * n, 0)) AS cal FROM o),
+y AS (SELECT target, i, avg(value) AS my, stddev_samp(value) AS sy FROM s WHERE cal GROUP BY ALL),
+x AS (SELECT target, i, pos, avg(v) AS m, stddev_samp(v) AS sx, covar_samp(v, value) / stddev_samp(v) AS c FROM s JOIN t0 USING (sample_id) WHERE cal GROUP BY ALL),
+w AS (SELECT *, c / sqrt(sum(c * c) OVER (PARTITION BY target, i)) AS w FROM x),
+t AS (SELECT s.target, s.i, s.sample_id, any_value(value) AS value, any_value(cal) AS cal, sum((v - m) / sx * w) AS t FROM s JOIN t0 USING (sample_id) JOIN w ON w.target = s.target AND w.i = s.i AND w.pos = t0.pos GROUP BY ALL),
+q AS (SELECT target, i, any_value(my) AS my, sum(t * (value - my)) / sum(t * t) AS q FROM t JOIN y USING (target, i) WHERE cal GROUP BY ALL),
+e AS (SELECT target, sample_id, avg(abs(value - my - q * t)) AS mean_error, count(*) AS n_predicted FROM t JOIN q USING (target, i) WHERE NOT cal GROUP BY ALL),
+m AS (SELECT target, median(mean_error) AS med, count(*) AS n FROM e GROUP BY target),
+l AS (SELECT target, any_value(m.n) AS n, any_value(med) + 3 * median(abs(mean_error - med)) AS threshold FROM e JOIN m USING (target) GROUP BY target),
+f AS (SELECT e.*, n, threshold, mean_error > threshold AS candidate, count(*) FILTER (mean_error > threshold) OVER (PARTITION BY target) AS k FROM e JOIN l USING (target))
+"""
+
+
+@query(_MONTE_CARLO + f"SELECT target, sample_id, n_predicted, {_r('mean_error', 'threshold')}, candidate, NOT (candidate AND n >= 15 AND k <= greatest(10, round_even(0.18 * n, 0)) AND n - k >= 8) AS keep FROM f")
+def mccv_whole_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Monte-Carlo screen of both targets over all samples, with one-component models; see `mccv_screen` for tuned ones on groups."""
+    rows = views.signals(spark, sf_dir).join(views.reference(spark, sf_dir), "sample_id").select("target", "sample_id", "x", F.col("value").alias("y"))
+    means = durable(monte_carlo.held_out_means(rows, CHANNELS, CONFIG.mccv_iterations, CONFIG.mccv_calibration, CONFIG.random_state))
+    return screening.screen(means, CONFIG.max_outlier_ratio).select("target", "sample_id", "n_predicted", *rounded("mean_error", "threshold"), "candidate", "keep")
+
+
 _WEIGHTED_KNN = f"""WITH {SIGNALS_SQL}, {REFERENCE_SQL},
 x AS (SELECT vec_id AS sample_id, vec_id % 25 AS g, vec_id % 4 = 0 AS pred, list_transform(embedding, lambda a: a::DOUBLE) AS e FROM embeddings),
 d AS (SELECT a.sample_id, b.sample_id AS other, list_distance(a.e, b.e) AS dist FROM x a JOIN x b USING (g) WHERE a.pred AND NOT b.pred),

@@ -129,8 +129,8 @@ def summarise(results: DataFrame, config: Config, axis: Sequence[float] | None =
     ordered, details_ordered = (lambda t: t, lambda t: t) if targets is None else (lambda t: ranking.export_order(t, targets), lambda t: ranking.prediction_order(t, targets))
     path = F.when(F.col("modelName").isin(*registry.CONTIGUOUS), f"contiguous{config.feature_count}").otherwise(f"ranked{config.feature_count}")
     shifts = F.transform("channels", lambda c: F.format_string("%.6f", F.get(F.array(*[F.lit(float(v)) for v in axis]), c))) if axis is not None else F.array().cast("array<string>")
-    outliers = good.select("target", "outer_split_id", "trainRatio", "repeatId", "splitId", (F.col("n_calibration") + F.size("screened_out")).alias("nCalibrationRaw"), F.col("n_calibration").alias("nCalibrationUsed"), F.size("screened_out").alias("nCalibrationExcluded"), F.array_join("screened_out", ",").alias("calibrationExcludedNames"), F.col("n_prediction").alias("nPrediction"))
-    outliers = ranking.first_of_each(outliers, ["target", "outer_split_id"], ["splitId"]).drop("splitId")
+    outliers = named.select("target", "outer_split_id", "trainRatio", "repeatId", "splitId", F.col("nSamples").alias("nOuterPopulationSamples"), (F.col("n_calibration") + F.size("screened_out")).alias("nCalibrationRaw"), F.col("n_calibration").alias("nCalibrationUsed"), F.size("screened_out").alias("nCalibrationExcluded"), F.array_join("screened_out", ",").alias("calibrationExcludedNames"), F.col("n_prediction").alias("nPrediction"))
+    outliers = ranking.first_of_each(outliers, ["target", "outer_split_id"], ["splitId"]).drop("splitId").withColumnRenamed("outer_split_id", "outerSplitId")
     if population is not None:
         before = population.groupBy("target").agg(F.count("*").alias("nOriginalSamples"), F.count_if("excluded").alias("nPresearchExcluded"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("excluded"), F.col("sample_id").cast("string")))), ",").alias("presearchExcludedNames"))
         outliers = outliers.join(before, "target", "left")
@@ -140,10 +140,10 @@ def summarise(results: DataFrame, config: Config, axis: Sequence[float] | None =
         "AllRunMetrics": all_runs,
         "PredictionDetails": details_ordered(ranking.fixed_schema(detail, ranking.PREDICTION_COLUMNS)),
         "OutlierManifest": outliers,
-        "SplitManifest": ranking.first_of_each(good.select("target", "outer_split_id", "trainRatio", "repeatId", "splitId", cal_names.alias("calibrationSamples"), names.alias("predictionSamples")), ["target", "outer_split_id"], ["splitId"]).drop("splitId"),
-        "SelectedVariableManifest": ranking.first_of_each(good.select("target", "outer_split_id", "splitId", "trainRatio", "repeatId", "yTransform", "preprocess", path.alias("featurePath"), "nFeatures", F.array_join("channels", ",").alias("selectedVariableIndices"), F.array_join(shifts, ",").alias("selectedRamanShifts_cm-1")), ["target", "outer_split_id", "yTransform", "preprocess", "featurePath"], ["splitId"]),
-        "RunWarnings": named.where(F.size("warning_messages") > 0).select(*keys, "outer_split_id", F.size("warning_messages").alias("warningCount"), F.array_join("warning_messages", "; ").alias("warningMessages")),
-        "RunFailures": named.where(F.col("error").isNotNull()).select(*keys, "outer_split_id", "error"),
+        "SplitManifest": ranking.first_of_each(good.select("target", "outer_split_id", "trainRatio", "repeatId", "splitId", cal_names.alias("calibrationSamples"), names.alias("predictionSamples")), ["target", "outer_split_id"], ["splitId"]).drop("splitId").withColumnRenamed("outer_split_id", "outerSplitId"),
+        "SelectedVariableManifest": ranking.first_of_each(good.select("target", "outer_split_id", "splitId", "trainRatio", "repeatId", "yTransform", "preprocess", path.alias("featurePath"), "nFeatures", F.array_join("channels", ",").alias("selectedVariableIndices"), F.array_join(shifts, ",").alias("selectedRamanShifts_cm-1")), ["target", "outer_split_id", "yTransform", "preprocess", "featurePath"], ["splitId"]).withColumnRenamed("outer_split_id", "outerSplitId"),
+        "RunWarnings": named.where(F.size("warning_messages") > 0).select(*keys, F.col("outer_split_id").alias("outerSplitId"), F.size("warning_messages").alias("warningCount"), F.array_join("warning_messages", " | ").alias("warningMessages")),
+        "RunFailures": named.where(F.col("error").isNotNull()).select(*keys, F.col("outer_split_id").alias("outerSplitId"), "error"),
         "TopRuns": ranking.top_n(all_runs, config.top_n),
     }
 

@@ -7,12 +7,15 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayline.sources.digests import table_digest
 
-def write_tables(tables: dict[str, DataFrame], folder: str, kind: str = "parquet", max_rows: int = 1_000_000) -> None:
-    """Each table into folder/name; CSV as one file for each million rows with a header."""
+
+def write_tables(tables: dict[str, DataFrame], folder: str, kind: str = "parquet", max_rows: int = 1_000_000, mark: bool = False) -> None:
+    """Each table into folder/name; CSV as one file for each million rows with a header, which with `mark` begins with a byte order mark for spreadsheets."""
     for name, df in tables.items():
         if kind == "csv":
             flat = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes])
+            flat = flat.withColumnRenamed(flat.columns[0], "\ufeff" + flat.columns[0]) if mark else flat
             flat.write.mode("overwrite").option("header", True).option("maxRecordsPerFile", max_rows).csv(f"{folder}/{name}")
         else:
             df.write.mode("overwrite").option("maxRecordsPerFile", max_rows).parquet(f"{folder}/{name}")
@@ -45,15 +48,27 @@ class Store:
         """Replace the partitions of the targets in results."""
         results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("target").parquet(f"{self.folder}/results")
 
+    def note(self, figures: DataFrame) -> None:
+        """Keep what was observed while targets were saved."""
+        figures.withColumn("saved_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.folder}/observed")
+
+    def notes(self) -> DataFrame | None:
+        """The last figures of each target."""
+        if not self._fs.exists(self._path(f"{self.folder}/observed")):
+            return None
+        rows = self.spark.read.parquet(f"{self.folder}/observed")
+        last = F.max_by(F.struct(*[c for c in rows.columns if c not in ("target", "saved_at")]), "saved_at")
+        return rows.groupBy("target").agg(last.alias("f")).select("target", "f.*")
+
     def load(self) -> DataFrame | None:
         return self.spark.read.option("basePath", f"{self.folder}/results").parquet(f"{self.folder}/results") if self._fs.exists(self._path(f"{self.folder}/results")) else None
 
 
 def provenance(spectra: DataFrame, reference: DataFrame) -> dict[str, str]:
-    """Row counts and order-free checksums of a study's inputs, for its signature."""
+    """Row counts and order-free SHA-256 digests of a study's inputs, for its signature."""
 
     def digest(df: DataFrame) -> str:
-        row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()
-        return f"{row.n}:{row.h}"
+        row = table_digest(df).first()
+        return f"{row.n}:{row.digest}"
 
     return {"spectra": digest(spectra.select("sample_id", "x")), "reference": digest(reference.select("target", "sample_id", "value"))}

@@ -6,7 +6,6 @@ import pytest
 from assayline.config import Config
 from assayline.operators.evaluate import evaluate, feature_count, screened, select
 from assayline.operators.kernels import linear, registry, similarity, trees
-from assayline.operators.splits import kennard_stone
 
 
 def made(n):
@@ -125,10 +124,6 @@ def test_selection():
     assert select(s, 2, False).tolist() == [1, 2] and select(s, 2, True).tolist() == [1, 2] and select(np.array([1.0, 1.0, 1.0]), 2, False).tolist() == [1, 2]
 
 
-def test_kennard_stone():
-    assert kennard_stone(np.array([[0.0], [1.0], [10.0], [5.0]]), 0.75).tolist() == [0, 2, 3]
-
-
 def test_ineligible_transform(data):
     x, y = data
     assert "log1p" in evaluate(x, y - 100, np.arange(48) % 4 != 0, "RAW", "log1p", "PLS", AXIS, FAST, ())["error"]

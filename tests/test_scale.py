@@ -9,10 +9,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from assayline.operators import moments, neighbours, robustness
+from assayline.operators import farthest, moments, monte_carlo, neighbours, robustness
 from assayline.operators.kernels.linear import pls_path, ridge_path
 from assayline.operators.order import ranked
 from assayline.operators.quantiles import quantiles
+from assayline.plans import progress
+from assayline.sources import digests
 
 NAN, INF = float("nan"), float("inf")
 
@@ -155,3 +157,86 @@ def test_dirichlet_draws(spark):
     assert np.allclose(again, w[17])
     with pytest.raises(ValueError):
         robustness.dirichlet_weights(F.lit(1), (1.5,), 7)
+
+
+def _kennard_stone(ids, x, ratio):
+    n = len(x)
+    want = min(max(2, round(ratio * n)), n - 1)
+    s = x.std(0)
+    z = (x - x.mean(0)) / np.where(s < 1e-12, 1, s)
+    d = np.round(np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1)), 9)
+    i, j = np.nonzero(d == d.max())
+    chosen = list(min((min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in zip(i, j, strict=True)))
+    at = {v: k for k, v in enumerate(ids)}
+    while len(chosen) < want:
+        rest = [v for v in ids if v not in chosen]
+        near = [d[at[v], [at[c] for c in chosen]].min() for v in rest]
+        chosen.append(min(v for v, m in zip(rest, near, strict=True) if m == max(near)))
+    return chosen[:want]
+
+
+def test_kennard_stone_in_rounds(spark):
+    rng = np.random.default_rng(9)
+    groups = {"a": rng.normal(size=(90, 3)), "ties": np.round(rng.normal(size=(60, 3))), "pair": rng.normal(size=(2, 3)), "line": np.array([[0.0, 0, 1], [1, 0, 1], [10, 0, 1], [5, 0, 1]])}
+    rows = [(k, 100 + i, [float(v) for v in r]) for k, x in groups.items() for i, r in enumerate(x)]
+    rows += [("one", 1, [1.0, 2.0, 3.0]), ("a", 999, [NAN, 1.0, 1.0]), ("a", 998, None), ("a", 997, [1.0]), (None, 5, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "k string, sample_id bigint, x array<double>")
+    got = {}
+    for r in farthest.kennard_stone(df, ["k"], 3, 0.75, batch=7, tile=16).collect():
+        got.setdefault(r.k, []).append((r.place, r.sample_id))
+    assert {k: [s for _, s in sorted(v)] for k, v in got.items()} == {k: _kennard_stone([100 + i for i in range(len(x))], x, 0.75) for k, x in groups.items()}
+    assert [s - 100 for _, s in sorted(got["line"])] == [0, 2, 3]
+
+
+def test_monte_carlo_by_sums(spark):
+    rng = np.random.default_rng(4)
+    n, p = 40, 5
+    x = rng.normal(size=(n, p)) * [1, 2, 3, 1, 1] + 100
+    x[:, 4] = 3.0
+    y = x[:, 0] + 0.1 * rng.normal(size=n) + 50
+    rows = [("t", i, [float(v) for v in r], float(v)) for i, (r, v) in enumerate(zip(x, y, strict=True))]
+    rows += [("t", 900, [NAN] * p, 1.0), ("t", 901, [1.0] * p, None), ("flat", 1, [1.0] * p, 2.0)] + [("few", i, [float(i)] * p, float(i)) for i in range(14)] + [(None, 3, [1.0] * p, 1.0)]
+    df = spark.createDataFrame(rows, "target string, sample_id bigint, x array<double>, y double")
+    got = {r.sample_id: r for r in monte_carlo.held_out_means(df, p, 12, 0.78, 7).collect()}
+    assert all(r.target == "t" for r in got.values())
+    import hashlib
+
+    errors = {i: [] for i in range(n)}
+    for it in range(12):
+        u = sorted((int(hashlib.md5(f"7|mccv|t|{it}|{i}".encode()).hexdigest()[:13], 16), i) for i in range(n))
+        tr, te = [i for _, i in u[:31]], [i for _, i in u[31:]]
+        b, scale, mean, _ = pls_path(x[tr], y[tr], 1)
+        for i, v in zip(te, scale(x[te]) @ b[0] + mean, strict=True):
+            errors[i].append(abs(y[i] - v))
+    assert {i: len(e) for i, e in errors.items() if e} == {i: r.n_predicted for i, r in got.items()}
+    assert all(got[i].mean_error == pytest.approx(np.mean(e), rel=1e-8) for i, e in errors.items() if e)
+    assert monte_carlo.held_out_means(df.limit(0), p, 12, 0.78, 7).count() == 0
+
+
+def test_progress_is_observed(spark, tmp_path):
+    df = spark.createDataFrame([("a", None, 2), ("a", "boom", 0), ("b", None, None), (None, "x", 1)], "target string, error string, w int")
+    rows, watch = progress.observed(df, ["a", "b", "none"], F.col("error").isNotNull(), F.col("w"))
+    rows.write.parquet(str(tmp_path / "out"))
+    got = {r.target: tuple(r)[1:] for r in progress.figures(spark, watch, ["a", "b", "none"]).collect()}
+    assert got == {"a": (2, 1, 2), "b": (1, 0, 0), "none": (0, 0, 0)}
+    assert progress.figures(spark, progress.observed(df, [], F.lit(True), F.lit(1))[1], []).count() == 0
+
+
+def test_digests_tell_changes(spark, tmp_path):
+    def digest(rows, schema="a string, b string"):
+        return tuple(digests.table_digest(spark.createDataFrame(rows, schema)).first())
+
+    base = digest([("1", "2"), ("3", None)])
+    assert base == digest([("3", None), ("1", "2")]) and base[0] == 2 and len(base[1]) == 64
+    others = [[("2", "1"), ("3", None)], [("1", None), ("3", "2")], [("1", "2"), ("3", "")], [("1", "2"), ("3", None), ("3", None)], [("1;b=1:2", None), ("3", None)], []]
+    assert len({base, *map(digest, others)}) == 7 and digest([])[1] == "0" * 64
+    assert digest([(1, [1.0, 2.0])], "a int, b array<double>") != digest([(1, [2.0, 1.0])], "a int, b array<double>")
+    import hashlib
+
+    line = "a=1:1;b=1:2;"
+    assert digest([("1", "2")])[1] == hashlib.sha256(line.encode()).hexdigest()
+    assert int(digest([("1", "2")] * 5)[1], 16) == 5 * int(hashlib.sha256(line.encode()).hexdigest(), 16) % 2**256
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x/f").write_bytes(b"abc")
+    (row,) = digests.file_digests(spark, str(tmp_path / "x")).collect()
+    assert (row.length, row.sha256) == (3, hashlib.sha256(b"abc").hexdigest())

@@ -1,5 +1,7 @@
 """Files, whole studies, screens and the resumable store."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -49,13 +51,26 @@ def test_study_resumes(spark, folder, tmp_path):
     assert a == b
     with pytest.raises(ValueError):
         reports.run_files(spark, *paths, Config(**{**CFG.__dict__, "random_state": 1}), str(tmp_path / "out"))
-    results.write_tables({"best": out["BestSummary"]}, str(tmp_path / "csv"), "csv")
-    assert spark.read.option("header", True).csv(str(tmp_path / "csv/best")).count() == 2
+    meta = {r.key: r.value for r in again["RunMetadata"].collect()}  # the figures of the run that did the work
+    assert (meta["tasks EA"], meta["failures EA"], meta["failures Analyte2"]) == ("6", "2", "2")
+    assert meta["warnings EA"] == str(sum(r.warningCount for r in out["RunWarnings"].where("target = 'EA'").collect()))
+    files = [folder / n for n in ("spectra.csv", "reference.csv", "excluded.csv")]
+    assert sorted(v for k, v in meta.items() if k.startswith("sha256 ")) == sorted(hashlib.sha256(f.read_bytes()).hexdigest() for f in files)
+    audit = tmp_path / "out/audit"
+    assert {p.name for p in audit.iterdir()} >= {"AllRunMetrics", "OutlierManifest", "SplitManifest", "SelectedVariableManifest", "RunWarnings", "RunMetadata", "PredeclaredExclusionAudit"}
+    (part,) = [p for p in (audit / "OutlierManifest").iterdir() if p.suffix == ".csv"]
+    assert part.read_bytes().startswith(b"\xef\xbb\xbftarget,outerSplitId,trainRatio,repeatId,nOuterPopulationSamples")
+    manifest = {r.target: r for r in out["OutlierManifest"].collect()}
+    assert manifest["EA"].nOuterPopulationSamples == N - 1 and manifest["EA"].nOriginalSamples == N
+    with pytest.raises(ValueError, match="without a reason"):
+        reports.run_files(spark, *paths, Config(**{**CFG.__dict__, "require_reason_for_missing": True}), str(tmp_path / "strict"), str(folder / "excluded.csv"))
+    assert Config(algorithms=("PLS", "Ridge", "PLS")).algorithms == ("PLS", "Ridge")
 
 
 def test_screen(spark, folder, tmp_path):
     cfg = Config(mccv_iterations=20, max_pls_components=3)
-    out = reports.screen_files(spark, str(folder / "spectra.csv"), str(folder / "reference.csv"), cfg, str(tmp_path / "screen.xlsx"))
+    out = reports.screen_files(spark, str(folder / "spectra.csv"), str(folder / "reference.csv"), cfg, str(tmp_path / "screen.xlsx"), str(tmp_path / "screen"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "screen/Manifest")).count() == 2 * N - 1
     s = {r.target: r for r in out["Summary"].collect()}
     assert s["EA"].nOriginalValid == N and s["EA"].nRetained + s["EA"].nExcluded == N and s["Analyte2"].nOriginalValid == N - 1
     assert len(workbook.cells((tmp_path / "screen.xlsx").read_bytes())) == 3
@@ -88,7 +103,7 @@ def test_specification_and_folder_reports(spark, tmp_path):
     assert tables.specification(spark, str(tmp_path / "spec.json")).first().splits.ratios == [0.75, 0.8]
     (tmp_path / "folder" / "deep").mkdir(parents=True)
     (tmp_path / "folder" / "a.txt").write_text("plain")
-    (tmp_path / "folder" / "deep" / "b.txt").write_text("白酒" + "x" * 50, encoding="utf-8")
+    (tmp_path / "folder" / "deep" / "b.txt").write_text("\u6587\u5b57" + "x" * 50, encoding="utf-8")
     got = {r.path.rsplit("/", 1)[1]: (r.too_large, r.forbidden_text) for r in validate.file_report(tables.files(spark, str(tmp_path / "folder")), max_bytes=40).collect()}
     assert got == {"a.txt": (False, False), "b.txt": (True, True)}
     m = spark.createDataFrame([("EA", "included")] * 3 + [("EA", "excluded")] + [("EB", "included")] * 4, "abbreviation string, status string")
