@@ -199,19 +199,20 @@ def best_two_fit(lengths: np.ndarray, limit: int) -> list[list[int]]:
     return bins
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, limit: int = 2048, end_id: int = 0, bins_per_task: int = 8192) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, limit: int = 2048, end_id: int = 0, bins_per_task: int = 8192, rows_per_task: int = 500_000) -> DataFrame:
     """Pack all of docs (doc_id bigint, text) into sequences of at most `limit` ids.
 
     Returns one row for each piece of `tokenize` with sequence_id and offset,
-    gapless from 0 within each sequence. Pieces are dealt by hash to as many
-    tasks as hold about bins_per_task sequences each, known from the sum of all
-    lengths; each task packs its own with `best_two_fit` and leaves at most a
-    bin or so unfilled. Texts are tokenized once; only piece rows move. Empty
-    tables give empty results, repeated rows are packed each for itself.
+    gapless from 0 within each sequence. Pieces are dealt evenly, copies too, to as
+    many tasks as hold about bins_per_task sequences each, known from the sum of
+    all lengths, and rows_per_task pieces at most; each task packs its own with
+    `best_two_fit` and leaves at most a bin or so unfilled. Texts are tokenized
+    once; only piece rows move. Empty tables give empty results, repeated rows are
+    packed each for itself.
     """
     pieces = durable(tokenize(docs, vocabulary, limit, end_id))
-    total = pieces.agg(F.sum("length")).first()[0] or 0
-    tasks = max(1, -(-total // (limit * bins_per_task)))
+    total, rows = pieces.agg(F.sum("length"), F.count("*")).first()
+    tasks = max(1, -(-(total or 0) // (limit * bins_per_task)), -(-rows // rows_per_task))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,5 +231,5 @@ def pack(docs: DataFrame, vocabulary: str | None = None, limit: int = 2048, end_
         t = t.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
         yield from t.to_batches(max_chunksize=50_000)
 
-    dealt = pieces.repartition(int(tasks), F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions(*names)
+    dealt = pieces.repartition(int(tasks)).sortWithinPartitions(*names)
     return dealt.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

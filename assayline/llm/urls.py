@@ -103,6 +103,9 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     nodes = judged.select("node", "component").join(per_group, "component")
     host, path = host_and_path(F.col("url"))
     own = pages.select("page_id", host.alias("host"), path.alias("path"), url_key(F.col("url")).alias("node"))
-    own = own.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).join(nodes, "node", "left")
+    own = own.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
+    # pages without a url have no links; they would all meet in one task of the join
+    linked = own.where("node is not null").join(nodes, "node", "left")
+    own = linked.unionByName(own.where("node is null"), allowMissingColumns=True)
     verdict = F.coalesce("r.action", F.when(F.col("blocked"), "block"), F.lit("allow"))
     return own.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "component")

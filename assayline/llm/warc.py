@@ -52,17 +52,22 @@ def resolve_revisits(captures: DataFrame, bucket_seconds: int = 86_400) -> DataF
 
     Other kinds are returned as missing. The as-of join is split by (url, time
     bucket): a bucket's last response is carried forward over the far fewer
-    bucket rows, so one busy url is spread over its buckets. Only ids and
-    headers move, never payloads. Repeated rows each get a row.
+    bucket rows, so one busy url is spread over its buckets. Rows without a url or
+    time take no part in it, however many they are. Only ids and headers move,
+    never payloads. Repeated rows each get a row.
     """
     rows = captures.select(
         "record_id", "captured_at", "kind", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"),
         canonical_url(F.col("url")).alias("canonical_url"),
     )
-    rows = rows.withColumn("bucket", F.floor(F.unix_timestamp("captured_at") / bucket_seconds))
-    key = [F.coalesce("canonical_url", F.lit("")).alias("k"), F.coalesce("bucket", F.lit(0)).alias("b")]
     usable = F.col("canonical_url").isNotNull() & F.col("captured_at").isNotNull()
-    candidate = F.when((F.col("kind") == "response") & usable, F.struct("captured_at", "record_id", "headers"))
+    response = F.col("kind") == "response"
+    lost = rows.where(~usable).select(
+        "record_id", "canonical_url", "kind", F.when(response, F.col("record_id")).alias("ref_id"), F.when(response, "full").otherwise("missing").alias("outcome"), "headers",
+    )
+    rows = rows.where(usable)
+    key = [F.col("canonical_url").alias("k"), F.floor(F.unix_timestamp("captured_at") / bucket_seconds).alias("b")]
+    candidate = F.when(response, F.struct("captured_at", "record_id", "headers"))
     rows = rows.select("*", *key).withColumn("own", candidate)
     order = F.struct("own.captured_at", "own.record_id")
     last = rows.where("own is not null").groupBy("k", "b").agg(F.max_by("own", order).alias("last"))
@@ -79,7 +84,7 @@ def resolve_revisits(captures: DataFrame, bucket_seconds: int = 86_400) -> DataF
     found = joined.alias("j").join(refs.alias("r"), on, "left").select("j.*", "r.ref", "r.ref_headers")
     ref_id = F.coalesce("ref", "carried.record_id")
     stored = F.coalesce("ref_headers", "carried.headers")
-    ok = (F.col("kind") == "revisit") & F.col("canonical_url").isNotNull() & F.col("captured_at").isNotNull()
+    ok = F.col("kind") == "revisit"
     found = found.withColumn("ref_id", F.when(ok, ref_id)).withColumn("stored", F.when(ok, stored))
     tag, tag0 = F.try_element_at("headers", F.lit("etag")), F.try_element_at("stored", F.lit("etag"))
     mod, mod0 = F.try_element_at("headers", F.lit("last-modified")), F.try_element_at("stored", F.lit("last-modified"))
@@ -94,10 +99,11 @@ def resolve_revisits(captures: DataFrame, bucket_seconds: int = 86_400) -> DataF
     fresh = F.map_filter("headers", lambda k, _: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter("stored", lambda k, _: ~F.array_contains(F.map_keys(fresh), k)), fresh)
     found = found.withColumn("outcome", outcome)
-    return found.select(
+    found = found.select(
         "record_id", "canonical_url", "kind", F.when(F.col("kind") == "response", F.col("record_id")).otherwise(F.col("ref_id")).alias("ref_id"), "outcome",
         F.when(F.col("outcome").isin("resolved", "unchecked"), merged).otherwise(F.col("headers")).alias("headers"),
     )
+    return found.unionByName(lost)
 
 
 def captures_of(pages: DataFrame) -> DataFrame:

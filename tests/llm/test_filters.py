@@ -119,3 +119,35 @@ def test_canonical(spark, url, key):
     if url.startswith("//"):
         url = "http:" + url
     assert spark.createDataFrame([(url,)], "u string").select(warc.canonical_url(F.col("u"))).first()[0] == key
+
+
+def test_revisits_without_urls_and_with_long_texts(spark):
+    """Rows without a url or time never meet in a join; their results are as ever. Very long urls and headers pass through."""
+    long = "http://a.com/" + "p" * 100_000
+    rows = [(i, None if i % 3 else long, None if i % 2 else at(1), "response" if i % 5 else "revisit", {"etag": "e" * 50_000} if i == 30 else {"etag": '"1"'}) for i in range(1, 400)] + [(1000, long, at(2), "revisit", {"etag": '"1"'})]
+    df = spark.createDataFrame(rows, "record_id bigint, url string, captured_at timestamp, kind string, headers map<string,string>")
+    found = warc.resolve_revisits(df)
+    got = {r.record_id: (r.ref_id, r.outcome) for r in found.collect()}
+    assert len(got) == len(rows) and got[1000] == (396, "resolved")
+    for i, url, when, kind, _ in rows[:-1]:
+        if kind == "response":
+            assert got[i] == (i, "full")
+        elif url is None or when is None:
+            assert got[i] == (None, "missing")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan
+
+
+def test_urls_without_links_and_with_long_texts(spark):
+    long = "http://net/" + "x" * 200_000
+    rows = [(i, None, "x") for i in range(500)] + [(1000, long, "y" * 500_000), (1001, "http://far.org/", f'<link rel="canonical" href="{long}">')]
+    got = {r.page_id: (r.host, r.rule, r.verdict, r.component) for r in urls.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string"), queries.RULES).collect()}
+    assert len(got) == len(rows) and all(got[i] == ("", None, "allow", None) for i in range(500))
+    assert got[1000][:3] == ("net", "net/", "block") and got[1001][:3] == ("far.org", None, "block")
+
+
+def test_licences_in_a_long_text(spark):
+    name, text = licenses.TEMPLATES[0]
+    rows = [(1, "filler words " * 30_000 + text + " more" * 20_000), (2, "filler words " * 30_000)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.license) for r in got} == {(1, name)} and got[0].containment == 1.0

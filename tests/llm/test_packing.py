@@ -73,6 +73,16 @@ def test_pack(spark, tokenizer):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_copies_are_dealt_evenly(spark):
+    """Many repeated rows are shared by all tasks, which a bound of rows makes more than one."""
+    df = spark.range(30_000).selectExpr("cast(null as bigint) as doc_id", "cast(null as string) as text").unionByName(spark.createDataFrame([(i, "word " * (i % 90)) for i in range(500)], "doc_id bigint, text string"))
+    got = packing.pack(df, rows_per_task=4000).collect()
+    sizes = {}
+    for r in got:
+        sizes[r.sequence_id >> 40] = sizes.get(r.sequence_id >> 40, 0) + 1
+    assert len(got) == 30_500 and len(sizes) == 8 and max(sizes.values()) <= 4 * np.median(list(sizes.values()))
+
+
 def test_stages(spark):
     docs = table(spark, SF, "documents")
     names = [n for n, _ in corpus_pipeline.STAGES]

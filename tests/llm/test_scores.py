@@ -150,3 +150,64 @@ def test_one_known_word_does_not_decide_a_long_text(spark):
     got = {r.doc_id: r for r in toxicity.scores(docs, labels, F.lit(True)).where("doc_id >= 1000").collect()}
     assert got[1000].predicted == 1 and got[1001].evidence[0].cosine < 0.1 < 0.5 < got[1000].evidence[0].cosine
     assert not got[1002].evidence
+
+
+def _statistics(text):
+    """The statistics of `quality`, counted one character and word at a time."""
+    def share(k, of):
+        return float(np.log((k + 0.5) / (of - k + 0.5)))
+
+    data, words, word = text.encode(), [], b""
+    for b in data:
+        if b in b" \t\n\r\x0b\x0c":
+            words, word = (words + [word] if word else words), b""
+        else:
+            word += bytes([b])
+    words = words + [word] if word else words
+    lines = [x for x in text.split("\n") if x.strip(" \t\r\x0b\x0c")]
+    upper, letters = sum(65 <= b <= 90 for b in data), sum(65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in data)
+    counts = [sum(b in s for b in data) for s in (b"0123456789", b".,;:?", b"!#$%&*+/<=>@[\\]^_`{|}~", b" \t\n\r\x0b\x0c")] + [sum(b >= 128 for b in data)]
+    distinct, pairs = [], []
+    for i, w in enumerate(words):
+        if w not in distinct:
+            distinct.append(w)
+        if i and (words[i - 1], w) not in pairs:
+            pairs.append((words[i - 1], w))
+    odd = sum(w[-1] < 128 and not chr(w[-1]).isalnum() and w[-1] not in b".,;:?!" for w in words)
+    n, size = len(words), len(data)
+    return [np.log1p(n), np.log1p(size / max(n, 1)), share(upper, letters), *(share(k, size) for k in counts), share(len(distinct), n), share(max((words.count(w) for w in distinct), default=0), n), share(len(pairs), max(n - 1, 0)), share(len(lines) - len({*lines}), len(lines)), np.log1p(n / max(len(lines), 1)), share(odd, n)]
+
+
+TEXTS = [None, "", " \n\t ", "A", "one two two\ntwo ünïcode 10% <b>", "same line\nsame line\n\nsame line", "x" * 300, "tie tie a a, b; c! d? (e) f_ g-", "long " * 20_000 + "END."]
+
+
+def test_statistics_by_brute_force():
+    for text in TEXTS:
+        np.testing.assert_allclose(quality.statistics(None if text is None else text.encode()), _statistics(text or ""), rtol=1e-12)
+
+
+def test_quality_score_by_brute_force(spark):
+    """Moments summed by tasks, shrinkage and densities of the whole query, from numpy over all rows; repeated rows, ties of labels and long texts among them."""
+    rng = np.random.default_rng(6)
+    made = [" ".join(rng.choice(["word", "Other", "the", "10", "fine,", "odd_"], rng.integers(3, 60))) + ("\nspam!! <x>" * int(rng.integers(1, 9)) if i % 3 == 0 else ".") for i in range(150)]
+    rows = [*enumerate(made), *((200 + i, t) for i, t in enumerate(TEXTS)), (5, made[5]), (None, "lost")]
+    given = [(i, int(i % 3 > 0)) for i in range(120)] + [(7, 0), (6, 1), (None, 1), (8, None), (200, 0), (201, 1), (208, 1)]
+    out = quality.scores(spark.createDataFrame(rows, "doc_id int, text string").repartition(5), spark.createDataFrame(given, "doc_id int, label int"), F.coalesce(F.col("doc_id") % 11 != 0, F.lit(True)))
+    truth = {}
+    for i, y in given:
+        if i is not None and i % 11 and y in (0, 1):
+            truth[i] = max(y, truth.get(i, 0))
+    x = np.array([_statistics(t or "") for _, t in rows])
+    y = np.array([truth.get(i, -1) if i is not None else -1 for i, _ in rows])
+    parts = [x[y == c] for c in (0, 1)]
+    scatter = [np.cov(p.T, ddof=0) * len(p) for p in parts]
+    pooled = sum(scatter) / sum(map(len, parts))
+    dens = []
+    for p, s in zip(parts, scatter, strict=True):
+        cov = 0.9 * s / len(p) + 0.1 * pooled
+        cov = 0.95 * cov + 0.05 * np.diag(np.maximum(np.diag(pooled), 1e-6))
+        d = x - p.mean(0)
+        dens.append(np.log((len(p) + 0.5) / (len(parts[0]) + len(parts[1]) + 1)) - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) - 0.5 * np.linalg.slogdet(cov)[1])
+    want = 1 / (1 + np.exp(np.clip(dens[0] - dens[1], -700, 700)))
+    got = sorted((r.doc_id if r.doc_id is not None else -1, round(r.score, 7), r.predicted) for r in out.collect())
+    assert got == sorted((i if i is not None else -1, round(float(s), 7), int(s >= 0.3)) for (i, _), s in zip(rows, want, strict=True))
