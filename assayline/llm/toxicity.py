@@ -18,7 +18,7 @@ from assayline.llm.common import durable
 
 #: Bytes that end a word become spaces: all ASCII but digits and letters.
 _SEPARATE = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-PREFIXES = (4, 5, 6)
+PREFIXES = (4,)
 #: Places for the terms that no example has, by hash.
 _OTHERS = 1 << 18
 
@@ -58,6 +58,17 @@ def _alike(x: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _mixed(i: int, weights: np.ndarray) -> np.ndarray:
+    """128 bits for each weight of example i, to nine digits."""
+    x = np.round(weights * 1e9).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i * 0xC2B2AE3D27D4EB4F % (1 << 64))
+    out = np.empty((len(x), 2), np.uint64)
+    for k, (a, b) in enumerate(((0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53), (0xBF58476D1CE4E5B9, 0x94D049BB133111EB))):
+        y = (x ^ (x >> np.uint64(31 + k))) * np.uint64(a)
+        y = (y ^ (y >> np.uint64(29))) * np.uint64(b)
+        out[:, k] = y ^ (y >> np.uint64(32))
+    return out
+
+
 @dataclass
 class Index:
     """Unit TF-IDF vectors of the examples as a block-max inverted index.
@@ -68,6 +79,10 @@ class Index:
     the peaks bound every cosine of a block, so that blocks which can't hold
     one of the k nearest are passed over unread.
 
+    Terms that occur equally often in the same examples, as a word and its
+    beginnings often do, share one posting list: it holds weights without idf,
+    and a text's terms of one list add theirs.
+
     idf: each term's weight, a share of its inverse document frequency; terms from
     the `known`-th on are those that no example has, which count in norms only.
     """
@@ -96,14 +111,22 @@ class Index:
 
     def add(self, vectors: Sequence[Vector]) -> None:
         """vectors: terms and weights of each example, in the order of ids; read one at a time, so that they need not be held."""
-        n, many = len(vectors), self.known
-        mix = np.random.default_rng(0).standard_normal((many, 8), np.float32)
-        near, df = np.zeros((n, 8), np.float32), np.zeros(many, np.int64)
+        n, terms_ = len(vectors), self.known
+        mix = np.random.default_rng(0).standard_normal((terms_, 8), np.float32)
+        near, times, sign = np.zeros((n, 8), np.float32), np.zeros(terms_, np.int64), np.zeros((terms_, 2), np.uint64)
         for i in range(n):
             t, v = vectors[i]
-            df[t] += 1
+            times[t] += 1
             near[i] = v.astype(np.float32) @ mix[t]
+            sign[t] += _mixed(i, v / self.idf[t])
         del mix
+        # terms of one list have one sum of 128-bit hashes of their postings
+        _, first, self.list = np.unique(np.column_stack((sign, times.astype(np.uint64))), axis=0, return_index=True, return_inverse=True)
+        self.list = self.list.ravel().astype(np.int64)
+        many, df = len(first), times[first]
+        own_list = np.full(terms_, -1, np.int64)
+        own_list[first] = np.arange(many)
+        del sign, times
         self.example = _alike(near, self.block) if n else np.empty(0, np.int64)  # by slot
         frequent = df > self.common * n
         head = int(frequent.sum())
@@ -119,6 +142,9 @@ class Index:
         free, at = self.starts[:-1].copy(), 0
         for slot, i in enumerate(self.example.tolist()):
             t, v = vectors[i]
+            v = v / self.idf[t]
+            own = own_list[t] >= 0
+            t, v = own_list[t[own]], v[own]
             c = self.column[t]
             own = c >= 0
             matrix[slot, c[own]] = v[own]
@@ -145,6 +171,7 @@ class Index:
         slot = np.empty(len(self.example) + 1, np.int64)
         slot[self.example] = np.arange(len(self.example))
         slot[-1] = -1
+        vectors = [self._listed(t, v) for t, v in vectors]
         out: list[list[tuple[float, int]]] = []
         at = held = 0
         for i, (t, _) in enumerate(vectors):  # long texts have many postings, so a batch ends by these too
@@ -154,6 +181,11 @@ class Index:
                 at, held = i + 1, 0
         return out
 
+    def _listed(self, t: np.ndarray, v: np.ndarray) -> Vector:
+        """A text's posting lists and what its terms weigh there together."""
+        lists, at = np.unique(self.list[t], return_inverse=True)
+        return lists, np.bincount(at, v * self.idf[t], len(lists))
+
     def _nearest(self, vectors: list[Vector], skips: np.ndarray) -> list[list[tuple[float, int]]]:
         m, blocks, slack = len(vectors), len(self.matrix), 1e-5
         if not self.size:
