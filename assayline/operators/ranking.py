@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +21,9 @@ def _best_first(seq: str) -> list[Column]:
 
 
 def best_by(metrics: DataFrame, keys: Sequence[str], seq: str = "splitId") -> DataFrame:
-    """The best row of each key."""
-    return metrics.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*_best_first(seq)))).where("rn = 1").drop("rn")
+    """The best row of each key, found by an aggregate: a task passes on one row a key."""
+    rp2, rmsep = or_null(F.col("Rp2")), or_null(F.col("RMSEP"))
+    return _least(metrics, keys, F.struct(rp2.isNull(), -rp2, rmsep.isNull(), rmsep, F.col(seq)))
 
 
 def top_n(metrics: DataFrame, n: int = 50, seq: str = "splitId") -> DataFrame:
@@ -50,8 +50,13 @@ def fixed_schema(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def first_of_each(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("rn = 1").drop("rn")
+    """The first row of each key, nulls first, by an aggregate."""
+    return _least(rows, keys, F.struct(*order))
+
+
+def _least(rows: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
+    whole = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), order)
+    return rows.groupBy(*keys).agg(whole.alias("_row")).select("_row.*")
 
 
 def prediction_details(predictions: DataFrame) -> DataFrame:

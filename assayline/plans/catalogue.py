@@ -226,12 +226,16 @@ def _list_sql(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-@query(f"""
-SELECT a AS algorithm, {_list_sql(CONFIG.transforms)}[yi + 1] AS y_transform, {_list_sql(CONFIG.recipes)}[pi + 1] AS preprocess, [0.75::DOUBLE, 0.80::DOUBLE, 0.85::DOUBLE][ri + 1] AS train_ratio, rep::INT AS repeat_id, (((yi * 28 + pi) * 3 + ri) * 10 + rep)::BIGINT AS split_id
-FROM unnest({_list_sql(CONFIG.algorithms)}) AS t(a), unnest(range(4)) AS y(yi), unnest(range(28)) AS p(pi), unnest(range(3)) AS r(ri), unnest(range(1, 11)) AS k(rep)
+@query(f"""WITH {REFERENCE_SQL},
+g AS (SELECT target, max(value) > min(value) AS varies, min(value) >= 0 AS positive FROM ref GROUP BY target),
+t AS (SELECT target, a, yi FROM g, unnest({_list_sql(CONFIG.algorithms)}) AS t(a), unnest(range(4)) AS y(yi) WHERE {_list_sql(CONFIG.transforms)}[yi + 1] = 'standard' OR varies AND ({_list_sql(CONFIG.transforms)}[yi + 1] = 'raw' OR positive))
+SELECT target, a AS algorithm, {_list_sql(CONFIG.transforms)}[yi + 1] AS y_transform, {_list_sql(CONFIG.recipes)}[pi + 1] AS preprocess, [0.75::DOUBLE, 0.80::DOUBLE, 0.85::DOUBLE][ri + 1] AS train_ratio, rep::INT AS repeat_id, (((yi * 28 + pi) * 3 + ri) * 10 + rep)::BIGINT AS split_id
+FROM t, unnest(range(28)) AS p(pi), unnest(range(3)) AS r(ri), unnest(range(1, 11)) AS k(rep)
 """)
 def factorial_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.factorial(spark, CONFIG)
+    """The tasks of a study of each target: the factorial over the transforms that the target's values allow."""
+    able = response.eligible(views.reference(spark, sf_dir), ["target"]).where("eligible").select("target", F.col("transform").alias("y_transform"))
+    return splits.factorial(spark, CONFIG).join(able, "y_transform")
 
 
 # --- selection -----------------------------------------------------------------------------------
@@ -484,7 +488,7 @@ UNION ALL SELECT 'embeddings_nulls', '0', (count(*) FILTER (embedding IS NULL)):
 UNION ALL SELECT 'embeddings_unique', '0', (count(*) - count(DISTINCT vec_id))::VARCHAR, count(*) = count(DISTINCT vec_id) FROM embeddings
 UNION ALL SELECT 'labels_values', '0', (count(*) FILTER (quality NOT IN (0, 1) OR toxic NOT IN (0, 1)))::VARCHAR, count(*) FILTER (quality NOT IN (0, 1) OR toxic NOT IN (0, 1)) = 0 FROM labels
 UNION ALL SELECT 'labels_in_documents', '0', (SELECT count(*) FROM labels ANTI JOIN documents USING (doc_id))::VARCHAR, (SELECT count(*) FROM labels ANTI JOIN documents USING (doc_id)) = 0
-UNION ALL SELECT 'evaluations', '806400', '806400', true
+UNION ALL SELECT 'evaluations', '806400', (count(DISTINCT lang) * 2 * 100800)::VARCHAR, count(DISTINCT lang) * 2 * 100800 = 806400 FROM documents
 UNION ALL SELECT 'han_characters', '0', (count(*) FILTER (regexp_matches(text, '[\x{4e00}-\x{9fff}]')))::VARCHAR, count(*) FILTER (regexp_matches(text, '[\x{4e00}-\x{9fff}]')) = 0 FROM documents
 """)
 def validator_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -498,7 +502,7 @@ def validator_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         check(e.agg((F.count("*") - F.count_distinct("vec_id")).alias("actual")), "embeddings_unique", "0"),
         check(labels.agg(F.count_if(bad).alias("actual")), "labels_values", "0"),
         check(labels.join(docs.select("doc_id"), "doc_id", "left_anti").agg(F.count("*").alias("actual")), "labels_in_documents", "0"),
-        check(spark.range(1).select(F.lit(8 * CONFIG.evaluations).alias("actual")), "evaluations", "806400"),
+        check(docs.agg((F.count_distinct("lang") * 2 * CONFIG.evaluations).alias("actual")), "evaluations", "806400"),  # two responses a language
         check(docs.agg(F.count_if(F.col("text").rlike("[\\u4e00-\\u9fff]")).alias("actual")), "han_characters", "0"),
     ]
     out = rows[0]

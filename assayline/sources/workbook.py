@@ -60,34 +60,33 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
 def write_sheets(path: str, tables: dict[str, DataFrame], max_rows: int = 1_000_000) -> list[str]:
     """Write report tables as sheets of a local workbook and return the sheets' names.
 
-    Rows come through an iterator, a partition at a time; what exceeds max_rows
-    goes on in sheets with _2, _3 and so on. Names are cut to 31 characters,
-    without those that sheets forbid.
+    Rows come through an iterator, a partition at a time, and go straight into
+    the file; what exceeds max_rows goes on in sheets with _2, _3 and so on.
+    Names are cut to 31 characters, without those that sheets forbid.
     """
-    names, parts = [], []
-    for name, df in tables.items():
-        base = re.sub(r"[\[\]:*?/\\]", "_", name)[:31] or "Sheet"
-        head = [_row(1, df.columns)]
-        lines, n, k = list(head), 0, 1
-        for r in df.toLocalIterator():
-            if n == max_rows:
-                names.append(_suffixed(base, k))
-                parts.append(lines)
-                lines, n, k = list(head), 0, k + 1
-            n += 1
-            lines.append(_row(n + 1, [None if v is None else v for v in r]))
-        names.append(_suffixed(base, k) if k > 1 else base)
-        parts.append(lines)
+    names: list[str] = []
     kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        sheets = range(1, len(parts) + 1)
+        for name, df in tables.items():
+            base = re.sub(r"[\[\]:*?/\\]", "_", name)[:31] or "Sheet"
+            rows, k = df.toLocalIterator(), 0
+            row = next(rows, None)
+            while row is not None or not k:
+                n, k = 1, k + 1
+                with z.open(f"xl/worksheets/sheet{len(names) + 1}.xml", "w", force_zip64=True) as sheet:
+                    sheet.write(f'<worksheet xmlns="{_NS["m"]}"><sheetData>{_row(1, df.columns)}'.encode())
+                    while row is not None and n <= max_rows:
+                        n += 1
+                        sheet.write(_row(n, row).encode())
+                        row = next(rows, None)
+                    sheet.write(b"</sheetData></worksheet>")
+                names.append(_suffixed(base, k) if row is not None or k > 1 else base)
+        sheets = range(1, len(names) + 1)
         z.writestr("[Content_Types].xml", '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>' + f'<Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in sheets) + "</Types>")
         z.writestr("_rels/.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{_NS["m"]}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="r{i}"/>' for i, n in zip(sheets, names, strict=True)) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in sheets) + "</Relationships>")
-        for i, lines in zip(sheets, parts, strict=True):
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{_NS["m"]}"><sheetData>' + "".join(lines) + "</sheetData></worksheet>")
     return names
 
 
