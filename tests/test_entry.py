@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from assayline.plans import closed_forms
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["calibration_1var", "metrics_by_group", "pre_msc_sg", "outer_split_native", "population_audit", "crs_scores", "mad_outliers", "one_se_select", "feature_combined"] + [f"fixed_{m}" for m in closed_forms.MODELS]
+NAMES = ["calibration_1var", "metrics_by_group", "pre_msc_sg", "outer_split_native", "population_audit", "crs_scores", "mad_outliers", "one_se_select", "feature_combined", "knn_join", "ridge_one_se", "kennard_stone", "mccv_whole_table", "crs_sensitivity", "observed_progress", "digest_orders", "validator_report"] + [f"fixed_{m}" for m in closed_forms.MODELS]
 
 
 def test_entry(spark):
