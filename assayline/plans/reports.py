@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from assayline import __version__
 from assayline.config import Config
 from assayline.operators import population
-from assayline.plans import progress, study
+from assayline.plans import progress, study, validate
 from assayline.sources import digests, results, tables, workbook
 
 
@@ -72,6 +72,33 @@ def run_files(spark: SparkSession, spectra_path: str, reference_path: str, confi
     return out
 
 
+def validate_files(spark: SparkSession, folder: str, specification_path: str, config: Config, manifest_path: str | None = None, included: dict[str, int] | None = None, total: int = 0, max_bytes: int = 25 * 1024 * 1024) -> DataFrame:
+    """(check_name, expected, actual, passed): every check of a package of files, whether it passes or not.
+
+    No file of the folder has max_bytes or more, none has forbidden characters;
+    the JSON specification (recipes, transforms, algorithms, ratios, repeats)
+    agrees with the settings in each entry it has; a manifest (CSV with
+    abbreviation and status) has as many included samples of each analyte as
+    `included` says and `total` of each in all.
+    """
+    found = validate.file_report(tables.files(spark, folder), max_bytes)
+    one = found.agg(F.count_if("too_large").alias("large"), F.count_if("forbidden_text").alias("forbidden"))
+    rows = [validate.check(one.select(F.col("large").alias("actual")), "files_too_large", "0"), validate.check(one.select(F.col("forbidden").alias("actual")), "files_with_forbidden_text", "0")]
+    spec = tables.specification(spark, specification_path)
+    for name in ("recipes", "transforms", "algorithms", "ratios", "repeats"):
+        if name in spec.columns:
+            want = getattr(config, name)
+            rows.append(validate.check(spec.select(F.to_json(F.struct(F.col(name).alias("v"))).alias("actual")), f"specification_{name}", json.dumps({"v": want}, separators=(",", ":"))))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    if manifest_path:
+        counts = validate.published_counts(tables.read_wide(spark, manifest_path), included or {}, total)
+        both = F.concat_ws(" of ", "included", (F.col("included") + F.col("excluded")).cast("string"))
+        out = out.unionByName(counts.select(F.concat(F.lit("samples "), "abbreviation").alias("check_name"), F.concat_ws(" of ", "expected", F.lit(total)).alias("expected"), both.alias("actual"), "passed"))
+    return out
+
+
 def screen_files(spark: SparkSession, spectra_path: str, reference_path: str, config: Config, workbook_path: str | None = None, manifest_folder: str | None = None) -> dict[str, DataFrame]:
     """The Monte-Carlo screen from files; Summary, Manifest and Diagnostics, also as a workbook if a local path is given; the manifest as CSV with a byte order mark in manifest_folder/Manifest."""
     spectra, reference, _ = load(spark, spectra_path, reference_path)

@@ -106,6 +106,10 @@ def test_specification_and_folder_reports(spark, tmp_path):
     (tmp_path / "folder" / "deep" / "b.txt").write_text("\u6587\u5b57" + "x" * 50, encoding="utf-8")
     got = {r.path.rsplit("/", 1)[1]: (r.too_large, r.forbidden_text) for r in validate.file_report(tables.files(spark, str(tmp_path / "folder")), max_bytes=40).collect()}
     assert got == {"a.txt": (False, False), "b.txt": (True, True)}
+    (tmp_path / "release.json").write_text('{"ratios": [0.75], "repeats": 2, "recipes": ["RAW", "SNV"], "title": "x"}')
+    (tmp_path / "manifest.csv").write_text("abbreviation,sample,status\nEA,S1,included\nEA,S2,excluded\nEB,S1,included\nEB,S2,included\n")
+    checks = reports.validate_files(spark, str(tmp_path / "folder"), str(tmp_path / "release.json"), CFG, str(tmp_path / "manifest.csv"), {"EA": 1, "EB": 1}, 2, max_bytes=40)
+    assert {r.check_name: r.passed for r in checks.collect()} == {"files_too_large": False, "files_with_forbidden_text": False, "specification_ratios": True, "specification_repeats": False, "specification_recipes": True, "samples EA": True, "samples EB": False}
     m = spark.createDataFrame([("EA", "included")] * 3 + [("EA", "excluded")] + [("EB", "included")] * 4, "abbreviation string, status string")
     assert {r.abbreviation: r.passed for r in validate.published_counts(m, {"EA": 3, "EB": 3, "EC": 0}, 4).collect()} == {"EA": True, "EB": False, "EC": False}
 
