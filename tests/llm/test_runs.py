@@ -56,6 +56,22 @@ def test_awkward_rows(spark):
     assert periodic_runs(spark.createDataFrame([], "doc_id string, text string")).count() == 0
 
 
+def test_query_on_texts_without_words(spark, tmp_path):
+    """Texts without words whose ids are among those that get a periodic ending stay empty."""
+    import hashlib
+    import zlib
+
+    from assayline.llm.queries import op13_periodic_runs
+
+    mine = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:4]
+    texts = dict(zip(mine, ("", " \t\n", None, "a b"), strict=True))
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op13_periodic_runs(spark, str(tmp_path)).collect()}
+    empty = hashlib.sha256(b"").hexdigest()
+    assert set(got) == set(mine) and all(r.n_runs == 0 and r.start is None for r in got.values())
+    assert [got[i].collapsed_sha256 == empty for i in mine] == [True, True, True, False] and all(r.runs_sha256 == empty for r in got.values())
+
+
 @pytest.mark.parametrize("text,kept", [(b"a b a b a b a b c", b"a b c"), (b"c c c c c c d d d d d d", b"c d"), (b"one two", b"one two")])
 def test_collapse(text, kept):
     import numpy as np
