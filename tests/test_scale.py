@@ -71,6 +71,29 @@ def test_nearest_is_exact(spark, case):
         assert c.pairs_compared < 0.6 * c.pairs_of_all
 
 
+def test_distances_and_neighbours_by_chunks(spark):
+    """A key of many chunks gives every pair once; no task meets more than a chunk of either side."""
+    rng = np.random.default_rng(6)
+    left = [(i % 2, i, [float(v) for v in rng.normal(size=3)]) for i in range(90)] + [(None, 900, [0.0] * 3), (1, 901, None), (1, 902, [1.0, None, 2.0]), (7, 903, [0.0] * 3)]
+    right = [(i % 2, 1000 + i, [float(v) for v in np.round(rng.normal(size=3), 1)], float(i)) for i in range(130)] + [(1, 2001, [1.0], 3.0), (None, 2002, [0.0] * 3, 1.0)]
+    a, b = spark.createDataFrame(left, "g int, sample_id bigint, x array<double>"), spark.createDataFrame(right, "g int, other bigint, x2 array<double>, value double")
+    got = neighbours.distances(a, b, ["g"], tile=16)
+    assert "CartesianProduct" not in got._jdf.queryExecution().executedPlan().toString() and "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    flat = lambda v, n: v is not None and len(v) == n and None not in v
+    want = {(g, i, j): float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())) if flat(v, 3) and flat(w, 3) else None for g, i, v in left for h, j, w, _ in right if g is not None and g == h}
+    out = got.collect()
+    assert len(out) == len(want) and all(want[r.g, r.sample_id, r.other] is None if r.dist is None else abs(r.dist - want[r.g, r.sample_id, r.other]) < 1e-12 for r in out)
+    every = neighbours.distances(a.drop("g"), b.drop("g", "value"), [], tile=16)
+    assert every.columns == ["sample_id", "other", "dist"] and every.count() == len(left) * len(right) and every.distinct().count() == len(left) * len(right)
+    near = {r.sample_id: r for r in neighbours.weighted_knn(a, b.where("size(x2) = 3"), ["g"], 4, tile=16).collect()}
+    assert set(near) == {i for g, i, v in left if g in (0, 1) and flat(v, 3)}
+    value = {j: v for _, j, _, v in right}
+    for g, i, _ in (p for p in left if p[1] in near):
+        best = sorted((d, j) for (h, s, j), d in want.items() if (h, s) == (g, i) and d is not None)[:4]
+        w = [1 / max(d, 1e-12) for d, _ in best]
+        assert near[i].neighbours == 4 and abs(near[i].predicted - sum(p * value[j] for p, (_, j) in zip(w, best, strict=True)) / sum(w)) < 1e-9
+
+
 def test_nearest_of_nothing(spark):
     a, b = spark.createDataFrame([(1, [1.0])], "sample_id bigint, x array<double>"), spark.createDataFrame([], "other bigint, x2 array<double>")
     assert neighbours.nearest(a, b, 3)[0].count() == 0
