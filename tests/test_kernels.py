@@ -1,11 +1,14 @@
 """Kernels against closed forms, optimality conditions and held-out accuracy."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
 from assayline.config import Config
 from assayline.operators.evaluate import evaluate, feature_count, screened, select
 from assayline.operators.kernels import linear, registry, similarity, trees
+from assayline.operators.kernels.base import Task, backward, cholesky, forward, kernel_product, squared_distances
 
 
 def made(n):
@@ -127,3 +130,54 @@ def test_selection():
 def test_ineligible_transform(data):
     x, y = data
     assert "log1p" in evaluate(x, y - 100, np.arange(48) % 4 != 0, "RAW", "log1p", "PLS", AXIS, FAST, ())["error"]
+
+
+def test_solvers_by_blocks():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(700, 5)), rng.normal(size=(700, 2))
+    k = np.exp(-0.1 * squared_distances(x, x)) + 0.3 * np.eye(700)
+    low = cholesky(np.tril(k))
+    assert np.allclose(np.tril(low), np.linalg.cholesky(k), atol=1e-10)
+    assert np.allclose(backward(low, forward(low, y)), np.linalg.solve(k, y), atol=1e-10)
+    assert np.allclose(kernel_product(x[:300], x, lambda d: np.exp(-d), y), np.exp(-squared_distances(x[:300], x)) @ y)
+    with pytest.raises(np.linalg.LinAlgError):
+        cholesky(k - 2 * np.eye(700))
+
+
+@pytest.mark.parametrize("name", ["KRR-RBF", "RBF-LS-SVM", "PLS-LSSVM", "GPR-SE", "SVR-Linear", "KNN"])
+def test_no_solver_takes_a_whole_kernel(name, monkeypatch):
+    """No kernel matrix of all rows is decomposed, solved or sorted at once."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 6))
+    y = 20 + x @ rng.normal(size=6) + 0.1 * rng.normal(size=400)
+    largest = {"solve": 0, "eigh": 0, "argsort": 0}
+
+    def watched(module, what):
+        real = getattr(module, what)
+
+        def run(a, *rest, **named):
+            if np.ndim(a) == 2:
+                largest[what] = max(largest[what], np.shape(a)[0])
+            return real(a, *rest, **named)
+
+        monkeypatch.setattr(module, what, run)
+
+    watched(np.linalg, "solve"), watched(np.linalg, "eigh"), watched(np, "argsort")
+    if name == "GPR-SE":
+        monkeypatch.setattr(similarity, "_simplex", lambda f, start: min((start, start + 0.5), key=f))
+    cfg = replace(Config(), level="fast", inner_repeats=1)
+    predict = registry.fit(name, Task(x, y, "raw", cfg, 1))
+    assert np.isfinite(predict(x)).all() and largest["solve"] <= 256 and not largest["eigh"] and not largest["argsort"]
+
+
+def test_svr_options_together():
+    """Options that step together end where each ends alone, also along a kernel's rank only."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 4))
+    y = x @ rng.normal(size=4) + 0.05 * rng.normal(size=60)
+    q, s, _ = np.linalg.svd(x, full_matrices=False)
+    c, eps = np.array([0.3, 3.0, 30.0]), np.array([0.03, 0.1, 0.03])
+    beta, b = similarity.svr_duals(s * s, q, y, c, eps)
+    for i in range(3):
+        one, bias = similarity.svr_dual(x @ x.T, y, c[i], eps[i])
+        assert np.allclose(x @ (x.T @ beta[:, i]) + b[i], x @ (x.T @ one) + bias, atol=1e-5)

@@ -91,6 +91,14 @@ def test_study_screens_and_resumes_within_targets(spark, folder):
     assert sorted(map(repr, rest)) == sorted(repr(r) for r in whole if r.preprocess != "RAW")
     plan = study.run_study(spectra, ref, axis, cfg)._jdf.queryExecution().executedPlan().toString()
     assert all("x#" not in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+    # beyond a broadcast's size groups are dealt to tasks again, in a number that isn't coalesced
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    large = study.run_study(spectra, ref, axis, cfg, tasks_per_group=2).drop("elapsed_sec")
+    try:
+        assert large._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") > plan.count("REPARTITION_BY_NUM") > 0
+        assert sorted(map(repr, large.collect())) == sorted(map(repr, whole))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     out = study.summarise(study.run_study(spectra, ref, axis, cfg), cfg, axis)
     o = out["OutlierManifest"].first()
     assert o.nCalibrationRaw == o.nCalibrationUsed + o.nCalibrationExcluded
