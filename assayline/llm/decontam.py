@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from assayline.llm.common import ascii_lower, durable
 
-#: A word, after A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word, after A-Z are lower-cased: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ said by what is in it, letters first, which takes fewer tests a character.
+WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
 #: One word with what stands around it, A-Z not lower-cased yet.
-_ONE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
+_ONE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[a-zA-Z0-9\x{80}-\x{10FFFF}]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 
 
 def word_array(text: Column) -> Column:

@@ -151,3 +151,17 @@ def test_licences_in_a_long_text(spark):
     rows = [(1, "filler words " * 30_000 + text + " more" * 20_000), (2, "filler words " * 30_000)]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {(r.doc_id, r.license) for r in got} == {(1, name)} and got[0].containment == 1.0
+
+
+def test_word_class_is_the_contracts(spark):
+    """Words said by what is in them are those of the contract's class, for every kind of character; the positive class is what saves the time."""
+    from pyspark.sql import functions as F
+
+    from assayline.llm import decontam
+
+    marks = [chr(c) for c in (*range(0x300), 0x7FF, 0x800, 0xD7FF, 0xE000, 0xFFFF, 0x10000, 0x1F600, 0x10FFFF)]
+    df = spark.createDataFrame([(f"a{m}B {m}{m}1",) for m in marks] + [("",), (None,)], "text string")
+    told = F.regexp_extract_all(decontam.ascii_lower(F.coalesce("text", F.lit(""))), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    rows = df.select(decontam.word_array(F.col("text")).alias("w"), told.alias("want"), decontam.word_count(F.col("text")).alias("n")).collect()
+    assert len(rows) == len(marks) + 2 and all(r.w == r.want and r.n == len(r.want) for r in rows)
+    assert not decontam.WORD.startswith("[^")
