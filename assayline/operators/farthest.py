@@ -2,50 +2,96 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayline.functions.columns import doubles, guarded, half_even
 from assayline.operators.order import ranked
-from assayline.sources.shared import durable
+from assayline.sources.shared import durable, release
+
+_PARTS, _CHUNKS, _ROUNDS, _MARKS = 12, 8, 8, 64  # a key's parts, its chunks for the first pair, its batches, the marks in a batch
 
 
 def standardised(rows: DataFrame, keys: Sequence[str], channels: int) -> DataFrame:
     """rows (keys, sample_id, x) with x scaled within each key: mean 0, population deviation 1, channels that don't vary 0; rows of another length or with non-finite values go."""
     keys = list(keys)
     able = rows.select(*keys, "sample_id", doubles(F.col("x")).alias("x")).where(f"size(x) = {channels} and forall(x, v -> v is not null and not isnan(v) and abs(v) < double('Infinity'))")
-    sums = able.groupBy(*keys).agg(F.array(*[F.avg(F.get("x", i)) for i in range(channels)]).alias("_m"), F.array(*[guarded(F.stddev_pop(F.get("x", i))) for i in range(channels)]).alias("_s"))
-    scaled = F.zip_with(F.zip_with("x", "_m", lambda v, m: v - m), "_s", lambda v, s: v / s)
-    return able.join(sums, keys).select(*keys, "sample_id", scaled.alias("x"))
+    each = able.select(*keys, F.posexplode("x").alias("_p", "_v")).groupBy(*keys, "_p").agg(F.avg("_v").alias("_m"), guarded(F.stddev_pop("_v")).alias("_s"))
+    sums = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_p", "_m", "_s"))).alias("_c"))
+    return able.join(sums, keys).select(*keys, "sample_id", F.zip_with("x", "_c", lambda v, c: (v - c["_m"]) / c["_s"]).alias("x"))
+
+
+def _matrix(rows: pa.Table) -> np.ndarray:
+    return rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) if len(rows) else np.zeros((0, 0))
+
+
+def _exact(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of x's rows i to y's rows j to nine digits, some at a time."""
+    return np.concatenate([np.zeros(0), *(np.round(np.sqrt(((x[i[at : at + 8192]] - y[j[at : at + 8192]]) ** 2).sum(1)), 9) for at in range(0, len(i), 8192))])
+
+
+def _slack(x: np.ndarray, xx: np.ndarray, yy: float) -> np.ndarray:
+    """More than what a squared distance made of a product of matrices errs by."""
+    return 1e-15 * (x.shape[1] + 8) * (xx + yy)
+
+
+def _shrink(x: np.ndarray, y: np.ndarray, least: np.ndarray, block: int = 512) -> None:
+    """Lower x's least distances, in place, by those to y's rows.
+
+    Squared distances by products of matrices tell which pairs may be a row's
+    least; only those are measured by their differences.
+    """
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    for a in range(0, len(x), block):
+        p = slice(a, a + block)
+        for b in range(0, len(y), block):
+            q = slice(b, b + block)
+            d = xx[p, None] + yy[None, q] - 2 * (x[p] @ y[q].T)
+            slack = _slack(x, xx[p], yy[q].max())
+            i, j = np.nonzero(d <= np.minimum(d.min(1) + 2 * slack, least[p] ** 2 + slack)[:, None])
+            np.minimum.at(least[p], i, _exact(x[p], y[q], i, j))
+
+
+def _farthest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, others: np.ndarray, block: int = 512) -> tuple[float, int, int]:
+    """(-distance, a, b) of the farthest pair of a row of x and one of y, of equal ones the least a, then b."""
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    best = (1.0, 0, 0)
+    for a in range(0, len(x), block):
+        p = slice(a, a + block)
+        for b in range(0, len(y), block):
+            q = slice(b, b + block)
+            d = xx[p, None] + yy[None, q] - 2 * (x[p] @ y[q].T)
+            slack = _slack(x, xx[p].max(), yy[q].max())
+            top = max(float(d.max()), best[0] ** 2 if best[0] <= 0 else 0.0)
+            i, j = np.nonzero(d >= top - 2 * slack - 4e-9 * (np.sqrt(max(top, 0.0)) + 1))  # what may be equal to nine digits
+            if len(i):
+                e = _exact(x[p], y[q], i, j)
+                far = e == e.max()
+                pairs = np.sort(np.stack([ids[p][i[far]], others[q][j[far]]], 1), axis=1)
+                k = np.lexsort((pairs[:, 1], pairs[:, 0]))[0]
+                best = min(best, (-float(e.max()), int(pairs[k, 0]), int(pairs[k, 1])))
+    return best
 
 
 def _first_pair(own: DataFrame, keys: list[str], kinds: str, tile: int) -> DataFrame:
-    """(keys, a, b): each key's farthest pair, of equal ones the least a, then b, by sample_id; chunks of `tile` rows meet pairwise, and one row leaves a pair of chunks."""
-    chunked = own.withColumn("chunks", F.ceil(F.col("n") / tile).cast("int")).withColumn("chunk", F.floor(F.col("place") / tile).cast("int"))
+    """(keys, a, b): each key's farthest pair, of equal ones the least a, then b, by sample_id; chunks of `tile` rows, or an eighth of the key if that is more, meet pairwise, and one row leaves a pair of chunks."""
+    size = F.greatest(F.lit(tile), F.ceil(F.col("n") / _CHUNKS))
+    chunked = own.withColumn("chunks", F.ceil(F.col("n") / size).cast("int")).withColumn("chunk", F.floor(F.col("place") / size).cast("int"))
     met = chunked.select(*keys, "sample_id", "x", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    met = met.select(*keys, F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "sample_id", "x")
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_id")
-        low, high = int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
-        p, q = pdf[pdf["chunk"] == low], pdf[pdf["chunk"] == high]
-        x, y = np.stack(p["x"].to_numpy()), np.stack(q["x"].to_numpy())
-        found = []
-        for at in range(0, len(x), 64):
-            d = np.round(np.sqrt(((x[at : at + 64, None, :] - y[None]) ** 2).sum(-1)), 9)
-            i, j = np.nonzero(d == d.max())
-            ids = np.stack([p["sample_id"].to_numpy()[i + at], q["sample_id"].to_numpy()[j]], 1)
-            ids.sort(axis=1)
-            k = np.lexsort((ids[:, 1], ids[:, 0]))[0]
-            found.append((-float(d.max()), int(ids[k, 0]), int(ids[k, 1])))
-        d, a, b = min(found)
-        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"d": [d], "a": [a], "b": [b]})
-
-    pairs = met.groupBy(*keys, "low", "high").applyInPandas(best, kinds + "d double, a bigint, b bigint")
+    met = met.select(*keys, F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", F.col("sample_id").cast("bigint").alias("sample_id"), "x")
+
+    def best(rows: pa.Table) -> pa.Table:
+        ids, x, chunk = rows["sample_id"].to_numpy(), _matrix(rows), rows["chunk"].to_numpy()
+        p, q = chunk == rows["low"][0].as_py(), chunk == rows["high"][0].as_py()
+        d, a, b = _farthest(x[p], x[q], ids[p], ids[q])
+        return rows.select(keys).slice(0, 1).append_column("d", pa.array([d])).append_column("a", pa.array([a])).append_column("b", pa.array([b]))
+
+    pairs = met.groupBy(*keys, "low", "high").applyInArrow(best, kinds + "d double, a bigint, b bigint")
     return pairs.groupBy(*keys).agg(F.min(F.struct("d", "a", "b")).alias("m")).select(*keys, "m.a", "m.b")
 
 
@@ -59,61 +105,81 @@ def kennard_stone(rows: DataFrame, keys: Sequence[str], channels: int, ratio: fl
     than two usable rows give none; null keys too.
 
     Every key goes on at the same time, and each row keeps its least distance to
-    those chosen. A round takes the `batch` rows of each key with the greatest
-    least distances and the next one's as a bound: as least distances only
-    shrink, choices among the batch are right for as long as the best there stays
-    above the bound. All rows then learn of the round's choices at once. So a
-    round is one bounded task a key and one pass over the rows, whose state is
-    written to the shared folder; no matrix of distances is held.
+    those chosen. A round takes a batch of each key's rows, those of the greatest
+    least distances down to a bound: as least distances only shrink, choices among
+    the batch are right for as long as the best there isn't below the bound. All
+    rows then learn of the round's choices at once, part by part.
+
+    A batch has `batch` rows or an eighth of the key if that is more (and up to a fifth
+    more, as its bound is found from some rows of each part), a part `tile`
+    rows or a twelfth. So the number of rounds doesn't grow with the rows, and what
+    is shuffled and written to the shared folder grows as the rows do: each round
+    what is left of them, and the choices once a part. Comparisons stay
+    quadratic in a key's rows, as the selection is; no matrix of distances is held.
     """
     keys = list(keys)
     scaled = standardised(rows.where(" and ".join(f"{k} is not null" for k in keys)), keys, channels)
     own = durable(ranked(scaled, keys, ["sample_id"], "place", "n").where("n >= 2"))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.select(*keys).schema)
     want = F.least(F.greatest(F.lit(2), half_even(ratio * F.col("n"))), F.col("n") - 1)
-    pair = _first_pair(own, keys, kinds, tile)
-    chosen = durable(pair.select(*keys, F.posexplode(F.array("a", "b")).alias("place", "sample_id")).join(own.select(*keys, "sample_id", "x", want.alias("want")), [*keys, "sample_id"]).where("place < want").select(*keys, "sample_id", F.col("place").cast("bigint").alias("place"), "x"))
-    state = own.select(*keys, F.col("sample_id").cast("bigint").alias("sample_id"), "x", F.floor(F.col("place") / tile).cast("int").alias("part"), want.cast("int").alias("want"), F.lit(float("inf")).alias("least"))
-    parts = own.groupBy(*keys).agg(F.ceil(F.max("n") / tile).cast("int").alias("parts"))
-    new, total = chosen, chosen
-    columns = ["sample_id", "x", "part", "want", "least"]
-
-    def nearer(pdf: pd.DataFrame, picks: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) and len(picks):
-            x, y, least = np.stack(pdf["x"].to_numpy()), np.stack(picks["x"].to_numpy()), pdf["least"].to_numpy(float)
-            for at in range(0, len(x), 64):
-                for b in range(0, len(y), 64):
-                    d = np.sqrt(((x[at : at + 64, None, :] - y[None, b : b + 64]) ** 2).sum(-1))
-                    least[at : at + 64] = np.minimum(least[at : at + 64], np.round(d, 9).min(axis=1))
-            pdf = pdf.assign(least=least)
-        return pdf[[*keys, *columns]] if len(pdf) else pd.DataFrame(columns=[*keys, *columns])
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["least", "sample_id"], ascending=[False, True])
-        bound, place, want = pdf["bound"].iloc[0], int(pdf["had"].iloc[0]), int(pdf["want"].iloc[0])
-        after = pdf["after"].iloc[0]
-        ids, x, least = pdf["sample_id"].to_numpy(np.int64), np.stack(pdf["x"].to_numpy()), pdf["least"].to_numpy(float).copy()
-        picked = []
-        while place < want and len(picked) < len(ids):
+    size = F.greatest(F.lit(tile), F.ceil(F.col("n") / _PARTS))
+    some = F.greatest(F.lit(batch), F.ceil(F.col("n") / _ROUNDS))
+    step = F.greatest(F.lit(1), F.floor(some / _MARKS))  # each step-th row of a part, by least distance, is a mark of the batch's end
+    fixed = own.select(*keys, F.col("sample_id").cast("bigint").alias("sample_id"), "x", *[c.cast("int").alias(n) for n, c in {"want": want, "parts": F.ceil(F.col("n") / size), "step": step, "marks": F.ceil(some / step)}.items()], F.floor(F.col("place") / size).cast("int").alias("part"))
+    settings = ["want", "parts", "step", "marks"]
+    ints = ", ".join(f"{c} int" for c in settings)
+    pair = _first_pair(own, keys, kinds, tile).select(*keys, F.posexplode(F.array("a", "b")).alias("place", "sample_id"))
+    new = durable(pair.join(fixed, [*keys, "sample_id"]).where("place < want").select(*keys, "sample_id", F.col("place").cast("bigint").alias("place"), "x", *settings))
+    state = fixed.withColumn("least", F.lit(float("inf")))
+
+    def nearer(left: pa.Table, right: pa.Table) -> pa.Table:
+        had = 1 + right["place"].to_numpy().max() if len(right) else 0
+        if not len(left) or not len(right) or had >= left["want"][0].as_py():
+            left, ids, least, order = left.slice(0, 0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        else:
+            left = left.filter(pa.array(~np.isin(left["sample_id"].to_numpy(), right["sample_id"].to_numpy())))
+            ids, least = left["sample_id"].to_numpy(), left["least"].to_numpy().copy()
+            _shrink(_matrix(left), _matrix(right), least)
+            order = np.lexsort((ids, -least))
+        at = np.empty(len(ids), np.int32)
+        at[order] = np.arange(1, len(ids) + 1, dtype=np.int32)
+        got = left.select([*keys, "sample_id", "x", *settings, "part"]).append_column("least", pa.array(least, pa.float64()))
+        return got.append_column("had", pa.array(np.full(len(ids), had, np.int64))).append_column("at", pa.array(at))
+
+    def pick(rows: pa.Table) -> pa.Table:
+        order = np.lexsort((rows["sample_id"].to_numpy(), -rows["least"].to_numpy()))
+        rows = rows.take(pa.array(order))
+        ids, x, least = rows["sample_id"].to_numpy(), _matrix(rows), rows["least"].to_numpy().copy()
+        bound, after, place, want = (rows[c][0].as_py() for c in ("bound", "after", "had", "want"))
+        xx, picked = (x * x).sum(1), []
+        slack = _slack(x, xx, xx.max())
+        while place + len(picked) < want and len(picked) < len(ids):
             top = least.max()
-            i = int(np.flatnonzero(least == top)[ids[least == top].argmin()])
+            same = np.flatnonzero(least == top)
+            i = int(same[ids[same].argmin()])
             if top < bound or (top == bound and ids[i] > after):
                 break
-            picked.append((int(ids[i]), place, x[i]))
-            place += 1
-            least = np.minimum(least, np.round(np.sqrt(((x - x[i]) ** 2).sum(1)), 9))
+            picked.append(i)
+            close = np.flatnonzero((xx + xx[i] - 2 * (x @ x[i]) <= least * least + slack) & (least >= 0))
+            least[close] = np.minimum(least[close], _exact(x, x, close, np.full(len(close), i)))
             least[i] = -1.0
-        return pd.DataFrame({k: [pdf[k].iloc[0]] * len(picked) for k in keys} | {"sample_id": [p[0] for p in picked], "place": [p[1] for p in picked], "x": [p[2] for p in picked]})
+        got = rows.select([*keys, "sample_id"]).take(pa.array(picked, pa.int64())).append_column("place", pa.array(np.arange(place, place + len(picked), dtype=np.int64)))
+        for c in ("x", *settings):
+            got = got.append_column(c, rows[c].take(pa.array(picked, pa.int64())))
+        return got
 
+    found = []
     while not new.isEmpty():
-        # a key's rows are dealt to tasks by `tile`, each of which gets the round's choices
-        dealt = state.join(new.select(*keys, "sample_id"), [*keys, "sample_id"], "left_anti")
-        told = new.join(parts, keys).select(*keys, "x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        state = durable(dealt.groupBy(*keys, "part").cogroup(told.groupBy(*keys, "part")).applyInPandas(nearer, kinds + "sample_id bigint, x array<double>, part int, want int, least double"))
-        had = total.groupBy(*keys).agg(F.count("*").alias("had"))
-        top = ranked(state.join(had, keys).where("had < want"), keys, [F.desc("least"), "sample_id"], "at", "left").where(F.col("at") <= batch)
-        limit = top.where(F.col("at") == batch).select(*keys, F.col("least").alias("bound"), F.col("sample_id").alias("after"))
-        top = top.where(F.col("at") < batch).join(limit, keys, "left").withColumn("bound", F.coalesce("bound", F.lit(-1.0))).withColumn("after", F.coalesce("after", F.lit(-1)))
-        new = durable(top.groupBy(*keys).applyInPandas(pick, kinds + "sample_id bigint, place bigint, x array<double>"))
-        total = durable(total.unionByName(new))
-    return total.select(*keys, "sample_id", "place")
+        found.append(new.select(*keys, "sample_id", "place"))
+        told = new.select(*keys, "sample_id", "place", "x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        last, state = state, durable(state.groupBy(*keys, "part").cogroup(told.groupBy(*keys, "part")).applyInArrow(nearer, f"{kinds}sample_id bigint, x array<double>, {ints}, part int, least double, had bigint, at int"))
+        release(last)
+        # the batch ends at its last mark, or with the last row where there are fewer; a mark further down a part can't be that
+        marks = state.where("at % step = 0 and at <= step * marks").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("least")).alias("less"), "sample_id"))).alias("m"), F.first("marks").alias("marks"))
+        limit = marks.select(*keys, F.get("m", F.col("marks") - 1).alias("m")).where("m is not null").select(*keys, (-F.col("m.less")).alias("bound"), F.col("m.sample_id").alias("after"))
+        top = state.join(limit, keys, "left").withColumn("bound", F.coalesce("bound", F.lit(-1.0))).withColumn("after", F.coalesce("after", F.lit(-1)))
+        top = top.where((F.col("least") > F.col("bound")) | ((F.col("least") == F.col("bound")) & (F.col("sample_id") <= F.col("after"))))
+        new = durable(top.groupBy(*keys).applyInArrow(pick, f"{kinds}sample_id bigint, place bigint, x array<double>, {ints}"))
+    if not found:
+        return new.select(*keys, "sample_id", "place")
+    return functools.reduce(DataFrame.unionByName, found)

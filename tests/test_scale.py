@@ -211,6 +211,21 @@ def test_kennard_stone_in_rounds(spark):
     assert [s - 100 for _, s in sorted(got["line"])] == [0, 2, 3]
 
 
+def test_kennard_stone_rounds_do_not_grow_with_the_rows(spark, monkeypatch):
+    durable, written = farthest.durable, []
+    monkeypatch.setattr(farthest, "durable", lambda df: written.append(1) or durable(df))
+    rounds = []
+    for n in (64, 256):
+        x, ids = np.random.default_rng(n).normal(size=(n, 3)), list(range(n))
+        x[n // 2 : n // 2 + 5] = x[0]  # copies
+        df = spark.createDataFrame([("a", i, v.tolist()) for i, v in zip(ids, x, strict=True)], "k string, sample_id bigint, x array<double>")
+        written.clear()
+        got = [r.sample_id for r in farthest.kennard_stone(df, ["k"], 3, 0.75, batch=4, tile=8).orderBy("place").collect()]
+        assert got == _kennard_stone(ids, x, 0.75)
+        rounds.append(len(written))
+    assert rounds[1] <= 1.5 * rounds[0]
+
+
 def test_monte_carlo_by_sums(spark):
     rng = np.random.default_rng(4)
     n, p = 40, 5
