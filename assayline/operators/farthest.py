@@ -7,23 +7,36 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayline.functions.columns import doubles, guarded, half_even
 from assayline.operators.order import ranked
 from assayline.sources.shared import durable, release
 
+_PART = 4096  # rows of a key that meet its numbers in one place
 _PARTS, _CHUNKS, _ROUNDS, _MARKS = 12, 8, 8, 64  # a key's parts, its chunks for the first pair, its batches, the marks in a batch
 
 
-def standardised(rows: DataFrame, keys: Sequence[str], channels: int) -> DataFrame:
-    """rows (keys, sample_id, x) with x scaled within each key: mean 0, population deviation 1, channels that don't vary 0; rows of another length or with non-finite values go."""
+def spread(few: DataFrame, rows: Column | str) -> DataFrame:
+    """few, one row a key with its number of rows, once for each of the key's parts of _PART rows, so that a join by key and part spreads a large key over tasks."""
+    return few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col(rows) if isinstance(rows, str) else rows) / _PART).cast("int"))))
+
+
+def part(place: str = "place") -> Column:
+    """The part of a row by its place within its key."""
+    return F.floor(F.col(place) / _PART).cast("int").alias("_part")
+
+
+def standardised(rows: DataFrame, keys: Sequence[str], channels: int, *keep: str) -> DataFrame:
+    """rows (keys, sample_id, x, keep...) with x scaled within each key: mean 0, population deviation 1, channels that don't vary 0; rows of another length or with non-finite values go. place and n: a row's place by sample_id and its key's rows."""
     keys = list(keys)
-    able = rows.select(*keys, "sample_id", doubles(F.col("x")).alias("x")).where(f"size(x) = {channels} and forall(x, v -> v is not null and not isnan(v) and abs(v) < double('Infinity'))")
-    each = able.select(*keys, F.posexplode("x").alias("_p", "_v")).groupBy(*keys, "_p").agg(F.avg("_v").alias("_m"), guarded(F.stddev_pop("_v")).alias("_s"))
-    sums = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_p", "_m", "_s"))).alias("_c"))
-    return able.join(sums, keys).select(*keys, "sample_id", F.zip_with("x", "_c", lambda v, c: (v - c["_m"]) / c["_s"]).alias("x"))
+    able = rows.select(*keys, "sample_id", doubles(F.col("x")).alias("x"), *keep).where(f"size(x) = {channels} and forall(x, v -> v is not null and not isnan(v) and abs(v) < double('Infinity'))")
+    each = able.select(*keys, F.posexplode("x").alias("_p", "_v")).groupBy(*keys, "_p").agg(F.avg("_v").alias("_m"), guarded(F.stddev_pop("_v")).alias("_s"), F.count("*").alias("_n"))
+    sums = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_p", "_m", "_s"))).alias("_c"), F.first("_n").alias("_n"))
+    placed = ranked(able, keys, ["sample_id"], "place", "n").withColumn("_part", part())
+    scaled = F.zip_with("x", "_c", lambda v, c: (v - c["_m"]) / c["_s"]).alias("x")
+    return placed.join(spread(sums, "_n"), [*keys, "_part"]).select(*keys, "sample_id", scaled, *keep, "place", "n")
 
 
 def _matrix(rows: pa.Table) -> np.ndarray:
@@ -119,7 +132,7 @@ def kennard_stone(rows: DataFrame, keys: Sequence[str], channels: int, ratio: fl
     """
     keys = list(keys)
     scaled = standardised(rows.where(" and ".join(f"{k} is not null" for k in keys)), keys, channels)
-    own = durable(ranked(scaled, keys, ["sample_id"], "place", "n").where("n >= 2"))
+    own = durable(scaled.where("n >= 2"))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.select(*keys).schema)
     want = F.least(F.greatest(F.lit(2), half_even(ratio * F.col("n"))), F.col("n") - 1)
     size = F.greatest(F.lit(tile), F.ceil(F.col("n") / _PARTS))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayline.functions.columns import EPS, dot, finite, guarded, half_even, uniform
-from assayline.operators.farthest import standardised
+from assayline.operators.farthest import part, spread, standardised
 from assayline.operators.order import ranked
 from assayline.sources.shared import durable
 
@@ -32,12 +32,14 @@ def held_out_means(rows: DataFrame, channels: int, iterations: int, ratio: float
     sums by iteration and channel are shuffled: weights follow from the first, the
     inner regression from the second sums, and errors are averaged where the sample
     is. A model is one weight a channel, so a target's models are
-    iterations * channels numbers, joined to its rows.
+    iterations * channels numbers, joined to its rows part by part (`spread`), so
+    that neither a join nor a product has a target's rows in one task.
     """
-    able = standardised(rows.where(finite(F.col("y").cast("double")) & F.col("target").isNotNull()), ["target"], channels).withColumnRenamed("x", "_x")
-    able = able.join(rows.select("target", "sample_id", F.col("y").cast("double").alias("y")), ["target", "sample_id"])
+    able = standardised(rows.where(finite(F.col("y").cast("double")) & F.col("target").isNotNull()).withColumn("y", F.col("y").cast("double")), ["target"], channels, "y").withColumn("_part", part())
+    able = durable(able)
     level = able.groupBy("target").agg(F.count("*").alias("n"), F.avg("y").alias("_my"), F.stddev_pop("y").alias("_sy")).where((F.col("n") >= least_n) & (F.col("_sy") >= EPS))
-    able = durable(able.join(level, "target").select("target", "sample_id", F.col("_x").alias("x"), ((F.col("y") - F.col("_my")) / F.col("_sy")).alias("y"), "_sy"))
+    sizes = durable(level.select("target", "n"))
+    able = durable(able.join(spread(level, "n").drop("n"), ["target", "_part"]).select("target", "_part", "sample_id", "x", ((F.col("y") - F.col("_my")) / F.col("_sy")).alias("y"), "_sy"))
     draws = able.select("target", "sample_id", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("i"))
     placed = ranked(draws.withColumn("u", uniform(F.lit(seed), F.lit("mccv"), F.col("target"), F.col("i"), F.col("sample_id"))), ["target", "i"], ["u", "sample_id"], "place", "n")
     cal = F.col("place") < F.greatest(F.lit(8), half_even(ratio * F.col("n")))
@@ -80,13 +82,15 @@ def held_out_means(rows: DataFrame, channels: int, iterations: int, ratio: float
     weights = total.select("target", "i", "pos", (F.col("sx") / n).alias("m"), sd_x.alias("s"), (F.col("sy") / n).alias("my"), sd_y.alias("sd"), ((F.col("sxy") - F.col("sx") * F.col("sy") / n) / sd_x / sd_y).alias("w"))
     each = weights.groupBy("target", "i").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"), F.sum(F.col("m") * F.col("w") / F.col("s")).alias("shift"), F.sort_array(F.collect_list(F.struct("pos", (F.col("w") / F.col("s")).alias("b")))).alias("b"), F.first("my").alias("my"), F.first("sd").alias("sd"))
     by = F.when(F.col("size") < EPS, 0.0).otherwise(1 / F.col("size"))
-    models = each.select("target", "i", F.transform("b.b", lambda v: v * by).alias("b"), (-F.col("shift") * by).alias("a"), "my", "sd").groupBy("target").agg(F.sort_array(F.collect_list(F.struct("i", "a", "b", "my", "sd"))).alias("models"))
-    scored = wide.join(models, "target").select("target", "sample_id", "y", "_sy", "cal", F.transform("models", lambda m: m["a"] + dot(F.col("x"), m["b"])).alias("t"), F.transform("models", lambda m: m["my"]).alias("my"), F.transform("models", lambda m: m["sd"]).alias("sd"))
-    scored = durable(scored)
-    inner = scored.select("target", "y", F.posexplode(F.arrays_zip("cal", "t", "my", "sd")).alias("i", "m")).where("m.cal")
-    tt = F.sum(F.col("m.t") * F.col("m.t"))
-    inner = inner.groupBy("target", "i").agg(F.when(tt < 1e-14, 0.0).otherwise(F.sum(F.col("m.t") * (F.col("y") - F.col("m.my")) / F.col("m.sd")) / tt).alias("q"))
-    inner = inner.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("i", "q"))).alias("q")).select("target", F.col("q.q").alias("q"))
-    errors = F.transform(F.filter(F.arrays_zip("cal", "t", "my", "sd", "q"), lambda m: ~m["cal"]), lambda m: F.abs(F.col("y") - m["my"] - m["sd"] * m["q"] * m["t"]))
-    out = scored.join(inner, "target").select("target", "sample_id", "_sy", errors.alias("e")).where("size(e) > 0")
+    each = durable(each.select("target", "i", F.transform("b.b", lambda v: v * by).alias("b"), (-F.col("shift") * by).alias("a"), "my", "sd"))
+    models = each.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("i", "a", "b"))).alias("models"))
+    told = spread(models.join(sizes, "target"), "n").drop("n")
+    scored = durable(wide.join(told, ["target", "_part"]).select("target", "_part", "sample_id", "y", "_sy", "cal", F.transform("models", lambda m: m["a"] + dot(F.col("x"), m["b"])).alias("t")))
+    inner = scored.select("target", "y", F.posexplode(F.arrays_zip("cal", "t")).alias("i", "m")).where("m.cal").select("target", "i", "y", F.col("m.t").alias("t"))
+    inner = inner.groupBy("target", "i").agg(F.sum(F.col("t") * F.col("t")).alias("tt"), F.sum(F.col("t") * F.col("y")).alias("ty"), F.sum("t").alias("st")).join(each, ["target", "i"])
+    inner = inner.select("target", "i", "my", (F.col("sd") * F.when(F.col("tt") < 1e-14, 0.0).otherwise((F.col("ty") - F.col("my") * F.col("st")) / F.col("sd") / F.col("tt"))).alias("q"))
+    inner = inner.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("i", "my", "q"))).alias("q"))
+    inner = spread(inner.join(sizes, "target"), "n").drop("n")
+    errors = F.transform(F.filter(F.arrays_zip("cal", "t", "q"), lambda m: ~m["cal"]), lambda m: F.abs(F.col("y") - m["q"]["my"] - m["q"]["q"] * m["t"]))
+    out = scored.join(inner, ["target", "_part"]).select("target", "sample_id", "_sy", errors.alias("e")).where("size(e) > 0")
     return out.select("target", "sample_id", (F.col("_sy") * F.aggregate("e", F.lit(0.0), lambda s, v: s + v) / F.size("e")).alias("mean_error"), F.size("e").cast("bigint").alias("n_predicted"))

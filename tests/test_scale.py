@@ -251,6 +251,30 @@ def test_monte_carlo_by_sums(spark):
     assert monte_carlo.held_out_means(df.limit(0), p, 12, 0.78, 7).count() == 0
 
 
+def test_no_join_has_a_whole_target_in_one_task(spark, monkeypatch):
+    durable, tasks = monte_carlo.durable, []
+
+    def watched(df):
+        out = durable(df)
+        if "sample_id" in df.columns:
+            tasks.append(out.select(F.input_file_name()).distinct().count())
+        return out
+
+    monkeypatch.setattr(monte_carlo, "durable", watched)
+    monkeypatch.setattr(farthest, "_PART", 16)
+    x = np.random.default_rng(5).normal(size=(300, 3))
+    df = spark.createDataFrame([("a", i, v.tolist(), float(v[0])) for i, v in enumerate(x)], "target string, sample_id bigint, x array<double>, y double")
+    plain = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        assert monte_carlo.held_out_means(df, 3, 6, 0.78, 7).count() > 0
+    finally:
+        for k in plain:
+            spark.conf.unset(k)
+    assert len(tasks) > 2 and min(tasks) > 1
+
+
 def test_progress_is_observed(spark, tmp_path):
     df = spark.createDataFrame([("a", None, 2), ("a", "boom", 0), ("b", None, None), (None, "x", 1)], "target string, error string, w int")
     rows, watch = progress.observed(df, ["a", "b", "none"], F.col("error").isNotNull(), F.col("w"))
