@@ -181,3 +181,19 @@ def test_svr_options_together():
     for i in range(3):
         one, bias = similarity.svr_dual(x @ x.T, y, c[i], eps[i])
         assert np.allclose(x @ (x.T @ beta[:, i]) + b[i], x @ (x.T @ one) + bias, atol=1e-5)
+
+
+def test_histogram_boosting_sorts_no_rows(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(600, 4)), 1)  # with ties
+    task = Task(x, 5 * x[:, 0] - x[:, 2] ** 2 + rng.normal(size=600), "raw", Config(), 1)
+    for t in (trees.Tree, trees.BinnedTree):
+        at = rng.integers(0, 256, (300, 5)).astype(float)
+        y, w = rng.normal(size=300), rng.integers(1, 4, 300).astype(float)
+        nodes = [u(6, 5, max_leaves=12, ridge=0.1).fit(at, y, rng, w).nodes for u in (trees.Tree, t)]
+        assert np.allclose(*[np.array(n) for n in nodes])
+    with monkeypatch.context() as m:
+        m.setattr(trees, "BinnedTree", trees.Tree)
+        sorted_rows = trees.hist_boosting(task)(x)
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: pytest.fail("rows are sorted"))
+    assert np.allclose(trees.hist_boosting(task)(x), sorted_rows)
