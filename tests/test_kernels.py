@@ -1,5 +1,6 @@
 """Kernels against closed forms, optimality conditions and held-out accuracy."""
 
+import tracemalloc
 from dataclasses import replace
 
 import numpy as np
@@ -7,8 +8,8 @@ import pytest
 
 from assayline.config import Config
 from assayline.operators.evaluate import evaluate, feature_count, screened, select
-from assayline.operators.kernels import linear, registry, similarity, trees
-from assayline.operators.kernels.base import Task, backward, cholesky, forward, kernel_product, squared_distances
+from assayline.operators.kernels import base, linear, registry, similarity, trees
+from assayline.operators.kernels.base import Gram, Task, backward, cholesky, forward, kernel_product, solve_shifted, squared_distances
 
 
 def made(n):
@@ -197,3 +198,45 @@ def test_histogram_boosting_sorts_no_rows(monkeypatch):
         sorted_rows = trees.hist_boosting(task)(x)
     monkeypatch.setattr(np, "argsort", lambda *a, **k: pytest.fail("rows are sorted"))
     assert np.allclose(trees.hist_boosting(task)(x), sorted_rows)
+
+
+@pytest.mark.parametrize("held", [0, 1 << 28])
+@pytest.mark.parametrize("gamma", [1e-3, 0.05, 5.0])
+def test_conjugate_gradients_equal_a_solver(gamma, held, monkeypatch):
+    """Also with near and equal rows, whose kernel has eigenvalues about zero."""
+    monkeypatch.setattr(base, "HELD", held)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(900, 8))
+    x[300:340], x[500:800] = x[300], x[:300] + 1e-3 * rng.normal(size=(300, 8))
+    y, shifts = rng.normal(size=(900, 3)), np.array([1e-3, 0.1, 10.0])
+    k = np.exp(-gamma * squared_distances(x, x))
+    gram = Gram(x, lambda d: np.exp(-gamma * d))
+    assert (gram.matrix is None) == (not held) and np.allclose(gram @ y, k @ y, atol=1e-9)
+    w = solve_shifted(gram, shifts, y)
+    for i, a in enumerate(shifts):
+        assert np.allclose(w[:, i], np.linalg.solve(k + a * np.eye(900), y[:, i]), atol=1e-6 / a)
+    late = solve_shifted(gram, shifts, y, rounds=0)  # by factors
+    assert np.allclose(k @ late, k @ w, atol=1e-6)
+
+
+def _path(name, x, z, x2):
+    if name == "KRR-RBF":
+        return similarity.krr_path(x, z, x2, [(0.1, 0.01), (1.0, 0.01)])
+    return similarity.lssvm_path(x, z, x2, [(1.0, 50.0), (10.0, 50.0)])
+
+
+@pytest.mark.parametrize("name", ["KRR-RBF"])
+def test_large_kernels_are_not_held(name, monkeypatch):
+    """Above HELD bytes no matrix of all rows is there, and predictions are those of a factor."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2800, 6))
+    z = x[:, 0] + 0.1 * rng.normal(size=2800)
+    with monkeypatch.context() as m:
+        m.setattr(similarity, "DIRECT", 10_000, raising=False)
+        by_factor = _path(name, x, z, x[:50])
+    monkeypatch.setattr(base, "HELD", 0, raising=False)
+    tracemalloc.start()
+    got = _path(name, x, z, x[:50])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 0.8 * 8 * 2800**2 and np.allclose(got, by_factor, atol=1e-7)
