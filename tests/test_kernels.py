@@ -225,7 +225,7 @@ def _path(name, x, z, x2):
     return similarity.lssvm_path(x, z, x2, [(1.0, 50.0), (10.0, 50.0)])
 
 
-@pytest.mark.parametrize("name", ["KRR-RBF"])
+@pytest.mark.parametrize("name", ["KRR-RBF", "RBF-LS-SVM"])
 def test_large_kernels_are_not_held(name, monkeypatch):
     """Above HELD bytes no matrix of all rows is there, and predictions are those of a factor."""
     rng = np.random.default_rng(8)
