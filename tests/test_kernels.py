@@ -240,3 +240,18 @@ def test_large_kernels_are_not_held(name, monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 0.8 * 8 * 2800**2 and np.allclose(got, by_factor, atol=1e-7)
+
+
+def test_large_kernels_of_scores_are_not_held(monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2800, 6))
+    task = Task(x, x[:, 0] + 0.1 * rng.normal(size=2800), "raw", replace(Config(), level="fast", inner_repeats=1), 1)
+    monkeypatch.setattr(similarity, "_lssvm_options", lambda task: [(10.0, 50.0)])
+    monkeypatch.setattr(base, "HELD", 0, raising=False)
+    tracemalloc.start()
+    got = similarity.pls_lssvm(task)(x[:50])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 0.8 * 8 * 2800**2
+    monkeypatch.setattr(similarity, "DIRECT", 10_000, raising=False)
+    assert np.allclose(got, similarity.pls_lssvm(task)(x[:50]), atol=1e-7)
