@@ -255,3 +255,28 @@ def test_large_kernels_of_scores_are_not_held(monkeypatch):
     assert peak < 0.8 * 8 * 2800**2
     monkeypatch.setattr(similarity, "DIRECT", 10_000, raising=False)
     assert np.allclose(got, similarity.pls_lssvm(task)(x[:50]), atol=1e-7)
+
+
+@pytest.mark.parametrize("name", ["GPR-Matern32"])
+def test_gaussian_process_search(name, monkeypatch):
+    """Two settings are sought, with fewer factors than three took, and none near them is likelier."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(90, 3))
+    y = np.sin(x[:, 0]) + x[:, 1] + 0.2 * rng.normal(size=90)
+    seen, real = [], similarity.cholesky
+    monkeypatch.setattr(similarity, "cholesky", lambda m, *a: seen.append(m.copy()) or real(m, *a))
+    registry.fit(name, Task(x, y, "raw", Config(), 1))
+    assert len(seen) < 240
+    k, s = np.tril(seen[-1]), base.Standard(x)  # the last factor is that of the settings chosen
+    k = k + np.tril(k, -1).T
+    z, pc = (y - y.mean()) / y.std(), base.Components(s(x), 3)
+    c = z @ np.linalg.solve(k, z) / 90
+    loss = lambda m: 0.5 * (z @ np.linalg.solve(m, z) + np.linalg.slogdet(m)[1])
+    d = np.sqrt(squared_distances(pc(s(x)), pc(s(x))))
+    ratio, matern = k[0, 0] - 1, name != "GPR-SE"
+    i, j = np.unravel_index(np.argmax(d), d.shape)
+    grid = np.exp(np.linspace(-4, 5, 4000))
+    length = grid[np.argmin(np.abs(similarity.covariance(d[i, j], grid, matern) - k[i, j]))]
+    for up in (0.8, 1.25):
+        for other in (c * similarity.covariance(d, length * up, matern) + c * ratio * np.eye(90), c * similarity.covariance(d, length, matern) + c * ratio * up * np.eye(90), up * c * k):
+            assert loss(other) > loss(c * k)
