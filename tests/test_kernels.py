@@ -257,7 +257,7 @@ def test_large_kernels_of_scores_are_not_held(monkeypatch):
     assert np.allclose(got, similarity.pls_lssvm(task)(x[:50]), atol=1e-7)
 
 
-@pytest.mark.parametrize("name", ["GPR-Matern32"])
+@pytest.mark.parametrize("name", ["GPR-Matern32", "GPR-SE"])
 def test_gaussian_process_search(name, monkeypatch):
     """Two settings are sought, with fewer factors than three took, and none near them is likelier."""
     rng = np.random.default_rng(10)
