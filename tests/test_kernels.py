@@ -280,3 +280,34 @@ def test_gaussian_process_search(name, monkeypatch):
     for up in (0.8, 1.25):
         for other in (c * similarity.covariance(d, length * up, matern) + c * ratio * np.eye(90), c * similarity.covariance(d, length, matern) + c * ratio * up * np.eye(90), up * c * k):
             assert loss(other) > loss(c * k)
+
+
+def test_svr_of_many_rows(monkeypatch):
+    """Neither vectors of the kernel nor a matrix of all rows; the optimality conditions hold."""
+    rng = np.random.default_rng(11)
+    n = 2400
+    x = rng.normal(size=(n, 6))
+    y = x[:, 0] - 0.5 * x[:, 1] + 0.3 * rng.normal(size=n)
+    config = replace(Config(), level="fast", inner_repeats=1)
+    monkeypatch.setattr(base, "HELD", 0, raising=False)
+    monkeypatch.setattr(similarity, "tuned", lambda *a: 0)
+    real = np.linalg.eigh
+    monkeypatch.setattr(np.linalg, "eigh", lambda a: real(a) if len(a) < n else pytest.fail("a whole kernel is decomposed"))
+    tracemalloc.start()
+    p = similarity.svr_rbf(Task(x, y, "raw", config, 1))(x[:100])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 0.8 * 8 * n**2 and np.corrcoef(p, y[:100])[0, 1] > 0.9
+    monkeypatch.setattr(base, "HELD", 1 << 28)
+    c, eps, y = np.array([0.3, 30.0]), np.array([0.1, 0.03]), (y - y.mean()) / y.std()
+    k = np.exp(-0.1 * squared_distances(x, x))
+    beta, b = similarity.svr_products(Gram(x, lambda d: np.exp(-0.1 * d)), y, c, eps)
+    r = y[:, None] - k @ beta - b
+    for i in range(2):
+        size = np.abs(beta[:, i])
+        free, tol = (size > 1e-6 * c[i]) & (size < c[i] * (1 - 1e-6)), 5e-3
+        assert size.max() <= c[i] and abs(beta[:, i].sum()) < 1e-2 * max(1, size.max())
+        assert (np.abs(r[size <= 1e-6 * c[i], i]) <= eps[i] + tol).all()
+        assert (np.abs(r[free, i] - eps[i] * np.sign(beta[free, i])) <= tol).all()
+        at = size >= c[i] * (1 - 1e-6)
+        assert (r[at, i] * np.sign(beta[at, i]) >= eps[i] - tol).all()
