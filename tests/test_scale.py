@@ -94,6 +94,26 @@ def test_distances_and_neighbours_by_chunks(spark):
         assert near[i].neighbours == 4 and abs(near[i].predicted - sum(p * value[j] for p, (_, j) in zip(w, best, strict=True)) / sum(w)) < 1e-9
 
 
+def test_all_pairs_shuffle_a_row_no_more_than_sixteen_times(spark):
+    a = spark.range(700).select(F.col("id").alias("sample_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x"))
+    b = spark.range(900).select((F.col("id") + 5000).alias("other"), F.array(F.lit(0.0), F.col("id").cast("double")).alias("x2"))
+    every = neighbours.distances(a, b, [], tile=8)
+    assert every.count() == 700 * 900 and every.groupBy("sample_id", "other").count().count() == 700 * 900
+    assert every.where("sample_id = 3 and other = 5004").first().dist == pytest.approx(np.sqrt(9 + 9))
+    chunks = []
+    real = type(a).groupBy
+
+    def watched(df, *columns):
+        if "_l" in columns:
+            chunks.append(real(df, "_left").agg(F.count("*").alias("n")).collect())
+        return real(df, *columns)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(a), "groupBy", watched)
+        neighbours.distances(a, b, [], tile=8)
+    assert {r["_left"]: r.n for r in chunks[0]} == {True: 700 * 16, False: 900 * 16}
+
+
 def test_nearest_of_nothing(spark):
     a, b = spark.createDataFrame([(1, [1.0])], "sample_id bigint, x array<double>"), spark.createDataFrame([], "other bigint, x2 array<double>")
     assert neighbours.nearest(a, b, 3)[0].count() == 0
