@@ -311,3 +311,19 @@ def test_svr_of_many_rows(monkeypatch):
         assert (np.abs(r[free, i] - eps[i] * np.sign(beta[free, i])) <= tol).all()
         at = size >= c[i] * (1 - 1e-6)
         assert (r[at, i] * np.sign(beta[at, i]) >= eps[i] - tol).all()
+
+
+def test_super_stack_decomposes_no_kernel(monkeypatch):
+    """Neither the folds' nor the last models' kernels; only parts of them are."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1400, 5))
+    y = x[:, 0] - x[:, 1] + 0.2 * rng.normal(size=1400)
+    monkeypatch.setattr(registry, "SUPER", ("PLS", "KRR-RBF", "SVR-RBF", "RBF-LS-SVM"))
+    monkeypatch.setattr(registry, "SUPER_IF_THERE", ())
+    monkeypatch.setattr(similarity, "tuned", lambda *a: 3)
+    monkeypatch.setattr(similarity, "pooled", lambda *a: 6)
+    largest, eigh, solve = [0], np.linalg.eigh, np.linalg.cholesky
+    monkeypatch.setattr(np.linalg, "eigh", lambda a: largest.append(len(a)) or eigh(a))
+    monkeypatch.setattr(np.linalg, "cholesky", lambda a: largest.append(len(a)) or solve(a))
+    p = registry.fit("SuperStacking", Task(x, y, "raw", replace(Config(), level="fast", inner_repeats=1), 1))(x)
+    assert np.corrcoef(p, y)[0, 1] > 0.95 and max(largest) < 1400 / 4
